@@ -59,11 +59,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices(sizes, most: int):
     """Consecutive (begin, end) ranges of rows whose sizes sum to ``most`` at most, one row at least."""
-    begin, held = 0, 0
+    begin, held, i = 0, 0, -1
     for i, n in enumerate(sizes):
         if i > begin and held + n > most:
             yield begin, i
             begin, held = i, 0
         held += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
+    if begin <= i:
+        yield begin, i + 1

@@ -90,3 +90,94 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(named, "root").select(F.col("fp").alias("f"), "component_id")
     return rows.join(of, rows["fp"] == of["f"]).select("doc_id", "fp", "component_id")
+
+
+#: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample.
+TABLES, SAMPLED = 8, 4
+#: A group that meets at a fingerprint is split into so many parts, whose leaders meet again.
+PARTS = 64
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sampled_fingerprints(hashes: np.ndarray, tables: int = TABLES, sampled: int = SAMPLED) -> list[int]:
+    """The fingerprint of all shingles and, for each table, that of a min-wise sample of them."""
+    if not len(hashes):
+        return [0] * (tables + 1)
+    least = np.full(tables * sampled, ~np.uint64(0))
+    picked = np.zeros(tables * sampled, np.uint64)
+    with np.errstate(over="ignore"):
+        for k, m in enumerate(_multipliers(tables * sampled)):
+            mixed = (hashes ^ (hashes >> np.uint64(32))) * m
+            at = int((mixed ^ (mixed >> np.uint64(29))).argmin())
+            least[k], picked[k] = mixed[at], hashes[at]
+    return [majority(hashes), *(majority(picked[t * sampled : (t + 1) * sampled]) for t in range(tables))]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingle hashes; two empty ones are the same."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+    """Links (u, v) between rows (nid, text) of Jaccard similarity ``least`` or more over ``words``-word shingles.
+
+    Candidates meet at equal fingerprints of any table, and at the whole texts' balls. Where many meet, each is
+    compared with the least of its part and with the one before it, and the least ones with each other alike.
+    """
+
+    def sketch(batches):
+        for batch in batches:
+            nids, tables, fps = [], [], []
+            for nid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = sampled_fingerprints(shingle_hashes(t.as_py(), words))
+                nids += [nid] * len(found)
+                tables += range(len(found))
+                fps += found
+            yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(tables, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=["nid", "t", "fp"])
+
+    def verify(batches):
+        held, mine = None, None
+        for batch in batches:
+            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = []
+            for u, a, b in zip(us, batch.column(2), batch.column(3), strict=True):
+                if u != held:
+                    held, mine = u, np.unique(shingle_hashes(a.as_py(), words))
+                ok.append(similarity(mine, np.unique(shingle_hashes(b.as_py(), words))) >= least)
+            yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, k in zip(us, ok, strict=True) if k], pa.int64()), "v": pa.array([v for v, k in zip(vs, ok, strict=True) if k], pa.int64())})
+
+    seen = materialise(rows.select("nid", "text").mapInArrow(sketch, "nid long, t int, fp long"), "sketches")
+
+    def met(at: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy("t", "fp", *by).orderBy("nid")
+        placed = at.withColumns({"first": F.min("nid").over(w), "before": F.lag("nid").over(w)})
+        pairs = placed.where("before IS NOT NULL").select(F.explode(F.array(F.struct(F.col("first").alias("u"), F.col("nid").alias("v")), F.struct(F.col("before").alias("u"), F.col("nid").alias("v")))).alias("p")).select("p.*")
+        return pairs, placed.where("before IS NULL").select("t", "fp", "nid")
+
+    inner, leaders = met(seen.withColumn("part", F.pmod(F.xxhash64("nid"), F.lit(PARTS))), "part")
+    leaders = materialise(leaders, "leaders")
+    outer, _ = met(leaders)
+    whole = materialise(leaders.where("t = 0").groupBy("fp").agg(F.min("nid").alias("nid")), "nodes")
+    near = links(whole.select("fp"), radius)
+    a, b = whole.select(F.col("fp").alias("fa"), F.col("nid").alias("na")), whole.select(F.col("fp").alias("fb"), F.col("nid").alias("nb"))
+    balls = near.join(a, near["u"] == a["fa"]).join(b, near["v"] == b["fb"]).select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v"))
+    pairs = materialise(inner.unionByName(outer).unionByName(balls).distinct(), "pairs")
+    a, b = rows.select(F.col("nid").alias("na"), F.col("text").alias("a")), rows.select(F.col("nid").alias("nb"), F.col("text").alias("b"))
+    texts = pairs.join(b, pairs["v"] == b["nb"]).select("u", "v", "b").join(a, F.col("u") == a["na"]).select("u", "v", "a", "b")
+    return texts.mapInArrow(verify, "u long, v long")
+
+
+def thin(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, the one of the smallest doc_id; all columns as they are."""
+    names = docs.columns
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("nid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*(docs[c] for c in names if c not in ("doc_id", "text")), F.lit(None).cast("int").alias("_")).alias("rest")), "rows")
+    members = connected_components(materialise(similar_pairs(rows, words, least), "links"))
+    named = members.join(rows.select("nid", "doc_id"), members["node"] == F.col("nid")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")).alias("member"))
+    stays = named.groupBy("root").agg(F.min("member").alias("stays"))
+    gone = members.join(stays, "root").where(F.col("node") != F.col("stays.node")).select(F.col("node").alias("nid"))
+    kept = rows.join(materialise(gone, "gone"), "nid", "left_anti")
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in names))
