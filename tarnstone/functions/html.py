@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 
 #: Elements without content, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of a page's head, and what stands around it, fixed values.
+HEAD = frozenset("html head title meta link base style script".split())
 #: A start tag that ends an open element of those kinds, fixed values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -112,10 +114,20 @@ class _Builder(HTMLParser):
 
 
 def parse(source: str) -> Node:
+    """The tree of a page; as browsers do, a body is added around what has none."""
     builder = _Builder()
     builder.feed(source)
     builder.close()
-    return builder.root
+    root = builder.root
+    if not any(n.tag == "body" for n in root.walk()):
+        top = next((n for n in root.children if n.tag == "html"), root)
+        body = Node("body")
+        moved = [n for n in top.children if n.tag not in HEAD]
+        top.children = [n for n in top.children if n.tag in HEAD]
+        for n in moved:
+            body.add(n)
+        top.add(body)
+    return root
 
 
 
