@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixing, packing, quality, secrets, simhash, token_files, topk, url_reputation
+from . import exact_dedup, lang_id, mixing, oracles, packing, quality, secrets, simhash, token_files, topk, url_reputation
 from .common import fresh_path, table
 
 
@@ -37,7 +37,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(table(spark, sf_dir, "pages"))
+    return url_reputation.judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 6) for c in ("block_rate", "bound")})
 
 
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,8 @@ def oracle_sql() -> dict[str, str]:
                        FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
             FROM s QUALIFY rank <= 10""",
+        "op3_secrets": oracles.op3_secrets(),
+        "op6_url_reputation": oracles.op6_url_reputation(),
         "op8_exact_dedup": r"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
