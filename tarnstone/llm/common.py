@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,15 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     as no machine's own folder is visible to the others.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
+    if at:  # with its file system spelt out, as Arrow doesn't know Spark's default one
+        where = spark._jvm.org.apache.hadoop.fs.Path(at)
+        return re.sub("^file:/+", "file:///", where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()).rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"file://{tempfile.gettempdir()}/tarnstone-shared"
 
 
+#: Paths handed out, by application, for :func:`clean`.
+_handed_out: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarnstone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tarnstone/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -39,13 +47,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialise` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written(spark: SparkSession) -> int:
+    """How many tables this application has written so far, to be given to :func:`clean`."""
+    return len(_handed_out.get(spark.sparkContext.applicationId, []))
+
+
+def clean(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Delete what this application wrote to the shared folder after the first ``since`` tables, but for those that ``keep`` scans.
+
+    Call it once the results of the operators used since are written elsewhere: they read these tables.
+    """
+    kept = {f.rpartition("/")[0].split("/tarnstone/")[-1] for df in keep for f in df.inputFiles()}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    mine = _handed_out.get(spark.sparkContext.applicationId, [])
+    for path in mine[since:]:
+        if path.split("/tarnstone/")[-1] not in kept:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            mine.remove(path)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -49,11 +49,11 @@ def heavy_hitters(rows: DataFrame, order: Column) -> DataFrame:
 
     ``rows`` has the column digest (binary); the winner is the row whose ``order`` struct is smallest.
     """
-    most = F.broadcast(rows.agg(F.greatest(F.lit(2.0), F.count("*") / HEAVY).alias("floor")))  # one row
+    floor = max(2.0, rows.count() / HEAVY)
     sketch = rows.select("digest").mapInArrow(lambda b: misra_gries(b, COUNTERS), "digest binary, least long")
-    may = sketch.groupBy("digest").agg(F.sum("least").alias("least")).join(most, F.col("least") > F.col("floor") / 3).select("digest")
+    may = sketch.groupBy("digest").agg(F.sum("least").alias("least")).where(F.col("least") > floor / 3).select("digest")
     counted = rows.join(F.broadcast(may), "digest").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("winner"))
-    return counted.join(most, F.col("group_size") >= F.col("floor")).drop("floor")
+    return counted.where(F.col("group_size") >= floor)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
