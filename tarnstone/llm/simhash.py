@@ -93,8 +93,10 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 
 #: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample.
-TABLES, SAMPLED = 8, 4
-#: A group that meets at a fingerprint is split into so many parts, whose leaders meet again.
+TABLES, SAMPLED = 12, 4
+#: Of a group that meets at a fingerprint, so many are compared with all others.
+CENTRES = 4
+#: Neighbours in a group that meets at a fingerprint are sought within so many parts of it.
 PARTS = 64
 
 
@@ -126,7 +128,9 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
     """Links (u, v) between rows (nid, text) of Jaccard similarity ``least`` or more over ``words``-word shingles.
 
     Candidates meet at equal fingerprints of any table, and at the whole texts' balls. Where many meet, each is
-    compared with the least of its part and with the one before it, and the least ones with each other alike.
+    compared with the CENTRES most central of them, which are those that meet most others in all tables together (copies
+    of an original resemble it more than each other; ties fall differently in each table), and with the one before it
+    in its part.
     """
 
     def sketch(batches):
@@ -152,20 +156,21 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
 
     seen = materialise(rows.select("nid", "text").mapInArrow(sketch, "nid long, t int, fp long"), "sketches")
 
-    def met(at: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
-        w = Window.partitionBy("t", "fp", *by).orderBy("nid")
-        placed = at.withColumns({"first": F.min("nid").over(w), "before": F.lag("nid").over(w)})
-        pairs = placed.where("before IS NOT NULL").select(F.explode(F.array(F.struct(F.col("first").alias("u"), F.col("nid").alias("v")), F.struct(F.col("before").alias("u"), F.col("nid").alias("v")))).alias("p")).select("p.*")
-        return pairs, placed.where("before IS NULL").select("t", "fp", "nid")
-
-    inner, leaders = met(seen.withColumn("part", F.pmod(F.xxhash64("nid"), F.lit(PARTS))), "part")
-    leaders = materialise(leaders, "leaders")
-    outer, _ = met(leaders)
-    whole = materialise(leaders.where("t = 0").groupBy("fp").agg(F.min("nid").alias("nid")), "nodes")
+    sizes = seen.groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(seen.join(sizes, ["t", "fp"]), "met")
+    crowds = met.where("t > 0").groupBy("nid").agg(F.sum("n").alias("crowd"))
+    met = materialise(met.join(crowds, "nid", "left").select("nid", "t", "fp", F.coalesce("crowd", F.lit(0)).alias("crowd")), "met")
+    central = Window.partitionBy("t", "fp").orderBy(F.col("crowd").desc(), F.xxhash64("t", "nid"))  # cut to CENTRES rows before the shuffle, too
+    centres = met.withColumn("place", F.row_number().over(central)).where(F.col("place") <= CENTRES).select("t", "fp", F.col("nid").alias("other"))
+    to_centre = met.join(centres, ["t", "fp"]).where("nid <> other").select("nid", "other")
+    part = Window.partitionBy("t", "fp", F.pmod(F.xxhash64("nid"), F.lit(PARTS))).orderBy("nid")
+    to_last = met.withColumn("other", F.lag("nid").over(part)).where("other IS NOT NULL").select("nid", "other")
+    grouped = to_centre.unionByName(to_last).select(F.least("nid", "other").alias("u"), F.greatest("nid", "other").alias("v"))
+    whole = materialise(seen.where("t = 0").groupBy("fp").agg(F.min("nid").alias("nid")), "nodes")
     near = links(whole.select("fp"), radius)
     a, b = whole.select(F.col("fp").alias("fa"), F.col("nid").alias("na")), whole.select(F.col("fp").alias("fb"), F.col("nid").alias("nb"))
     balls = near.join(a, near["u"] == a["fa"]).join(b, near["v"] == b["fb"]).select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v"))
-    pairs = materialise(inner.unionByName(outer).unionByName(balls).distinct(), "pairs")
+    pairs = materialise(grouped.unionByName(balls).distinct(), "pairs")
     a, b = rows.select(F.col("nid").alias("na"), F.col("text").alias("a")), rows.select(F.col("nid").alias("nb"), F.col("text").alias("b"))
     texts = pairs.join(b, pairs["v"] == b["nb"]).select("u", "v", "b").join(a, F.col("u") == a["na"]).select("u", "v", "a", "b")
     return texts.mapInArrow(verify, "u long, v long")
