@@ -19,6 +19,8 @@ from ..functions.stem import analyze
 from ..functions.text import simple_tokens
 from .fusion import ranked
 
+#: Lexemes of all queries asked at once: their table is broadcast.
+MOST_LEXEMES = 500_000
 POSTING = "array<struct<lexeme:string,pos:int>>"
 _TERM = re.compile(r'(-?)"([^"]*)"|(\S+)')
 
@@ -63,13 +65,15 @@ def query_table(spark: SparkSession, queries: dict, language: str = "english") -
         for a, terms in enumerate(parse_query(text, language)):
             for t, (negated, parts) in enumerate(terms):
                 rows += [(qid, a, sum(not n for n, _ in terms), t, negated, len(parts), i, x, d) for i, (x, d) in enumerate(parts)]
+    if len(rows) > MOST_LEXEMES:
+        raise ValueError(f"more than {MOST_LEXEMES} lexemes at once; ask in blocks")
     kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
     return spark.createDataFrame(rows, f"query_id {kind}, alternative int, positives int, term int, negated boolean, size int, place int, lexeme string, distance int")
 
 
 def matches(posted: DataFrame, asked: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id) of all that fit. ``chunks`` (chunk_id) is needed only if an alternative is all negations."""
-    terms = posted.join(F.broadcast(asked), "lexeme")  # parsed queries, of bounded length each
+    terms = posted.join(F.broadcast(asked), "lexeme")  # MOST_LEXEMES at most
     key = ["query_id", "alternative", "positives", "term", "negated", "size", "chunk_id"]
     whole = terms.groupBy(*key, (F.col("pos") - F.col("distance")).alias("at")).agg(F.countDistinct("place").alias("n")).where("n = size").select(*key).distinct()
     by = whole.groupBy("query_id", "alternative", "positives", "chunk_id").agg(F.count(F.when(~F.col("negated"), 1)).alias("held"), F.count(F.when(F.col("negated"), 1)).alias("against"))

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int
 
     ``chunks``: chunk_id and embedding; ``queries``: query_id and embedding. Queries are broadcast in blocks of a
     bounded size; each task multiplies its rows with a block and keeps ``depth`` of them per query, so what is
-    shuffled is the queries' lists alone.
+    shuffled is the queries' lists alone. Vectors that are null, hold nulls or have another length take no part.
     """
     usable = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", "embedding")
     count = usable.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
@@ -47,17 +48,19 @@ def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int
         def run(batches, shared=shared):
             ids, m = shared.value
             for batch in batches:
-                keep = [i for i, v in enumerate(batch.column(1)) if v.is_valid]
-                if not keep or not len(ids):
+                lists = batch.column(1)
+                fit = pc.fill_null(pc.equal(pc.list_value_length(lists), m.shape[1] if len(ids) else -1), False)
+                lists, chunk_ids = lists.filter(fit), batch.column(0).filter(fit)
+                if not len(lists):
                     continue
-                rows = np.array([batch.column(1)[i].as_py() for i in keep], float)
+                rows = pc.fill_null(lists.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
                 lengths = np.sqrt((rows * rows).sum(axis=1))
                 sim = rows @ m.T / np.where(lengths > 0, lengths, np.inf)[:, None]
-                n = min(depth, len(keep))
-                best = np.argpartition(-sim, n - 1, axis=0)[:n] if n < len(keep) else np.tile(np.arange(len(keep))[:, None], (1, m.shape[0]))
+                n = min(depth, len(rows))
+                best = np.argpartition(-sim, n - 1, axis=0)[:n] if n < len(rows) else np.tile(np.arange(len(rows))[:, None], (1, m.shape[0]))
                 edge = np.take_along_axis(sim, best, 0).min(axis=0)
                 r, q = np.nonzero((sim >= edge) & (sim >= floor))  # rows that tie with the last one stay
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(np.array(keep)[r])), pa.array(sim[r, q])], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunk_ids.take(pa.array(r)), pa.array(sim[r, q])], names=["query_id", "chunk_id", "score"])
 
         got = chunks.select("chunk_id", "embedding").mapInArrow(run, f"query_id {'bigint' if kind == 'int' else kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double")
         found = got if found is None else found.unionByName(got)

@@ -380,17 +380,22 @@ def gold_split_every_4th(s, d):
     return t(s, d, "documents").select(F.col("doc_id").alias("item_id"), gold.default_split(F.col("doc_id"), F.col("doc_id"), F.col("lang")).alias("split"))
 
 
+def _batch():
+    """Two hundred documents at most, as many as a batch may have."""
+    return F.concat(F.lit("b"), F.floor(F.col("doc_id") / 200).cast("string"))
+
+
 def _timeline(s, d) -> DataFrame:
     docs = t(s, d, "documents")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 97)
-    sources = docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("batch_id"), F.col("lang").alias("filename"), F.lit("ingested").alias("status"), at.alias("created_at"), F.lit(1).alias("current_generation"))
+    sources = docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 2 == 0, _batch()).alias("batch_id"), F.col("lang").alias("filename"), F.lit("ingested").alias("status"), at.alias("created_at"), F.lit(1).alias("current_generation"))
     entry = F.struct(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, "skipped").otherwise("admitted").alias("status"))
-    batches = docs.groupBy("source").agg(F.collect_list(entry).alias("entry_report"), F.max("doc_id").alias("m")).select(F.col("source").alias("id"), F.lit("batch").alias("filename"), F.lit("expanded").alias("status"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("m") % 97).alias("created_at"), "entry_report")
+    batches = docs.groupBy(_batch().alias("id")).agg(F.collect_list(entry).alias("entry_report"), F.max("doc_id").alias("m")).select("id", F.lit("batch").alias("filename"), F.lit("expanded").alias("status"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("m") % 97).alias("created_at"), "entry_report")
     return reads.timeline(sources, batches)
 
 
 TIMELINE = """tl AS (SELECT 'source' AS kind, 's' || doc_id AS id, lang AS filename, 1700000000 + doc_id % 97 AS secs, NULL::INTEGER AS entries FROM documents WHERE doc_id % 2 <> 0
-    UNION ALL SELECT 'batch', source, 'batch', 1700000000 + max(doc_id) % 97, count(*)::INTEGER FROM documents GROUP BY source)"""
+    UNION ALL SELECT 'batch', 'b' || doc_id // 200, 'batch', 1700000000 + max(doc_id) % 97, count(*)::INTEGER FROM documents GROUP BY 2)"""
 
 
 @query(f"WITH {TIMELINE} SELECT kind, id, filename, secs, entries FROM tl ORDER BY secs DESC, id DESC LIMIT 50 OFFSET 10")
@@ -403,12 +408,12 @@ def timeline_total(s, d):
     return _timeline(s, d).agg(F.count("*").alias("total"))
 
 
-@query("""SELECT source AS batch_id, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS skipped, count(*) FILTER (lang = 'en') AS ingested, count(*) FILTER (lang = 'de') AS failed FROM documents GROUP BY 1""")
+@query("""SELECT 'b' || doc_id // 200 AS batch_id, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS skipped, count(*) FILTER (lang = 'en') AS ingested, count(*) FILTER (lang = 'de') AS failed FROM documents GROUP BY 1""")
 def batch_entry_summary(s, d):
     docs = t(s, d, "documents")
     entry = F.struct(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, "skipped").otherwise("admitted").alias("status"))
-    batches = docs.groupBy(F.col("source").alias("id")).agg(F.collect_list(entry).alias("entry_report"))  # a batch's entries
-    members = docs.select(F.col("source").alias("batch_id"), F.when(F.col("lang") == "en", "ingested").when(F.col("lang") == "de", "failed").otherwise("queued").alias("status"))
+    batches = docs.groupBy(_batch().alias("id")).agg(F.collect_list(entry).alias("entry_report"))  # a batch's entries
+    members = docs.select(_batch().alias("batch_id"), F.when(F.col("lang") == "en", "ingested").when(F.col("lang") == "de", "failed").otherwise("queued").alias("status"))
     out = reads.batch_summary(batches, members, ("ingested", "failed"))
     return out.select("batch_id", F.col("total").cast("long").alias("total"), F.col("skipped").cast("long").alias("skipped"), "ingested", "failed")
 
