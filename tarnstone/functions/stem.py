@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 #: Words that carry no meaning for matching, fixed values.
@@ -45,6 +46,7 @@ def _replace(word: str, rules: list[str]) -> str:
     return word
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
