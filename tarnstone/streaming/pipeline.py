@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.jobs import route
+from ..operators.jobs import MAX_ATTEMPTS, route
+
+
+def enqueue(jobs: DataFrame, path: str, max_attempts: int = MAX_ATTEMPTS) -> None:
+    """Append jobs (id, kind, payload) to the folder that the stream reads, queued and due at once."""
+    now = F.current_timestamp()
+    jobs.select("id", "kind", "payload", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(max_attempts).alias("max_attempts"), now.alias("run_at"), now.alias("created_at")).write.mode("append").parquet(path)
 
 
 def read_jobs(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:

@@ -282,6 +282,34 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in pipeline.sessions(ev, "ts", "10 minutes", n=F.count("*")).collect()) == [1, 2]
 
 
+def test_model_seams(spark):
+    from tarnstone.functions import models
+
+    sizes = []
+
+    def call(part):
+        sizes.append(len(part))
+        return [[float(len(t)), 1.0] for t in part]
+
+    assert models.embedded(["a", "bb", "ccc"], call, 2, most=2) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]] and sizes == [2, 1]
+    for bad in (lambda p: [[1.0]] * len(p), lambda p: [[1.0, 2.0]]):
+        with pytest.raises(errors.EngineError):
+            models.embedded(["a", "b"], bad, 2)
+    with pytest.raises(errors.EngineError):
+        models.reranked("q", [("1", "x"), ("2", "y")], lambda q, p: {"1": 1.0})
+    df = spark.createDataFrame([(1, "q", "abc"), (2, "q", None), (3, "r", "z")], "i int, q string, t string")
+    got = df.select("i", models.embed_with(lambda p: [[float(len(t))] for t in p], 1)("t").alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [[3.0], None, [1.0]]
+    scored = df.where("t IS NOT NULL").select("i", models.rerank_with(lambda q, p: {k: len(t) + (q == "r") for k, t in p})("q", "t").alias("s")).orderBy("i").collect()
+    assert [r.s for r in scored] == [3.0, 2.0]
+
+
+def test_enqueue(spark, tmp_path):
+    pipeline.enqueue(spark.createDataFrame([("1", "work", "{}")], "id string, kind string, payload string"), f"{tmp_path}/q")
+    row = spark.read.parquet(f"{tmp_path}/q").first()
+    assert (row.status, row.attempts, row.max_attempts) == ("queued", 0, 3) and jobs.claimable(spark.read.parquet(f"{tmp_path}/q"), F.current_timestamp()).count() == 1
+
+
 def test_registry_is_whole():
     import __spark_entry__ as e
 
