@@ -179,7 +179,9 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
 def thin(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, the one of the smallest doc_id; all columns as they are."""
     names = docs.columns
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("nid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*(docs[c] for c in names if c not in ("doc_id", "text")), F.lit(None).cast("int").alias("_")).alias("rest")), "rows")
+    filler = "_" * (1 + max(map(len, names)))  # a struct needs a field, of a name that no column has
+    rest = F.struct(*(docs[c] for c in names if c not in ("doc_id", "text")), F.lit(None).cast("int").alias(filler))
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("nid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), rest.alias("rest")), "rows")
     members = connected_components(materialise(similar_pairs(rows, words, least), "links"))
     named = members.join(rows.select("nid", "doc_id"), members["node"] == F.col("nid")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")).alias("member"))
     stays = named.groupBy("root").agg(F.min("member").alias("stays"))
