@@ -67,12 +67,21 @@ def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int
     return ranked(found, depth)
 
 
+#: Queries that the plan of expressions takes.
+FEW = 1000
+
+
 def similarities_sql(chunks: DataFrame, queries: DataFrame, floor: float, depth: int, digits: int | None = None) -> DataFrame:
-    """The same as a plan of expressions alone, for a few queries: they are cross-joined by broadcast."""
-    q = F.broadcast(queries.limit(1000).select("query_id", F.col("embedding").alias("q")))
+    """The same as a plan of expressions alone, for FEW queries at most, which meet all rows by broadcast.
+
+    The floor is applied to the ranked rows: before, it would become a join condition and each cosine be taken twice.
+    """
+    if queries.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} queries; use similarities()")
+    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
     sim = cosine(F.col("embedding"), F.col("q"))
     scored = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").join(q).select("query_id", "chunk_id", (F.round(sim, digits) if digits else sim).alias("score"))
-    return ranked(scored.where(F.col("score") >= floor), depth)
+    return ranked(scored, depth).where(F.col("score") >= floor)
 
 
 def read_back(vectors: DataFrame, embedding: list[float], stamp: dict) -> DataFrame:
