@@ -21,6 +21,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ SAMPLE = 2000
 RATE = 1e-5
 MOST_LANGUAGES = 1024
 PROBES = 3
-#: Characters handled at a time.
+#: Bytes handled at a time.
 SLICE = 1_000_000
 _letters: list[np.ndarray] = []
 
@@ -113,9 +114,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
 
     def run(batches):
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(map(len, texts), SLICE):
-                h, of, _ = grams(texts[lo:hi])
+            langs = batch.column(0).to_pylist()
+            for lo, hi in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE):
+                h, of, _ = grams(batch.column(1).slice(lo, hi - lo).to_pylist())
                 names = np.array(langs[lo:hi], dtype=object)[of] if len(of) else np.empty(0, object)
                 for lang in set(langs[lo:hi]):
                     found, n = np.unique(h[names == lang], return_counts=True)
@@ -143,10 +144,10 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             names, scores = [], []
-            for lo, hi in slices(map(len, texts), SLICE):
-                counts, has = m.count(texts[lo:hi]) if m.languages else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, bool))
+            for lo, hi in slices(pc.binary_length(texts).to_pylist(), SLICE):
+                counts, has = m.count(texts.slice(lo, hi - lo).to_pylist()) if m.languages else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, bool))
                 best, total = counts.argmax(axis=1), counts.sum(axis=1)
                 names += [m.languages[b] if ok else "und" for b, ok in zip(best, has, strict=True)]
                 scores += np.where(has & (total > 0), counts[np.arange(hi - lo), best] / np.where(total > 0, total, 1), 0.0).tolist()

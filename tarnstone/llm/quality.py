@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +97,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, column: int):
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
-    for lo, hi in slices(map(len, texts), SLICE):
-        yield lo, hi, *features(texts[lo:hi])
+    """Row ranges of a bounded number of bytes, and the n-grams of their texts; no more is taken out of Arrow at a time."""
+    texts = pc.fill_null(batch.column(column), "").cast(pa.binary())
+    for lo, hi in slices(pc.binary_length(texts).to_pylist(), SLICE):
+        yield lo, hi, *features(texts.slice(lo, hi - lo).to_pylist())
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
