@@ -43,6 +43,9 @@ class Encoder:
         self.raw = Tokenizer.from_file(path)
         self.raw.encode_special_tokens = True
         self._forget()
+        line = self._ids("\n")
+        alone = all(self._ids(f"a\n{u}") == [*self._ids("a"), *line, *self._ids(u)] for u in ("b", "B1", ",x", "'s", "%%"))
+        self.line = np.array(line, np.uint32) if alone else None
         # a separator that is one token of its own between any two units, for encoding many in one call
         self.sep, self.sep_id = next(((s, i[0]) for s in ("\n", " \x01 ") if len(i := self._ids(s)) == 1 and self._ids(f" a{s} b{s},c{s}d") == [x for u in (" a", " b", ",c", "d") for x in [*self._ids(u), i[0]]][:-1]), (None, None))
 
@@ -75,14 +78,39 @@ class Encoder:
             each = [e.ids for e in self.raw.encode_batch_fast(part, add_special_tokens=False)]
             self._keep(part, np.array([x for y in each for x in y], dtype=np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
 
-    def _lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _lookup(self, units: list[str], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``flat`` the ids of each unit begin, and how many they are. ``units`` must be distinct."""
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > CACHE_UNITS and not keep:
             self._forget()
-        self._learn([u for u in units if u not in self.known])
+        new = [u for u in units if u not in self.known]
+        fed = [u for u in new if u[:1] == "\n" and self.line is not None and u[1:] and not u[1].isspace()]
+        if fed:  # a line feed's ids, then the unit's own: no token runs across
+            skip = set(fed)
+            new = [u for u in new if u not in skip]
+            own = dict.fromkeys(u[1:] for u in fed)
+            new += [u for u in own if u not in self.known and u not in skip]
+            new = list(dict.fromkeys(new))
+        self._learn(new)
+        if fed:
+            at = np.fromiter((self.known[u[1:]] for u in fed), np.int64, len(fed))
+            starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
+            n = len(self.line)
+            ids = np.empty(int(sizes.sum()) + n * len(fed), np.uint32)
+            begins = np.cumsum(sizes + n) - sizes - n
+            ids[_ragged(begins + n, sizes)] = self.flat[_ragged(starts, sizes)]
+            for k, x in enumerate(self.line):
+                ids[begins + k] = x
+            self._keep(fed, ids, sizes + n)
         at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         return self.ends[at], self.ends[at + 1] - self.ends[at]
 
+    def _distinct(self, keys: list[str], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """As _lookup, for keys that may repeat; with ``keep`` nothing is forgotten meanwhile."""
+        number: dict[str, int] = {}
+        back = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(keys))
+        starts, sizes = self._lookup(list(number), keep)
+        return starts[back], sizes[back]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32) and the number of ids of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -93,44 +121,29 @@ class Encoder:
         rows: list = [None] * n
         easy = np.flatnonzero(~hard)
         if len(easy):
-            cut = pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) for x in ("\x00",)), texts.take(pa.array(easy)), pa.scalar("", pa.large_string())), "\n", " \n")
+            cut = pc.replace_substring(texts if len(easy) == n else texts.take(pa.array(easy)), "\n", " \n")
             cut = pc.replace_substring_regex(cut, f"([{_LATIN}])([,.])", "\\1 \x01\\2")
             lists = pc.split_pattern(cut, " ")
             coded = lists.values.dictionary_encode()
-            line = np.array(self._ids("\n"), dtype=np.uint32)
             names = coded.dictionary.to_pylist()
-            # \x00 and \x01: nothing stands before the unit; a line feed, which is cut off; else a space
-            bare = [u[1:] if u[:1] in ("\x00", "\x01", "\n") else f" {u}" for u in names]
-            feeds = np.fromiter((u[:1] == "\n" for u in names), bool, len(names))
-            different = dict.fromkeys(bare)
-            number = dict(zip(different, range(len(different)), strict=True))
-            starts, sizes = self._lookup(list(different))
-            at = np.fromiter(map(number.__getitem__, bare), np.int64, len(bare))
-            starts, sizes = starts[at], sizes[at]
-            if len(line):  # a unit's ids, after those of a line feed where one comes before it
-                sizes = sizes + feeds * len(line)
-                flat = np.empty(int(sizes.sum()), np.uint32)
-                begins = np.cumsum(sizes) - sizes
-                flat[_ragged(begins + feeds * len(line), sizes - feeds * len(line))] = self.flat[_ragged(starts, sizes - feeds * len(line))]
-                for k, x in enumerate(line):
-                    flat[begins[feeds] + k] = x
-            else:
-                flat, begins = self.flat, starts
+            # a unit as it stands in the text: behind a line feed, behind nothing (\x01), else behind a space
+            keys = [u if (c := u[:1]) == "\n" else u[1:] if c == "\x01" else f" {u}" for u in names]
+            starts, sizes = self._distinct(keys)
             at = coded.indices.to_numpy()
-            each = sizes[at]
-            out = flat[_ragged(begins[at], each)]
+            begins, each = starts[at], sizes[at]
+            heads = lists.offsets.to_numpy()[:-1]  # nothing stands before a text's first unit
+            kinds, back = np.unique(at[heads], return_inverse=True)
+            starts, sizes = self._distinct([names[k] for k in kinds], keep=True)
+            begins[heads], each[heads] = starts[back], sizes[back]
+            out = self.flat[_ragged(begins, each)]
             ends = np.concatenate([[0], np.cumsum(each)])[lists.offsets.to_numpy()]
             if len(easy) == n:
                 return out, np.diff(ends)
             for k, i in enumerate(easy):
                 rows[i] = out[ends[k] : ends[k + 1]]
         for i in np.flatnonzero(hard):
-            units = _UNIT.findall(texts[int(i)].as_py())
-            different = list(dict.fromkeys(units))
-            number = dict(zip(different, range(len(different)), strict=True))
-            starts, sizes = self._lookup(different)
-            at = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
-            rows[i] = self.flat[_ragged(starts[at], sizes[at])]
+            starts, sizes = self._distinct(_UNIT.findall(texts[int(i)].as_py()))
+            rows[i] = self.flat[_ragged(starts, sizes)]
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, n)
 
 
