@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, slices
 from .components import connected_components
 
 SEED = 42
@@ -94,10 +94,14 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 
 #: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample.
 TABLES, SAMPLED = 12, 4
-#: Of a group that meets at a fingerprint, so many are compared with all others.
+#: Of a group that meets at a fingerprint, so many are compared with all others at first.
 CENTRES = 4
 #: Neighbours in a group that meets at a fingerprint are sought within so many parts of it.
 PARTS = 64
+#: Rows that share a shingle of their prefixes are paired by a join up to so many, and in cells beyond.
+PAIRED = 32
+#: Rows and shingles of each side of a cell.
+CELL_ROWS, CELL_SHINGLES = 2048, 500_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -127,10 +131,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """Links (u, v) between rows (nid, text) of Jaccard similarity ``least`` or more over ``words``-word shingles.
 
-    Candidates meet at equal fingerprints of any table, and at the whole texts' balls. Where many meet, each is
-    compared with the CENTRES most central of them, which are those that meet most others in all tables together (copies
-    of an original resemble it more than each other; ties fall differently in each table), and with the one before it
-    in its part.
+    The links connect what all such pairs of candidates would. Candidates meet at equal fingerprints of any table, and at
+    the whole texts' balls. Where many meet, each is first compared with the CENTRES most central of them, which are those
+    that meet most others in all tables together (copies of an original resemble it more than each other; ties fall
+    differently in each table), and with the one before it in its part. Rows of groups that this leaves in several
+    components are then joined exactly, see :func:`links_across`.
     """
 
     def sketch(batches):
@@ -154,12 +159,17 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
                 ok.append(similarity(mine, np.unique(shingle_hashes(b.as_py(), words))) >= least)
             yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, k in zip(us, ok, strict=True) if k], pa.int64()), "v": pa.array([v for v, k in zip(vs, ok, strict=True) if k], pa.int64())})
 
+    def compared(pairs):
+        a, b = rows.select(F.col("nid").alias("na"), F.col("text").alias("a")), rows.select(F.col("nid").alias("nb"), F.col("text").alias("b"))
+        texts = pairs.join(b, pairs["v"] == b["nb"]).select("u", "v", "b").join(a, F.col("u") == a["na"]).select("u", "v", "a", "b")
+        return materialise(texts.mapInArrow(verify, "u long, v long"), "verified")
+
     seen = materialise(rows.select("nid", "text").mapInArrow(sketch, "nid long, t int, fp long"), "sketches")
 
     sizes = seen.groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1")
     met = materialise(seen.join(sizes, ["t", "fp"]), "met")
     crowds = met.where("t > 0").groupBy("nid").agg(F.sum("n").alias("crowd"))
-    met = materialise(met.join(crowds, "nid", "left").select("nid", "t", "fp", F.coalesce("crowd", F.lit(0)).alias("crowd")), "met")
+    met = materialise(met.join(crowds, "nid", "left").select("nid", "t", "fp", "n", F.coalesce("crowd", F.lit(0)).alias("crowd")), "met")
     central = Window.partitionBy("t", "fp").orderBy(F.col("crowd").desc(), F.xxhash64("t", "nid"))  # cut to CENTRES rows before the shuffle, too
     centres = met.withColumn("place", F.row_number().over(central)).where(F.col("place") <= CENTRES).select("t", "fp", F.col("nid").alias("other"))
     to_centre = met.join(centres, ["t", "fp"]).where("nid <> other").select("nid", "other")
@@ -170,10 +180,139 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
     near = links(whole.select("fp"), radius)
     a, b = whole.select(F.col("fp").alias("fa"), F.col("nid").alias("na")), whole.select(F.col("fp").alias("fb"), F.col("nid").alias("nb"))
     balls = near.join(a, near["u"] == a["fa"]).join(b, near["v"] == b["fb"]).select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v"))
-    pairs = materialise(grouped.unionByName(balls).distinct(), "pairs")
-    a, b = rows.select(F.col("nid").alias("na"), F.col("text").alias("a")), rows.select(F.col("nid").alias("nb"), F.col("text").alias("b"))
-    texts = pairs.join(b, pairs["v"] == b["nb"]).select("u", "v", "b").join(a, F.col("u") == a["na"]).select("u", "v", "a", "b")
-    return texts.mapInArrow(verify, "u long, v long")
+    first = compared(materialise(grouped.unionByName(balls).distinct(), "pairs"))
+
+    roots = connected_components(first)
+    crowded = met.where(F.col("n") > CENTRES + 1).select("nid", "t", "fp")  # smaller groups have had all their pairs compared
+    crowded = materialise(crowded.join(roots, crowded["nid"] == roots["node"], "left").select("nid", "t", "fp", F.coalesce("root", "nid").alias("root")), "crowded")
+    apart = crowded.groupBy("t", "fp").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("t", "fp")
+    left = materialise(crowded.join(apart, ["t", "fp"]).select("nid", "root").distinct(), "left")
+    if left.isEmpty():
+        return first
+    pairs, found = links_across(rows.join(left, "nid").select("nid", "root", "text"), words, least)
+    return first.unionByName(compared(pairs)).unionByName(found)
+
+
+def overlaps(columns: np.ndarray, row: np.ndarray, first: np.ndarray, m: int, n: int) -> np.ndarray:
+    """How many columns each of ``m`` rows shares with each of ``n`` others; an entry is of the first where ``first`` holds.
+
+    Columns of many rows count in products of dense matrices, those of few by their pairs.
+    """
+    width = int(columns.max()) + 1 if len(columns) else 0
+    a, b = np.bincount(columns[first], minlength=width), np.bincount(columns[~first], minlength=width)
+    both = np.zeros((m, n), np.float32)  # whole numbers far below 2^24
+    dense = a * b * 500 > m * n
+    number = np.cumsum(dense) - 1
+    use = dense[columns]
+    c, r, f = number[columns[use]], row[use], first[use]
+    for low in range(0, int(dense.sum()), 1024):
+        now = (c >= low) & (c < low + 1024)
+        x, y = np.zeros((m, 1024), np.float32), np.zeros((n, 1024), np.float32)
+        x[r[now & f], c[now & f] - low] = 1
+        y[r[now & ~f], c[now & ~f] - low] = 1
+        both += x @ y.T
+    c, r, f = columns[~use], row[~use], first[~use]
+    order = np.argsort(c[~f], kind="stable")
+    others, starts = r[~f][order], np.searchsorted(c[~f][order], np.arange(width + 1))
+    c, r = c[f], r[f]
+    times = np.diff(starts)[c]
+    for begin, end in slices(times.tolist(), 1 << 20):
+        t = times[begin:end]
+        begins = np.repeat(starts[c[begin:end]] - np.cumsum(t) + t, t)
+        np.add.at(both, (np.repeat(r[begin:end], t), others[begins + np.arange(t.sum())]), 1)
+    return both
+
+
+def links_across(rows: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """For rows (nid, root, text): candidates (u, v), and links (u, v) that need no comparison; with those of the candidates
+    that are similar enough, the links connect what all pairs of similarity ``least`` or more between different roots would.
+
+    A set-similarity join by prefixes, without a limit. Shingles are put in one order: first those that one root alone
+    has, which no pair between roots shares, then from rare to frequent. Of a pair, the first shared shingle is
+    among the foremost of both, as what follows has to make up the overlap; so rows meet at shingles of their
+    prefixes, at least one at a shingle of the shorter prefix that holds for the smaller of two sets. Where over
+    PAIRED rows meet, cells of them take all overlaps as a matrix product and give the links of a spanning forest.
+    """
+
+    def shingle(batches):
+        for batch in batches:
+            held, n = [], 0
+
+            def out(held=held):
+                sizes = [len(h) for *_, h in held]
+                columns = [np.repeat(np.array(x, np.int64), sizes) for x in ([i for i, *_ in held], [r for _, r, _ in held], sizes)]
+                return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([h for *_, h in held]).view(np.int64))], names=["nid", "root", "size", "h"])
+
+            for nid, root, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                held.append((nid, root, h))
+                n += len(h)
+                if n >= BLOCK:
+                    yield out()
+                    held.clear()
+                    n = 0
+            if held:
+                yield out()
+
+    def cell(table):
+        first, nid, root, size = (table[c].to_numpy() for c in ("first", "nid", "root", "size"))
+        held = table["hashes"].combine_chunks()
+        x, y = np.flatnonzero(first == 1), np.flatnonzero(first == 0)
+        us, vs = [], []
+        if len(x) and len(y):
+            at = np.empty(len(first), np.int64)
+            at[x], at[y] = np.arange(len(x)), np.arange(len(y))
+            of = np.repeat(np.arange(len(first)), np.array(held.value_lengths()))
+            both = overlaps(np.unique(held.flatten().to_numpy(), return_inverse=True)[1], at[of], first[of] == 1, len(x), len(y))
+            label = np.unique(root, return_inverse=True)[1]
+            labels = np.arange(label.max() + 1)
+            for k, i in enumerate(x):
+                hits = y[both[k] / (size[i] + size[y] - both[k].astype(np.float64)) >= least]
+                mine = labels[label[i]]
+                theirs, where = np.unique(labels[label[hits]], return_index=True)
+                where, theirs = where[theirs != mine], theirs[theirs != mine]
+                us += [int(nid[i])] * len(theirs)
+                vs += nid[hits[where]].tolist()
+                labels[np.isin(labels, theirs)] = mine
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    every = materialise(rows.mapInArrow(shingle, "nid long, root long, size long, h long"), "shingles")
+    across = every.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h", "n")
+    ordered = every.join(across, "h").groupBy("nid", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("sorted"))
+    sets = materialise(ordered.select("nid", "root", "size", F.col("sorted.h").alias("hashes")), "sets")
+
+    own, size = F.col("size") - F.size("hashes"), F.col("size")
+    slack = 1e-9  # against rounding up one too many
+    prefix = size - F.ceil(size * least - slack) + 1
+    shorter = size - F.ceil(size * (2 * least / (1 + least)) - slack) + 1
+    foremost = F.slice("hashes", 1, F.greatest(prefix - own, F.lit(0)).cast("int"))
+    tokens = sets.select("nid", "root", "size", F.size("hashes").alias("length"), own.alias("own"), shorter.alias("shorter"), F.posexplode(foremost).alias("at", "h"))
+    tokens = tokens.select("nid", "root", "size", "length", (F.col("own") + F.col("at")).alias("at"), "h", (F.col("own") + F.col("at") < F.col("shorter")).alias("short"))
+    tokens = materialise(tokens, "prefixes")
+    by_root = tokens.groupBy("h", "root").agg(F.count("*").alias("n"), F.sum("length").alias("m"), F.max("short").alias("short"))
+    most = F.max(F.struct("n", "m", "root"))
+    groups = by_root.groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("short").alias("some"), F.count("*").alias("roots"), most.alias("most")).where("roots > 1 AND some")
+    groups = materialise(groups.select("h", "n", "m", "most"), "groups")
+
+    few = tokens.join(groups.where(F.col("n") <= PAIRED).select("h"), "h")
+    x = few.where("short").select("h", *(F.col(c).alias(f"{c}_x") for c in ("nid", "root", "size", "at")))
+    y = few.select("h", *(F.col(c).alias(f"{c}_y") for c in ("nid", "root", "size", "at")))
+    smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("nid_x") < F.col("nid_y")))
+    needed = (F.col("size_x") + F.col("size_y")) * (least / (1 + least)) - slack
+    enough = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) >= needed
+    pairs = x.join(y, "h").where(smaller & enough & (F.col("root_x") != F.col("root_y")))
+    pairs = materialise(pairs.select(F.least("nid_x", "nid_y").alias("u"), F.greatest("nid_x", "nid_y").alias("v")).distinct(), "pairs")
+
+    cells = lambda n, m: F.greatest(F.ceil(n / CELL_ROWS), F.ceil(m / CELL_SHINGLES), F.lit(1)).cast("int")
+    large = groups.where(F.col("n") > PAIRED).select("h", F.col("most.root").alias("most"), cells(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("rows"), cells(F.col("n"), F.col("m")).alias("columns"))
+    many = tokens.join(large, "h").select("nid", "h", "rows", "columns", (F.col("root") != F.col("most")).alias("other"))
+    ours = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = many.where("other").select("nid", "h", F.lit(1).alias("first"), ours("rows").alias("i"), every_one("columns").alias("j"))
+    b = many.select("nid", "h", F.lit(0).alias("first"), every_one("rows").alias("i"), ours("columns").alias("j"))
+    dealt = a.unionByName(b).join(sets, "nid").select("h", "i", "j", "first", "nid", "root", "size", "hashes")
+    found = dealt.groupBy("h", "i", "j").applyInArrow(cell, "u long, v long")
+    return pairs, materialise(found, "found")
 
 
 def thin(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -161,6 +161,46 @@ def test_near_duplicates_are_thinned(spark, empty):
     assert simhash.thin(empty).count() == 0
 
 
+def brute_thin(rows, words=5, least=0.8):
+    """Ids that stay: the smallest of each component over all pairs of that Jaccard similarity."""
+    rows = sorted(rows)
+    sets = [set(simhash.shingle_hashes(t, words).tolist()) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= least * len(a | b) - 1e-9
+    return sorted({rows[k][0] for k in set(brute_components(range(len(rows)), lambda i, j: alike(sets[i], sets[j])).values())})
+
+
+@pytest.mark.parametrize("share,paired,cell", [(0.85, 32, 2048), (0.8, 32, 2048), (0.9, 4, 16), (0.88, 32, 50)])
+def test_near_duplicates_in_crowds_are_thinned(spark, monkeypatch, share, paired, cell):
+    r = random.Random(f"{share}")
+    passage = [f"p{i}" for i in range(304)]
+    rows = []
+    for g in range(110):
+        text = passage[: int(304 * share)] + [f"u{g}x{k}" for k in range(304 - int(304 * share) + r.randint(0, 3))]
+        rows.append((g * 10, " ".join(text)))
+        if g % 2:  # a pair planted among strangers
+            for k in range(1, 1 + g % 3):
+                changed = list(text)
+                for at in r.sample(range(300), 3 * k):
+                    changed[at] = f"c{g}x{k}"
+                rows.append((g * 10 + k, " ".join(changed)))
+    r.shuffle(rows)
+    monkeypatch.setattr(simhash, "PAIRED", paired, raising=False)
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell, raising=False)
+    kept = simhash.thin(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert sorted(x.doc_id for x in kept) == brute_thin(rows)
+
+
+def test_overlaps():
+    r = np.random.default_rng(3)
+    for density in (0.01, 0.3):
+        x, y = r.random((70, 900)) < density, r.random((50, 900)) < density
+        x[:, :40], y[:, 40:80] = True, True
+        (i, a), (j, b) = np.nonzero(x), np.nonzero(y)
+        got = simhash.overlaps(np.concatenate([a, b]), np.concatenate([i, j]), np.repeat([True, False], [len(i), len(j)]), 70, 50)
+        assert (got == x.astype(int) @ y.T.astype(int)).all()
+    assert simhash.overlaps(np.empty(0, int), np.empty(0, int), np.empty(0, bool), 2, 3).tolist() == [[0] * 3] * 2
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
