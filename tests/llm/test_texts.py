@@ -26,6 +26,7 @@ def documents():
         rows.append((i, text, r.choice(["en", "de"]), r.choice(["a", "b", "c", "d", None]), len(text)))
     rows += [(200 + k, rows[7][1].replace(" ", "\t \n"), "en", "a", 1) for k in range(5)]  # copies up to white space
     rows += [(300, None, None, None, None), (301, "", "en", "a", 0), (None, "no id at all", "en", "b", 3), (302, " \n\t ", "en", "a", 4)]
+    rows += [(305, "<|endoftext|>", "en", "a", 1), (306, " a<|endoftext|> b<|endoftext|>\n<|startoftext|>c <|endof", "en", "a", 1), (307, "<|endoftext|><|endoftext|>the  ", "en", "a", 1)]
     rows += [(303, "x" * 50_000 + " " + "lorem ipsum " * 5000, "en", "a", 1), rows[0], rows[0], (304, "Ünï 😀 çødé, ÀB. don't 1²3", "de", "zz", 5)]
     return rows
 
@@ -205,7 +206,6 @@ def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = documents()
     want = sorted(str((i, [*tok.encode(t or "", add_special_tokens=False).ids, 2])) for i, t, *_ in rows)
     pieces = packing.pack(with_clashes(docs), P.path("word_bpe_49k.json"), most=64).collect()
@@ -231,23 +231,24 @@ def test_piece_lengths(n):
 def test_cached_tokenization_is_exact(name):
     import pyarrow as pa
 
+    from tokenizers import Tokenizer
+
     from tarnstone.llm.tokens import Encoder
 
-    e = Encoder(P.path(name))
+    e, whole = Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
     r = random.Random(name)
-    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "'s", "don't", ",", ".", "!", "%%%", "1", "23", "²", "中", "\u0301", "\u00a0", "\u2003", "\x1c", "\x00", "\x01", "<|endoftext|>", "_", "😀", "İ", "Σ", "ab,", "x.y", "\u200b", " the", " of"]
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "'s", "don't", ",", ".", "!", "%%%", "1", "23", "²", "中", "\u0301", "\u00a0", "\u2003", "\x1c", "\x00", "\x01", "<|endoftext|>", "<|startoftext|>", "<|endof", "_", "😀", "İ", "Σ", "ab,", "x.y", "\u200b", " the", " of"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(4000)] + [None, "", "a" * 3000]
     ids, sizes = e.encode(pa.array(texts))
     ends = np.cumsum(sizes)
     for t, end, n in zip(texts, ends, sizes, strict=True):
-        assert ids[end - n : end].tolist() == e.raw.encode(t or "", add_special_tokens=False).ids, t
+        assert ids[end - n : end].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     path = fresh_path(spark, "t")
     manifest = token_files.write_token_files(docs, P.path("byte_bpe_50k.json"), path, length=32)
     got = token_files.read_token_files(spark, path).collect()
