@@ -72,9 +72,10 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
                        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-                 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-                       FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+                 q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+                 s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+                       FROM q JOIN v c ON c.vec_id <> q.vec_id)
+            SELECT query_id, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
             FROM s QUALIFY rank <= 10""",
         "op3_secrets": oracles.op3_secrets(),
         "op6_url_reputation": oracles.op6_url_reputation(),

@@ -7,37 +7,75 @@ one adds the complement), carry-save, into slices of the sum. Only the most sign
 added; what the others can still contribute is bounded, and the rows that may be among the best are found by
 going down the sum's slices from the most significant. Those boundary rows get their exact scores.
 
-Queries come in blocks of a bounded number, each broadcast once against all index blocks (a task keeps k rows per
-query); the partial lists meet by query. Every row is indexed; results are exact, so recall is 1.
+Queries come in blocks of a bounded number. Each block is broadcast once against all index blocks (a task keeps k rows
+per query), the partial lists meet by query, and the block's result is written before the next one is read, so that
+no more than one block is on the driver or on an executor. Every row is indexed; results are exact, so recall is 1.
 
-Defined cases: vectors that are null, hold nulls, non-finite components or components of more than ``LARGEST`` in
-size, and rows with a null vec_id, take no part. Rows that share a query's vec_id are its own and are no
-candidates; repeated query rows (same id and vector) are one query. Vectors of different lengths are not compared. Equal scores: the
-smaller vec_id first. An empty table gives an empty result; other columns are ignored.
+Rows with values beyond 31 bits are kept in blocks of their own, without slices, and scored by integers of any size.
+
+Defined cases: vectors that are null, hold nulls or non-finite components, and rows with a null vec_id, take no part;
+components of any finite size do. A score beyond the range of a long counts as the end of that range. Rows that share
+a query's vec_id are its own and are no candidates. Repeated query rows (same id and vector) are one query; rows of
+one id and different vectors are queries of their own, each with its ranks. Vectors of different lengths are not
+compared. Equal scores: the smaller vec_id first. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import fresh_path, materialise
 
 SCALE = 1024
-LARGEST = 65536.0
+#: Values of this size or more are wide: they have no slices.
+WIDE = 1 << 31
+#: Wide rows in a block.
+WIDE_BLOCK = 1 << 12
+LONG = (1 << 63) - 1
 #: Rows in a block, a multiple of 64.
 BLOCK = 1 << 16
-#: Queries that are broadcast together, on average.
-QUERIES = 20_000
+#: Bytes of query vectors that are broadcast together, on average.
+QUERY_BYTES = 16_000_000
 #: Slices of each dimension that are added before boundary rows are resolved.
 ADDED = 7
 
 
+def is_wide(x: np.ndarray) -> np.ndarray:
+    """Which rows of doubles have a value of WIDE or more."""
+    return (np.abs(x) >= WIDE / SCALE).any(axis=1)
+
+
 def quantise(x: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * x.astype(np.float64)).astype(np.int64)
+    """floor(SCALE * x) of rows that aren't wide."""
+    return np.floor(SCALE * x).astype(np.int64)
+
+
+def quantise_wide(x: np.ndarray) -> np.ndarray:
+    """The same of any finite doubles, as Python's integers: doubles from 2 ** 53 on are integers themselves."""
+    values = [int(v) * SCALE if abs(v) >= 1 << 53 else math.floor(v * SCALE) for v in x.ravel().tolist()]
+    return np.array([*values, None], dtype=object)[:-1].reshape(x.shape)
+
+
+def scores(exact: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows and a query, exactly; beyond the range of a long its end."""
+    if exact.dtype != object and query.dtype != object and in_range(exact, query):
+        return exact.astype(np.int64) @ query
+    out: list[int] = []
+    for i in range(0, len(exact), WIDE_BLOCK):
+        out += [min(max(int(s), -LONG - 1), LONG) for s in exact[i : i + WIDE_BLOCK].astype(object) @ query.astype(object)]
+    return np.array(out, np.int64)
+
+
+def in_range(exact: np.ndarray, query: np.ndarray) -> bool:
+    """Whether no sum on the way can leave the range of a long."""
+    most = int(np.abs(exact).max()) if exact.size else 0
+    return most * sum(abs(int(q)) for q in query) <= LONG
 
 
 def to_slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,87 +173,117 @@ def candidates(planes: np.ndarray, real: np.ndarray, query: np.ndarray, k: int,
     return np.flatnonzero(np.unpackbits(at_least(sums, real, best - slack).view(np.uint8), bitorder="little"))
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(fine)
+
+
+def _matrices(batch: pa.RecordBatch, column: int):
+    """(rows, matrix) of the lists of each length."""
+    lists = batch.column(column)
+    sizes, offsets = lists.value_lengths().to_numpy(), lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    for dims in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dims)
+        yield at, flat[(offsets[at][:, None] + np.arange(dims)).ravel()].reshape(len(at), dims) if dims else np.empty((len(at), 0))
+
+
 def build_index(vectors: DataFrame) -> DataFrame:
-    """A written table of blocks from ``vectors`` (vec_id, embedding): dims, ids, values (exact, for boundary rows), slices, low, real."""
+    """A written table of blocks from ``vectors`` (vec_id, embedding): dims, bits, ids, exact, slices and real.
+
+    ``exact`` holds the quantised values as 32-bit integers, for boundary rows; in blocks of wide rows (bits 0) the
+    components themselves.
+    """
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[int, bool], list] = {}
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = lists.value_lengths().to_numpy()
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for dims in np.unique(sizes):
-                at = np.flatnonzero(sizes == dims)
-                rows = flat[(offsets[at][:, None] + np.arange(dims)).ravel()].reshape(len(at), dims) if dims else np.empty((len(at), 0))
-                held.setdefault(int(dims), []).append((ids[at], quantise(rows)))
-                while sum(len(x[0]) for x in held[int(dims)]) >= BLOCK:
-                    yield from pack_blocks(int(dims), held, False)
-        for dims in list(held):
-            yield from pack_blocks(dims, held, True)
-
-    def pack_blocks(dims, held, last):
-        ids, values = (np.concatenate(x) for x in zip(*held.pop(dims), strict=True))
-        for i in range(0, len(ids), BLOCK):
-            if not last and i + BLOCK > len(ids):
-                held[dims] = [(ids[i:], values[i:])]
+            ids = batch.column(0).to_numpy()
+            for at, x in _matrices(batch, 1):
+                wide = is_wide(x)
+                for kind in (False, True):
+                    if (wide == kind).any():
+                        key, rows = (x.shape[1], kind), wide == kind
+                        held.setdefault(key, []).append((ids[at][rows], x[rows]))
+                        if sum(len(i) for i, _ in held[key]) >= (WIDE_BLOCK if kind else BLOCK):
+                            yield from pack(key, held, False)
+        for key in list(held):
+            yield from pack(key, held, True)
+
+    def pack(key, held, last):
+        dims, wide = key
+        ids, x = (np.concatenate(c) for c in zip(*held.pop(key), strict=True))
+        size = WIDE_BLOCK if wide else BLOCK
+        for i in range(0, len(ids), size):
+            if not last and i + size > len(ids):
+                held[key] = [(ids[i:], x[i:])]
                 return
-            part, v = ids[i : i + BLOCK], values[i : i + BLOCK]
-            planes, low, real = to_slices(v) if dims else (np.empty((0, 1, 0), np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "bits": pa.array([planes.shape[1]], pa.int32()), "ids": [part.tobytes()], "exact": [v.astype("<i4").tobytes()], "slices": [planes.tobytes()], "real": [real.tobytes()]})
+            part, rows = ids[i : i + size], x[i : i + size]
+            exact, planes, real = rows.astype("<f8"), np.empty((dims, 0, 0), np.uint64), np.empty(0, np.uint64)
+            if dims and not wide:
+                planes, _, real = to_slices(quantise(rows))
+                exact = quantise(rows).astype("<i4")
+            yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "bits": pa.array([planes.shape[1]], pa.int32()), "ids": [part.tobytes()], "exact": [exact.tobytes()], "slices": [planes.tobytes()], "real": [real.tobytes()]})
 
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST), F.lit(False)))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(usable)
-    return materialise(rows.mapInArrow(run, "dims int, bits int, ids binary, exact binary, slices binary, real binary"), "bit-slices")
+    return materialise(_usable(vectors).mapInArrow(run, "dims int, bits int, ids binary, exact binary, slices binary, real binary"), "bit-slices")
 
 
-def search_block(dims: int, bits: int, ids: np.ndarray, exact: np.ndarray, planes: np.ndarray, real: np.ndarray, queries: list, k: int):
-    """(query id, vec_id, score) of the k best of one block for each query (id, values)."""
+def search_block(ids: np.ndarray, exact: np.ndarray, planes: np.ndarray, real: np.ndarray, queries: list, k: int):
+    """(vec_ids, scores) of the k best of one block for each query (id, values)."""
     for qid, q in queries:
-        # rows of the query's own id are no candidates but count among the k: make room for them
-        own = int(np.count_nonzero(ids == qid))
-        rows = candidates(planes, real, q, k + own) if dims else np.arange(len(ids))
+        rows = np.arange(len(ids))
+        if planes.size and q.dtype != object and in_range(exact, q):
+            # rows of the query's own id are no candidates but count among the k: make room for them
+            rows = candidates(planes, real, q, k + int(np.count_nonzero(ids == qid)))
         rows = rows[ids[rows] != qid]
-        score = exact[rows].astype(np.int64) @ q
+        score = scores(exact[rows], q)
         if len(rows) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
             rows, score = rows[score >= edge], score[score >= edge]
-        order = np.lexsort((ids[rows], -score))[:k]
-        yield qid, ids[rows[order]], score[order]
+        order = np.lexsort((ids[rows], ~score))[:k]
+        yield ids[rows[order]], score[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
     index = build_index(vectors)
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST), F.lit(False)))
-    asked = materialise(queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(usable).distinct(), "queries")
-    blocks = -(-max(1, asked.count()) // QUERIES)
+    asked = materialise(_usable(queries).distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["dims"] or 1) * 8 // QUERY_BYTES))
     # tasks of a few index blocks each, by number: they are few rows but much work
     tiles = index.repartition(max(1, min(index.count(), 100_000)))
-    found = None
+    path = fresh_path(spark, "topk")
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).collect()  # a block of queries
-        shared = spark.sparkContext.broadcast([(r["vec_id"], quantise(np.array(r["embedding"]))) for r in rows])
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()  # a block of queries
+        shared = spark.sparkContext.broadcast([(r["q"], r["vec_id"], np.array(r["embedding"], float)) for r in rows])
 
         def run(batches, shared=shared):
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            asked: dict[int, list] = {}
+            for q, i, x in shared.value:
+                asked.setdefault(len(x), []).append((q, i, quantise_wide(x) if is_wide(x[None, :])[0] else quantise(x)))
+            best: dict[int, tuple] = {}
             for batch in batches:
                 for r in batch.to_pylist():
                     ids, dims = np.frombuffer(r["ids"], np.int64), r["dims"]
-                    exact = np.frombuffer(r["exact"], "<i4").reshape(len(ids), dims)
+                    if dims and not r["bits"]:
+                        exact = quantise_wide(np.frombuffer(r["exact"], "<f8").reshape(len(ids), dims))
+                    else:
+                        exact = np.frombuffer(r["exact"], "<i4").reshape(len(ids), dims)
                     real = np.frombuffer(r["real"], np.uint64)
                     planes = np.frombuffer(r["slices"], np.uint64).reshape(dims, r["bits"], len(real))
-                    for n, (_, v, s) in enumerate(search_block(dims, r["bits"], ids, exact, planes, real, mine := [q for q in shared.value if len(q[1]) == dims], k)):
-                        key = (dims, n)
-                        if key in best:
-                            v, s = np.concatenate([best[key][1], v]), np.concatenate([best[key][2], s])
-                            order = np.lexsort((v, -s))[:k]
+                    mine = asked.get(dims, [])
+                    for (q, i, _), (v, s) in zip(mine, search_block(ids, exact, planes, real, [x[1:] for x in mine], k), strict=True):
+                        if q in best:
+                            v, s = np.concatenate([best[q][1], v]), np.concatenate([best[q][2], s])
+                            order = np.lexsort((v, ~s))[:k]
                             v, s = v[order], s[order]
-                        best[key] = (mine[n][0], v, s)
-            for qid, v, s in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), qid), pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        part = tiles.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        best[q] = (i, v, s)
+            for q, (i, v, s) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(v), q), np.full(len(v), i), v, s)], names=["q", "query_id", "vec_id", "score"])
+
+        part = tiles.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+        ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")))
+        ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)

@@ -1,6 +1,8 @@
 """Top-k search and host reputation against plain versions, and the pipeline against its stages' own results."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,32 +11,51 @@ from tarnstone.llm import topk, url_reputation
 
 
 def brute_topk(rows, k):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            usable.setdefault((i, tuple(np.floor(1024 * np.array(v, float)).astype(int))), None)
-    every = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    """Over all pairs, in Python's integers; a score ends where a long does."""
+    floor = lambda v: tuple(math.floor(Fraction(x) * 1024) for x in v)
+    usable = [(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for qid, q in usable:
+    for qid, v in set(usable):
         if qid % 100 == 0:
-            best = sorted((-int(np.dot(q, v)), i) for i, v in every if i != qid and len(v) == len(q))[:k]
+            q = floor(v)
+            score = lambda e: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, floor(e), strict=True))))  # noqa: B023, E731
+            best = sorted((-score(e), i) for i, e in usable if i != qid and len(e) == len(q))[:k]
             out += [(qid, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("dims,n", [(8, 700), (3, 150)])
-def test_topk(spark, dims, n):
+def with_clashes(df):
+    """Columns whose names the operators use inside."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit("x") for c in ("q", "dims", "bits", "rank", "score", "query_id", "host", "path", "best", "n", "mean", "bad", "verdict", "suffix")})
+
+
+@pytest.mark.parametrize("dims,n,blocks", [(8, 700, 1), (3, 150, 7)])
+def test_topk(spark, monkeypatch, dims, n, blocks):
     r = np.random.default_rng(dims)
     rows = [(i, r.normal(0, 0.3, dims).astype(np.float32).tolist()) for i in range(n)]
     rows += [(1000 + i, rows[0][1]) for i in range(90)]  # ties beyond k
     rows += [(2000, None), (2100, [None] * dims), (2200, [float("nan")] * dims), (2300, [float("inf")] * dims), (None, [0.1] * dims), (2400, [0.0] * dims), (2500, [0.5] * (dims + 1)), (2501, [0.25] * (dims + 1)), (2600, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    rows += [rows[100], (100, [0.5] * dims), (100, [0.25] * dims)]  # a repeated query, and other vectors of its id
+    df = with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 14 * 8 * (dims + 1) // blocks)
     got = topk.search(df, df.where("vec_id % 100 = 0"), 10)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(rows, 10)
     none = df.limit(0)
     assert topk.search(none, none).count() == 0
 
 
+@pytest.mark.parametrize("large", [70_000.0, 1e6, 3e7, 1e15, 1e300, 1.7e308])
+def test_topk_of_large_components(spark, large):
+    r = np.random.default_rng(7)
+    rows = [(i, [*r.normal(0, 1, 3).tolist(), 0.0]) for i in range(300)]
+    rows += [(1000 + i, [large * x for x in r.normal(0, 0.5, 4).clip(-1, 1).tolist()]) for i in range(30)] + [(2000, [large, 0.0, 0.0, 1.0]), (2001, [-large, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.search(df, df.where("vec_id % 100 = 0"), 10)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(rows, 10)
+
+
 def test_slices_add_up():
     r = np.random.default_rng(1)
     v = r.integers(-500, 500, (200, 5))
