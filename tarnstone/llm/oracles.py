@@ -1,8 +1,22 @@
-"""DuckDB SQL that says what some of the queries say, built from the operators' own patterns and parameters."""
+"""DuckDB SQL that says what some of the queries say. What the contracts fix is written out here, apart from the operators."""
 
 from __future__ import annotations
 
-from . import secrets, url_reputation
+#: Kind: pattern, a pattern for the same matches where they are long enough, group whose length counts, least length, role; fixed values.
+KINDS = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", None, 2, 6, "secret"),
+    "access": (r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}", 0, 20, "ident"),
+    "hex": (r"[0-9a-f]+", r"[0-9a-f]{24,}", 0, 24, "secret"),
+    "ident": (r"""((?i:user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""", None, 2, 3, "ident"),
+    "opaque": (r"[A-Za-z0-9+/_=-]{20,}", None, 0, 20, "secret"),
+    "endpoint": (r"""[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+""", None, 0, 8, "endpoint"),
+}
+#: The first kinds are the contract's own; the others are reported with partners of these roles within so many code points.
+BASE, SCOPE = 3, 300
+PARTNERS = {"ident": ("secret",), "secret": ("ident",), "endpoint": ("ident", "secret")}
+#: Rules by length, the longest first, and second-level names of registries; fixed values.
+RULES = (("example.com/en/7", "allow"), ("example.net/de/8", "block"), ("com/en/", "block"), ("net/de/", "block"), ("org/es/", "block"))
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 
 def _quoted(s: str) -> str:
@@ -12,9 +26,8 @@ def _quoted(s: str) -> str:
 def op3_secrets() -> str:
     """Starts are sums of the gaps and matches before; links are looked up row by row."""
     found = []
-    for n, kind in enumerate(secrets.KINDS):
-        pattern, group, least, role = (secrets.BASE | secrets.WEAK)[kind]
-        quick = _quoted(secrets.QUICK.get(kind, pattern))
+    for n, (kind, (pattern, long, group, least, role)) in enumerate(KINDS.items()):
+        quick = _quoted(long or pattern)
         fits = f"length(regexp_extract(m, {_quoted(pattern)}, {group})) >= {least}"
         if kind == "opaque":
             fits += "".join(f" AND regexp_matches(m, '[{c}]')" for c in ("0-9", "a-z", "A-Z"))
@@ -22,25 +35,23 @@ def op3_secrets() -> str:
             FROM (SELECT doc_id, m, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop
                   FROM (SELECT doc_id, unnest(regexp_extract_all(t, {quick})) AS m, unnest(string_split_regex(t, {quick})[:-2]) AS gap, generate_subscripts(regexp_extract_all(t, {quick}), 1) AS i
                         FROM d WHERE regexp_matches(t, {quick}))) WHERE {fits}""")
-    near = lambda p: f"EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.role = '{p}' AND abs(o.start - s.start) <= {secrets.SCOPE})"
-    linked = " OR ".join(f"(s.role = '{r}' AND {' AND '.join(map(near, ps))})" for r, ps in secrets.PARTNERS.items())
-    base = len(secrets.BASE)
+    near = lambda p: f"EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.role = '{p}' AND o.start <= s.stop + {SCOPE} AND o.stop >= s.start - {SCOPE})"
+    linked = " OR ".join(f"(s.role = '{r}' AND {' AND '.join(map(near, ps))})" for r, ps in PARTNERS.items())
     listed = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
-    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(list(KINDS)[:BASE]))
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(found)}),
-             k AS (SELECT * FROM s WHERE kind < {base} OR {linked}),
-             j AS (SELECT doc_id, {counts}, {listed} FILTER (kind < {base}) AS base, {listed} AS spans FROM k GROUP BY 1)
-        SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+             k AS (SELECT * FROM s WHERE kind < {BASE} OR {linked}),
+             j AS (SELECT doc_id, {counts}, {listed} FILTER (kind < {BASE}) AS base, {listed} AS spans FROM k GROUP BY 1)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in list(KINDS)[:BASE])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
 
 
 def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
-    rules = sorted(url_reputation.RULES, key=lambda r: (-len(r[0]), r[0]))
-    fits = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for r, _ in rules}
-    rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in rules) + " END"
-    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules) + " END"
-    second = "|".join(url_reputation.SECOND_LEVEL)
+    fits = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for r, _ in RULES}
+    rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in RULES) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES) + " END"
+    second = "|".join(SECOND_LEVEL)
 
     def shrunk(groups: str, parents: str, key: str) -> str:
         """Groups around their parents' means, with the prior's strength by moments."""

@@ -2,9 +2,10 @@
 
 Base patterns name certain spans. Weak candidates (account identifiers, mixed tokens, endpoints) are common in
 clean text, so they count only where complementary parts of a credential co-occur: an identifier with a
-secret, a secret with an identifier, an endpoint with both, all beginning within ``scope`` code points in one
-text. That interval join is done by sorting: per text, the spans of each role that begin within the scope of a
-span are counted by a range frame over the starts, so no pairs are made.
+secret, a secret with an identifier, an endpoint with both, with gaps of at most ``scope`` code points between
+them in one text. That interval join is done by sorting, so no pairs are made: per text, spans lie in the order
+of their starts among probes, one behind each span by the scope; of all spans of a role that start before a probe,
+the largest end tells whether one reaches to within the scope of the probe's span.
 
 One pass over the texts finds all matches and their lengths; only those numbers are shuffled, by document.
 All of it is DataFrame operations.
@@ -68,20 +69,23 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = F.concat(nothing, *(_matches(F.col("text"), k) for k in KINDS))
     each = read.select("doc_id", "text_hash", F.posexplode(found).alias("nth", "m")).select("doc_id", "text_hash", "nth", "m.*")
     key = ["doc_id", "text_hash"]
-    # rows that repeat come together here and are told apart again at the end
-    dealt = each.repartition(*key).groupBy(*key, "nth", "kind", "gap", "size", "fits").agg(F.count("*").alias("rows"))
+    # rows that repeat are counted, and told apart again at the end
+    dealt = each.groupBy(*key, "nth", "kind", "gap", "size", "fits").agg(F.count("*").alias("rows"))
     upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*key, "kind").orderBy("nth"))
     placed = dealt.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size")).where("fits")
     roles = [F.lit(None).cast("string"), *(F.lit(x[3]) for x in (BASE | WEAK).values())]
     placed = placed.withColumn("role", F.element_at(F.array(*roles), F.col("kind") + 2))
-    reach = Window.partitionBy(*key).orderBy("start").rangeBetween(-scope, scope)
+    at = F.explode(F.array(F.struct(F.lit(False).alias("probe"), F.col("start").alias("at")), F.struct(F.lit(True).alias("probe"), (F.col("end") + scope).alias("at"))))
+    events = placed.withColumn("event", at).select("*", "event.probe", "event.at").drop("event")
+    before = Window.partitionBy(*key).orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
     linked = F.lit(False)
     for role, partners in PARTNERS.items():
         here = F.col("role") == role
         for p in partners:
-            here = here & (F.count(F.when(F.col("role") == p, 1)).over(reach) > 0)
-        linked = linked | here
-    kept = placed.withColumn("linked", linked).where((F.col("kind") < len(BASE)) | F.col("linked"))
+            here = here & (F.max(F.when(~F.col("probe") & (F.col("role") == p), F.col("end"))).over(before) >= F.col("start") - scope)
+        linked = linked | F.coalesce(here, F.lit(False))
+    placed = events.withColumn("linked", linked).where("probe")
+    kept = placed.where((F.col("kind") < len(BASE)) | F.col("linked"))
     span = F.struct("start", "kind", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.when(F.col("kind") >= 0, F.col("kind") + 1)).alias("name"))
     back = kept.groupBy(*key).agg(F.max(F.when(F.col("kind") < 0, F.col("rows"))).alias("rows"), F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, span))).alias("spans"))
     return back.select("doc_id", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "spans")
