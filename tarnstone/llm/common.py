@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A key is heavy if it has at least 1 / HEAVY of the rows: no more than so many keys are.
+HEAVY = 1024
+
+
+def same(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` of the same names, null equal to null; the keys of ``b`` go."""
+    b = b.withColumnsRenamed({k: f"{k}_of_b" for k in keys})
+    on = reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"{k}_of_b"]) for k in keys))
+    return a.join(b, on, how).drop(*(f"{k}_of_b" for k in keys))
+
+
+def lookup(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has one row of each key, null equal to null.
+
+    Heavy keys' rows of ``found`` (HEAVY at most) are broadcast, so that a common key's rows aren't brought together;
+    the other keys are shuffled. ``rows`` is read three times, so it should be a written table or cheap.
+    """
+    total = rows.count()
+    heavy = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") * HEAVY >= total).select(*keys))
+    hot = same(rows, F.broadcast(same(found, heavy, *keys, how="left_semi")), *keys)
+    return hot.unionByName(same(same(rows, heavy, *keys, how="left_anti"), same(found, heavy, *keys, how="left_anti"), *keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, slices
+from .common import lookup, materialise, slices
 from .components import connected_components
 
 SEED = 42
@@ -86,10 +86,10 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     rows = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(links(nodes.select("fp"), radius))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(of, rows["fp"] == of["f"]).select("doc_id", "fp", "component_id")
+    placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    named = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    of = materialise(lookup(placed, named, "root").select("fp", "component_id"), "of")
+    return lookup(rows, of, "fp").select("doc_id", "fp", "component_id")
 
 
 #: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample.
