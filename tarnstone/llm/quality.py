@@ -8,6 +8,7 @@ which the largest keys stay. The noise is a hash of doc_id and text, so reruns a
 An n-gram is a word, a pair of words, or a triple of word shapes; words are runs of letters and digits or of one
 punctuation character, and a shape tells case, length and whether a word repeats one of the last few. A text's
 weight is its mean over n-grams times ``SHARPNESS``, so that long texts don't outweigh short ones by length alone.
+Long texts are read in stretches that overlap by a few runs, so memory is bounded by ``SLICE``, not by a text.
 
 The raw model counts every text; the target model is fitted on ``SAMPLE`` labelled texts on average, drawn by
 a hash. How many texts stay is a share of all; unless given, it is the share of texts whose weight is above the
@@ -16,13 +17,15 @@ digit by digit.
 
 Defined cases: null text is empty; a text without n-grams has weight 0; rows that repeat doc_id and text have the
 same key and fare alike (so ties at the threshold all stay); rows of doc_ids that repeat in the labels count once
-for each label; without good labels the target is the raw model; an empty table gives an empty result. Other
+for each label, and of rows with one labelled doc_id and several texts the smallest weight serves to find the cut; without good
+labels the target is the raw model; a run of over ``SLICE`` bytes may count as several; an empty table gives an empty result. Other
 columns are ignored by :func:`weigh` and kept by :func:`resample`.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ SAMPLE = 20_000
 SHARPNESS = 40.0
 #: Bytes handled at a time.
 SLICE = 1_000_000
+#: Runs before an n-gram that its hash depends on: two of its own, and four in which a word may repeat.
+CONTEXT = 6
 #: Keys are compared as integers of so many units per nat.
 UNITS = 1 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
@@ -65,8 +70,8 @@ def _classes() -> np.ndarray:
     return _tables["class"]
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every n-gram of the texts."""
+def features(texts: list[bytes], context: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text number of every n-gram of the texts, but for those that end within a text's first ``context`` bytes."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     kind = _classes()[data]
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
@@ -78,7 +83,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h = (run[stop] - run[start]) * q[start]
         h ^= h >> np.uint64(31)
         h *= _M[3]
-        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start - 1, side="right")
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        of = np.searchsorted(ends, start - 1, side="right")
+        new = np.ones(len(start), bool) if context is None else start - 1 - (ends - [len(t) + 1 for t in texts])[of] >= np.array(context)[of]
         first, size = data[start], stop - start
         upper = (first >= 65) & (first <= 90)
         second = data[np.minimum(start + 1, len(data) - 1)]
@@ -91,16 +98,41 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         triple = shape[:-2] * _M[0] + shape[1:-1] * _M[1] + shape[2:] * _M[2]
         triple ^= triple >> np.uint64(29)
         triple *= _M[3]
-    same2, same3 = of[:-1] == of[1:], of[:-2] == of[2:]
-    buckets = np.concatenate([h, pair[same2], triple[same3]]) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-    return buckets.astype(np.int64), np.concatenate([of, of[:-1][same2], of[:-2][same3]])
+    same2, same3 = (of[:-1] == of[1:]) & new[1:], (of[:-2] == of[2:]) & new[2:]
+    buckets = np.concatenate([h[new], pair[same2], triple[same3]]) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+    return buckets.astype(np.int64), np.concatenate([of[new], of[:-1][same2], of[:-2][same3]])
+
+
+_SPACES = re.compile(rb"[\x09\x0B-\x0D\x20]+")
+
+
+def stretches(text: bytes):
+    """(stretch, bytes of context at its begin) of a text, each of about SLICE bytes, cut before white space where there is any."""
+    at, held = 0, b""
+    while at < len(text):
+        end = min(at + SLICE, len(text))
+        if end < len(text):
+            cut = max(text.rfind(c, at + 1, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            while cut > at and text[cut] == text[cut - 1] == 10:  # line feeds in a row are one run
+                cut -= 1
+            end = cut if cut > at else end
+        yield held + text[at:end], len(held)
+        # the last runs are among the last words, of which each has one run at least
+        words = _SPACES.split((held + text[at:end])[-SLICE:])
+        held = b" ".join(words[-CONTEXT - 1 :]) if text[end : end + 1].isspace() else b""
+        at = end
 
 
 def _slices(batch: pa.RecordBatch, column: int):
     """Row ranges of a bounded number of bytes, and the n-grams of their texts; no more is taken out of Arrow at a time."""
     texts = pc.fill_null(batch.column(column), "").cast(pa.binary())
     for lo, hi in slices(pc.binary_length(texts).to_pylist(), SLICE):
-        yield lo, hi, *features(texts.slice(lo, hi - lo).to_pylist())
+        part = texts.slice(lo, hi - lo).to_pylist()
+        if len(part) == 1 and len(part[0]) > SLICE:
+            for stretch, context in stretches(part[0]):
+                yield lo, hi, *features([stretch], [context])
+        else:
+            yield lo, hi, *features(part)
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
@@ -156,11 +188,11 @@ def weigh(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> D
 
     def run(batches):
         for batch in batches:
-            means = np.zeros(batch.num_rows)
-            for lo, hi, buckets, of in _slices(batch, 2):
-                n = np.bincount(of, minlength=hi - lo)
-                means[lo:hi] = np.bincount(of, weights=shared.value[buckets], minlength=hi - lo) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(means)], names=["doc_id", "text_hash", "mean"])
+            sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for lo, hi, buckets, of in _slices(batch, 2):  # a long text comes in several parts
+                counts[lo:hi] += np.bincount(of, minlength=hi - lo)
+                sums[lo:hi] += np.bincount(of, weights=shared.value[buckets], minlength=hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums / np.maximum(counts, 1))], names=["doc_id", "text_hash", "mean"])
 
     scored = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, mean double")
     uniform = (F.pmod(F.xxhash64(F.lit(42), "doc_id", "text_hash"), F.lit(1 << 40)) + 0.5) / (1 << 40)
@@ -194,7 +226,7 @@ def choose(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
     drawn = materialise(draw(labels), "labelled")
     scored = materialise(weigh(docs, fit(docs, drawn)), "weights")
     if share is None:
-        seen = scored.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy("labelled", "quality").agg(F.first("log_weight").alias("w")).select("w", "quality").toPandas()  # the sample
+        seen = scored.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy("labelled", "quality").agg(F.min("log_weight").alias("w")).select("w", "quality").toPandas()  # the sample
         k = scored.where(F.col("log_weight") >= best_cut(seen["w"].to_numpy(float), (seen["quality"] == 1).to_numpy(bool))).count()
     else:
         k = math.ceil(scored.count() * share)

@@ -348,27 +348,142 @@ def test_language_id(spark, empty):
     assert lang_id.predict(odd, none).select("lang_pred").distinct().collect()[0][0] == "und" and lang_id.predict(empty, model).count() == 0
 
 
+def brute_grams(text):
+    """4-grams as strings, cell by cell."""
+    low = f" {text.lower()}   "
+    shown = "".join(c if c.isalpha() else " " for c in low)
+    return [shown[i : i + 4] for i in range(len(low) - 3) if shown[i + 1] != " " and shown[i + 2] != " "]
+
+
+def test_language_id_against_sets(spark, monkeypatch):
+    """Plain sets of n-grams instead of filters: the same languages, nearly the same scores, row by row."""
+    from collections import Counter
+
+    r = random.Random(21)
+    letters = ["abcdefgh", "efghijkl", "ijklmnop", "abmnopqr", "ßéÀÜabmn"]
+    make = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 6))) + r.choice(["", "", ",", "7"]) for _ in range(n))
+    rows = [(i, make(k, r.randint(1, 50)), f"l{k}") for i, k in enumerate(r.choices(range(5), [9, 5, 4, 3, 2], k=300))]
+    rows += [(300, None, "l1"), (301, "no", None), (302, " 12 ", "l2"), (None, make(1, 9), None), rows[3], (303, "A", None)]
+    df = with_clashes(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = [(t, k) for _, t, k in rows if t is not None and k is not None]
+    sizes, grams = Counter(k for _, k in known), {}
+    for t, k in known:
+        grams.setdefault(k, Counter()).update(brute_grams(t))
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in grams.items()}
+    most = {g: max(x.get(g, 0) for x in rate.values()) for x in rate.values() for g in x}
+    own = {k: {g for g, x in c.items() if x >= lang_id.RATE and x * 4 >= most[g]} for k, c in rate.items()}
+    order = sorted(sizes, key=lambda k: (-sizes[k], k))
+    want = []
+    for i, t, _ in rows:
+        hits = [sum(g in own[k] for g in brute_grams(t or "")) for k in order]
+        best = max(range(5), key=lambda k: (hits[k], -k))
+        fine = any(c.isalpha() for c in t or "")
+        want.append((str(i), order[best] if fine else "und", hits[best] / sum(hits) if fine and sum(hits) else 0.0))
+    for group in (32, 2):
+        monkeypatch.setattr(lang_id, "GROUP", group)
+        model = lang_id.learn(df)
+        assert model.groups == -(-5 // group)
+        taught = {(x.lang, x.gram) for x in model.languages.join(model.own, "nth").collect()}
+        assert len(taught) == sum(map(len, own.values()))
+        got = sorted((str(x.doc_id), x.lang_pred, x.score) for x in lang_id.predict(df, model).collect())
+        off = [abs(g[2] - w[2]) for g, w in zip(got, sorted(want), strict=True)]
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and max(off) < 0.15 and np.mean(off) < 0.01  # filters have false positives
+
+
+def test_long_texts_come_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(12)
+    text = "".join(r.choice(["ab", "Cd", "é", " ", " ", "\n", "\n\n", ". ", "!!", "\t", "x1"]) for _ in range(900))
+    for length in (10**6, 61, 200):
+        monkeypatch.setattr(lang_id, "SLICE", length)
+        monkeypatch.setattr(quality, "SLICE", length)
+        parts = list(lang_id.read(pa.array(["ab cd", text, ""])))
+        found = sorted((lo + k, h) for lo, _, hashes, of, _ in parts for k, h in zip(of.tolist(), hashes.tolist(), strict=True))
+        parts = list(quality._slices(pa.RecordBatch.from_pydict({"t": ["ab cd", text, None]}), 0))
+        ngrams = sorted((lo + k, b) for lo, _, buckets, of in parts for k, b in zip(of.tolist(), buckets.tolist(), strict=True))
+        if length == 10**6:
+            first = found, ngrams
+        assert (found, ngrams) == first and len(found) == len(brute_grams("ab cd")) + len(brute_grams(text))
+
+
 def test_bloom_slots_agree_with_a_set():
     h = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     f = lang_id.Filter(["a", "b"], {"a": h[:2000], "b": h[1000:3000]})
-    at = lang_id.slots(h, f.size)
-    found = f.masks[0][at[0]] & f.masks[0][at[1]] & f.masks[0][at[2]]
-    assert (found[:2000] & 1).all() and (found[1000:3000] & 2).all() and (found[3000:] == 0).mean() > 0.98
-
-
-def test_quality(spark, empty):
-    r = random.Random(2)
-    good = lambda: " ".join(r.choice("the quick brown fox jumps over lazy dogs and sleeps".split()) for _ in range(r.randint(8, 80))) + "."
-    bad = lambda: " | ".join("%" * r.randint(2, 5) + r.choice("zxqj") for _ in range(r.randint(8, 80)))
-    rows = [(i, good() if i % 5 else bad(), int(i % 5 > 0)) for i in range(500)] + [(600, None, None), (601, "", None), (None, good(), None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, q int")
-    labels = df.where("doc_id % 2 = 0").selectExpr("doc_id", "q AS quality")
-    got = {x.doc_id: x.kept for x in quality.choose(df, labels).collect()}
-    assert len(got) == len(rows) and all(got[i] == bool(q) for i, _, q in rows if q is not None)
-    assert sum(x.kept for x in quality.choose(df, labels, share=0.1).collect()) == 51
-    kept = quality.resample(with_clashes(df), labels)
-    assert kept.columns == with_clashes(df).columns and {x.doc_id for x in kept.collect()} >= {i for i, _, q in rows if q}
-    assert quality.choose(empty, labels).count() == 0 and quality.choose(df, labels.limit(0)).count() == len(rows)
+    hits = f.hits(h, np.arange(len(h)), len(h))
+    assert hits[:2000, 0].all() and hits[1000:3000, 1].all() and (hits[3000:] == 0).mean() > 0.98
+
+
+def brute_ngrams(text):
+    """Words, pairs and triples of shapes of a text, as tuples."""
+    kind = lambda c: 0 if c in b" \t\x0b\x0c\r" else 1 if c >= 128 or chr(c).isalnum() else c
+    runs, at = [], 0
+    data = (text or "").encode()
+    for i in range(1, len(data) + 1):
+        if i == len(data) or kind(data[i]) != kind(data[at]):
+            if kind(data[at]):
+                runs.append(data[at:i])
+            at = i
+    upper = lambda c: 65 <= c <= 90
+
+    def shape(i):
+        w = runs[i]
+        again = kind(w[0]) == 1 and w in runs[max(0, i - 4) : i]
+        if kind(w[0]) == 1:
+            return 1, min(int(np.log2(len(w) + 1)), 6), upper(w[0]), upper(w[0]) and len(w) > 1 and upper(w[1]), again
+        return w[0], len(w) > 1, again
+
+    shapes = [shape(i) for i in range(len(runs))]
+    return [("w", x) for x in runs] + list(zip(runs, runs[1:])) + list(zip(shapes, shapes[1:], shapes[2:]))
+
+
+def test_quality_against_a_plain_model(spark):
+    """Counts, weights, keys, the cut and the largest keys one by one."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(31)
+    words = ["Ada", "bee", "CAT", "dog's", "e1", "--", "fig.", "x", "I", "zz!"]
+    text = lambda good: " ".join(r.choices(words, [9, 8, 7, 6, 5, 1, 1, 1, 1, 1] if good else [1, 1, 2, 1, 3, 6, 7, 8, 9, 9], k=r.randint(1, 40)))
+    rows = [(i, text(i % 3), int(i % 3 > 0)) for i in range(200)] + [(300, None, None), (301, "", 1), (None, text(1), None), (5, text(0), None)]
+    rows.append(rows[7])
+    df = with_clashes(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame(sorted({(i, q) for i, _, q in rows if q is not None and i % 2}), "doc_id long, quality int")
+    label = {x.doc_id: x.quality for x in labels.collect()}
+    bucket = {}  # of each n-gram: the same wherever it stands, and rarely that of another one
+    for _, t, _ in rows:
+        for g, b in zip(brute_ngrams(t), quality.features([(t or "").encode()])[0].tolist(), strict=True):
+            assert bucket.setdefault(g, b) == b
+    assert len(set(bucket.values())) > 0.97 * len(bucket)
+    buckets = lambda t: [bucket[g] for g in brute_ngrams(t)]
+    raw, target = Counter(), Counter()
+    for i, t, _ in rows:
+        raw.update(buckets(t))
+        if label.get(i) == 1:
+            target.update(buckets(t))
+    smooth = lambda c, g: math.log((c[g] + 0.5) / (c.total() + 0.5 * quality.BUCKETS))
+    weight = lambda t: round(quality.SHARPNESS * sum(smooth(target, g) - smooth(raw, g) for g in buckets(t)) / max(1, len(buckets(t))), 9)
+    noise = {(x.i, x.t): -math.log(-math.log((x.h % (1 << 40) + 0.5) / (1 << 40))) for x in df.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    got = quality.choose(df, labels).collect()
+    want = sorted((str(i), round(weight(t), 6)) for i, t, _ in rows)
+    assert [w[0] for w in want] == [g[0] for g in sorted((str(x.doc_id), x.log_weight) for x in got)]
+    assert np.allclose([w[1] for w in want], [g[1] for g in sorted((str(x.doc_id), round(x.log_weight, 6)) for x in got)], atol=1e-5)
+    labelled = {}
+    for i, t, _ in rows:
+        if i in label:
+            labelled[i] = min(weight(t), labelled.get(i, math.inf))
+    cuts = sorted(set(labelled.values()))
+    middles = [-math.inf, *((a + b) / 2 for a, b in zip(cuts, cuts[1:])), math.inf]
+    good = [w for i, w in labelled.items() if label[i] == 1]
+    bad = [w for i, w in labelled.items() if label[i] == 0]
+    cut = min(middles, key=lambda c: sum(w < c for w in good) / len(good) + sum(w >= c for w in bad) / len(bad))
+    k = sum(weight(t) >= cut for _, t, _ in rows)
+    keys = [math.floor((weight(t) + noise[i, t]) * quality.UNITS) for i, t, _ in rows]
+    edge = sorted(keys, reverse=True)[k - 1]
+    kept = sorted(str(i) for (i, _, _), key in zip(rows, keys, strict=True) if key >= edge)
+    assert sorted(str(x.doc_id) for x in got if x.kept) == kept and 60 < len(kept) < 180
 
 
 def test_kth_largest(spark):
