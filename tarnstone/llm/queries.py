@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lang_id, mixing, oracles, packing, quality, secrets, simhash, token_files, topk, url_reputation
-from .common import fresh_path, table
+from .common import clean, fresh_path, table, written
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _tidy(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """What a query wrote on its way goes, but for the tables that its result reads."""
+
+    @functools.wraps(run)
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = written(spark)
+        out = run(spark, sf_dir)
+        clean(spark, out, since=before)
+        return out
+
+    return call
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op9_token_files, op10_simhash)}
+    return {f.__name__: _tidy(f) for f in (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op10_simhash)} | {"op9_token_files": op9_token_files}  # op9 reads files that Spark doesn't list
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from tarnstone.llm import topk, url_reputation
+from tarnstone.llm import mixing, topk, url_reputation
 
 
 def brute_topk(rows, k):
@@ -98,6 +99,11 @@ def test_reputation_shrinks_towards_the_parents(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Every stage's rows, and those of the whole, against plain versions; crowds, copies and a shared passage among them."""
+    import public_tokenizers
+    import test_texts as plain
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as cp
 
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "exact dedup", "SimHash near-dedup", "mixing sources", "packing"]
@@ -109,16 +115,45 @@ def test_pipeline(spark, tmp_path):
         rows.append((i, text, "en", f"s{i % 4}", 0))
     rows += [(100 + i, rows[i][1], "en", "s1", 0) for i in range(10)]
     rows += [(200 + i, "%%% | !! | " * 30, "en", "s2", 0) for i in range(15)] + [(300, None, None, None, None)]
+    passage = [r.choice(words) for _ in range(100)]
+    for g in range(40):
+        own = [*passage, *(r.choice(words) for _ in range(22))]  # strangers that share a passage, most below 0.8
+        for k in range(1 + (g % 4 == 0)):
+            rows.append((400 + 2 * g + k, " ".join([*own, "tail"] if k else own), "en", "s3", 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1, 0) for i in range(60)] + [(200 + i, 0, 0) for i in range(10)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     at, names = docs, docs.columns
-    counts = []
+    stages = {}
     for name, stage in cp.STAGES:
-        at = stage(spark, at, str(tmp_path))
-        counts.append(at.count())
+        stages[name] = at = stage(spark, at, str(tmp_path))
         assert name == "packing" or at.columns == names
-    assert counts[0] >= 90 and counts[1] == counts[0] - 10 and counts[2] == counts[1]
+    ids = lambda name: sorted((-1 if x.doc_id is None else x.doc_id) for x in stages[name].select("doc_id").collect())
+    # plain versions, each over what the plain version before it keeps
+    _, kept = plain.plain_quality(rows, {i: q for i, q, _ in labels}, docs)
+    left = [x for x in rows if x[:2] in kept]
+    assert ids("quality classifier") == sorted(-1 if x[0] is None else x[0] for x in left) and len(left) >= 90
+    first = {}
+    for x in sorted(left, key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", x[1] or ""), x)
+    left = list(first.values())
+    assert ids("exact dedup") == sorted(x[0] for x in left)
+    stay = set(plain.brute_thin([x[:2] for x in left]))
+    left = [x for x in left if x[0] in stay]
+    assert ids("SimHash near-dedup") == sorted(stay) and 0 < len(stay) < len(first)
+    thinned = spark.createDataFrame(left, docs.schema)
+    dealt = mixing.plan(thinned).collect()
+    plain.check_mix(dealt)
+    copies = {x.doc_id: x.copies for x in dealt}
+    assert ids("mixing sources") == sorted(i for i, n in copies.items() for _ in range(n))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t, *_ in left:
+        every, start = [*tok.encode(t or "", add_special_tokens=False).ids, 2], 0
+        for n in [4096] * (len(every) // 4096) + [1 << b for b in range(11, -1, -1) if len(every) % 4096 >> b & 1]:
+            want += [(i, start, n, len(every), every[start : start + n])] * copies[i]
+            start += n
     out = cp.run(spark, str(tmp_path)).collect()
-    assert len(out) == counts[4] and {x.doc_id for x in out} <= {i for i, *_ in rows if i is not None and not 100 <= i < 110} | {None}
+    assert sorted((x.doc_id, x.start, x.length, x.doc_tokens, np.frombuffer(x.ids, "<u4").tolist()) for x in out) == sorted(want)
+    assert len({x.sequence_id for x in out}) == len(out)
