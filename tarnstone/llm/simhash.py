@@ -96,8 +96,8 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 TABLES, SAMPLED = 12, 4
 #: Of a group that meets at a fingerprint, so many are compared with all others at first.
 CENTRES = 4
-#: Neighbours in a group that meets at a fingerprint are sought within so many parts of it.
-PARTS = 64
+#: Neighbours in a group that meets at a fingerprint are sought within parts of about so many of it.
+PART = 1000
 #: Rows that share a shingle of their prefixes are paired by a join up to so many, and in cells beyond.
 PAIRED = 32
 #: Rows and shingles of each side of a cell.
@@ -167,13 +167,13 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
     seen = materialise(rows.select("nid", "text").mapInArrow(sketch, "nid long, t int, fp long"), "sketches")
 
     sizes = seen.groupBy("t", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(seen.join(sizes, ["t", "fp"]), "met")
+    met = materialise(lookup(seen, materialise(sizes, "sizes"), "t", "fp"), "met")
     crowds = met.where("t > 0").groupBy("nid").agg(F.sum("n").alias("crowd"))
     met = materialise(met.join(crowds, "nid", "left").select("nid", "t", "fp", "n", F.coalesce("crowd", F.lit(0)).alias("crowd")), "met")
     central = Window.partitionBy("t", "fp").orderBy(F.col("crowd").desc(), F.xxhash64("t", "nid"))  # cut to CENTRES rows before the shuffle, too
     centres = met.withColumn("place", F.row_number().over(central)).where(F.col("place") <= CENTRES).select("t", "fp", F.col("nid").alias("other"))
-    to_centre = met.join(centres, ["t", "fp"]).where("nid <> other").select("nid", "other")
-    part = Window.partitionBy("t", "fp", F.pmod(F.xxhash64("nid"), F.lit(PARTS))).orderBy("nid")
+    to_centre = lookup(met, materialise(centres, "centres"), "t", "fp").where("nid <> other").select("nid", "other")
+    part = Window.partitionBy("t", "fp", F.pmod(F.xxhash64("nid"), F.ceil(F.col("n") / PART))).orderBy("nid")
     to_last = met.withColumn("other", F.lag("nid").over(part)).where("other IS NOT NULL").select("nid", "other")
     grouped = to_centre.unionByName(to_last).select(F.least("nid", "other").alias("u"), F.greatest("nid", "other").alias("v"))
     whole = materialise(seen.where("t = 0").groupBy("fp").agg(F.min("nid").alias("nid")), "nodes")
@@ -186,7 +186,7 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
     crowded = met.where(F.col("n") > CENTRES + 1).select("nid", "t", "fp")  # smaller groups have had all their pairs compared
     crowded = materialise(crowded.join(roots, crowded["nid"] == roots["node"], "left").select("nid", "t", "fp", F.coalesce("root", "nid").alias("root")), "crowded")
     apart = crowded.groupBy("t", "fp").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("t", "fp")
-    left = materialise(crowded.join(apart, ["t", "fp"]).select("nid", "root").distinct(), "left")
+    left = materialise(lookup(crowded, materialise(apart, "apart"), "t", "fp").select("nid", "root").distinct(), "left")
     if left.isEmpty():
         return first
     pairs, found = links_across(rows.join(left, "nid").select("nid", "root", "text"), words, least)
