@@ -85,15 +85,18 @@ def same(a: DataFrame, b: DataFrame, *keys: str, how: str = "inner") -> DataFram
 
 
 def lookup(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
-    """Inner join of ``rows`` with ``found``, which has one row of each key, null equal to null.
+    """Inner join of ``rows`` with ``found``, which has few rows of each key, null equal to null.
 
-    Heavy keys' rows of ``found`` (HEAVY at most) are broadcast, so that a common key's rows aren't brought together;
-    the other keys are shuffled. ``rows`` is read three times, so it should be a written table or cheap.
+    Heavy keys' rows of ``found`` are broadcast (those of HEAVY keys at most), so that a common key's rows aren't
+    brought together; the other keys are shuffled. The keys have the same types on both sides. ``rows`` is read
+    four times, so it should be a written table or cheap.
     """
-    total = rows.count()
-    heavy = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") * HEAVY >= total).select(*keys))
-    hot = same(rows, F.broadcast(same(found, heavy, *keys, how="left_semi")), *keys)
-    return hot.unionByName(same(same(rows, heavy, *keys, how="left_anti"), same(found, heavy, *keys, how="left_anti"), *keys))
+    total, key = rows.count(), F.xxhash64(*keys)
+    heavy = [r["key"] for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") * HEAVY >= total).collect()]  # HEAVY at most
+    if not heavy:
+        return same(rows, found, *keys)
+    hot = key.isin(heavy)
+    return same(rows.where(hot), F.broadcast(found.where(hot)), *keys).unionByName(same(rows.where(~hot), found.where(~hot), *keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
