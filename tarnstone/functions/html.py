@@ -20,9 +20,16 @@ CLOSES = {
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Where the search for an element to end stops, fixed values.
 FENCES = frozenset("table ul ol div section article body html".split())
-#: Tags and attributes that a display artifact may hold, fixed values.
-ALLOWED_TAGS = frozenset("article section div span h1 h2 h3 h4 h5 h6 p ul ol li blockquote strong em b i u code pre table thead tbody tr th td a br".split())
-ALLOWED_ATTRIBUTES = frozenset("id class title data-content-chunk-id data-citation-id data-anchor".split())
+#: Tags and attributes that a display artifact may hold, fixed values; a link may have an href besides.
+ALLOWED_TAGS = (
+    "article", "section", "div", "span",
+    "h1", "h2", "h3", "h4", "h5", "h6",
+    "p", "ul", "ol", "li", "blockquote",
+    "strong", "em", "b", "i", "u", "code", "pre",
+    "table", "thead", "tbody", "tr", "th", "td",
+    "a", "br",
+)
+ALLOWED_ATTRIBUTES = ("id", "class", "title", "data-anchor")
 DROPPED_WITH_CONTENT = frozenset(("script", "style", "textarea", "option"))
 _SPACE = re.compile(r"\s+")
 
@@ -63,10 +70,6 @@ class Node:
                 todo += reversed(node.children)
         return "".join(out)
 
-    def following(self) -> list[Node]:
-        at = next(i for i, c in enumerate(self.parent.children) if c is self) if self.parent else 0
-        return self.parent.children[at + 1 :] if self.parent else []
-
     def remove(self) -> None:
         if self.parent:
             self.parent.children = [c for c in self.parent.children if c is not self]
@@ -180,7 +183,7 @@ def _safe_url(value: str) -> bool:
     return scheme is None or scheme[1].lower() in ("http", "https")
 
 
-def sanitize(nodes: list[Node], tags: frozenset[str] = ALLOWED_TAGS, attributes: frozenset[str] = ALLOWED_ATTRIBUTES) -> str:
+def sanitize(nodes: list[Node], attributes: tuple[str, ...] = ALLOWED_ATTRIBUTES, tags: tuple[str, ...] = ALLOWED_TAGS) -> str:
     """Serialised with allowed tags and attributes only; other tags vanish but for their content, scripts and styles with it."""
     out: list[str] = []
     todo: list = list(reversed(nodes))
