@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .errors import EngineError
 from .functions.embedding import STAMP, deterministic_embedding
 from .operators import admit, generations, gold, metrics, parsers, reads
 from .plans import ingest, search
+from .shared import delete, materialise
 from .sources import files as uploads
 from .sources import sinks
 
@@ -26,6 +28,7 @@ ADMITTED = "id string, corpus_id string, batch_id string, fingerprint string, fi
 BATCHES = "id string, filename string, status string, entry_report array<struct<path:string,status:string,reason:string>>, created_at timestamp"
 RUNS = "id string, config string, gold_snapshot string, status string, metrics string, error string, at double"
 GOLD = "item_id string, question string, expected array<struct<chunk_id:string,source_id:string,content_sha256:string>>, split string, notes string, created_at timestamp"
+CHECKS = "id string, status string, vector_id string, readback_distance double, at double"
 HEADS = "id string, corpus_id string, fingerprint string, plugin_name string, plugin_version string, status string, last_error struct<class:string,stage:string,message:string>, current_generation int"
 
 
@@ -43,7 +46,7 @@ class Library:
         found = uploads.read_uploads(self.spark, path, glob).withColumn("batch_id", F.lit(None).cast("string"))
         archives = found.where("media_type = 'application/zip'").withColumn("batch_id", F.sha2(F.concat(F.lit(f"{corpus}:"), F.sha2("content", 256)), 256))
         entries = uploads.expand_batches(archives.select("batch_id", "content"))
-        every = found.where("media_type IS NULL OR media_type <> 'application/zip'").unionByName(entries)
+        every = materialise(found.where("media_type IS NULL OR media_type <> 'application/zip'").unionByName(entries), "uploads")  # archives are unfolded once
         fine = every.where("reason IS NULL").withColumns({"corpus_id": F.lit(corpus), "arrival": F.col("filename")})
         known = self.table("admitted", ADMITTED)
         judged = admit.admit(fine, known.select("corpus_id", "fingerprint", "filename"))
@@ -60,6 +63,7 @@ class Library:
         batches = names.join(grouped, "batch_id", "left").select(F.col("batch_id").alias("id"), "filename", F.coalesce(state, F.lit("empty")).alias("status"), "entry_report", F.current_timestamp().alias("created_at"))
         sinks.insert_ignore(batches, f"{self.root}/batches")
         sinks.insert_ignore(new, f"{self.root}/admitted")
+        delete(self.spark, every.inputFiles()[0].rpartition("/")[0])
         return self.spark.read.schema("batch_id string, filename string, reason string").parquet(f"{self.root}/refusals/{stamp}")
 
     def ingest(self, again: DataFrame | None = None) -> dict[str, int]:
@@ -70,7 +74,7 @@ class Library:
         else:
             todo = admitted.join(again.select(F.col("source_id").alias("id"), F.col("target_generation").alias("generation")), "id")
         rows = todo.select(F.col("id").alias("source_id"), "corpus_id", "fingerprint", "generation", "media_type", "content")
-        return ingest.ingest(rows, self.root, self.params, self.plugins, self.embedder, self.stamp)
+        return ingest.ingest(rows, self.root, self.params, self.plugins, self.embedder, self.stamp, self.language)
 
     def reingest(self, plugin: str, version: str) -> dict[str, int]:
         return self.ingest(generations.to_reingest(self.table("sources", HEADS), plugin, version))
@@ -83,7 +87,12 @@ class Library:
 
     def chunks(self) -> DataFrame:
         """What readers see: chunks of current generations."""
-        stored = self.spark.read.parquet(f"{self.root}/chunks")
+        return self._current("chunks")
+
+    def _current(self, name: str) -> DataFrame:
+        stored = sinks.read(self.spark, f"{self.root}/{name}")
+        if stored is None:
+            raise EngineError("not_found", "nothing has been ingested yet")
         return gold.current(stored, self.table("sources", HEADS))
 
     def timeline(self, limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -107,13 +116,16 @@ class Library:
 
     def search(self, queries: dict, config: RetrievalConfig = RetrievalConfig(), origin: str = "api", scorer=None) -> DataFrame:
         """Results of all queries; their receipts are written first, whole rows each, so that what is returned is on record."""
-        checked = search.check_queries(queries)
-        results = search.search(self.chunks(), checked, config, self.language, self.embedder, self.stamp, scorer)
+        checked, took = search.check_queries(queries), {}
+        posted, stamps = self._current("postings"), sinks.read(self.spark, f"{self.root}/stamps")
+        with search.timed(took, "total"):
+            results = materialise(search.search(self.chunks(), checked, config, self.language, self.embedder, self.stamp, scorer, posted, stamps, took), "results")
         kind = dict(results.dtypes)["query_id"]
         asked = self.spark.createDataFrame(list(checked.items()), f"query_id {kind}, query string").withColumn("query_id", F.col("query_id").cast("string"))
-        stored = sinks.receipts(results.withColumn("query_id", F.col("query_id").cast("string")), asked, config.to_json(), origin).withColumn("id", F.sha2(F.concat_ws("|", "id", F.lit(repr(time.time()))), 256)).withColumn("created_at", F.current_timestamp())
+        stored = sinks.receipts(results.withColumn("query_id", F.col("query_id").cast("string")), asked, config.to_json(), origin, self.stamp, took).withColumn("id", F.sha2(F.concat_ws("|", "id", F.lit(repr(time.time()))), 256)).withColumn("created_at", F.current_timestamp())
         path = f"{self.root}/retrieval_runs/{time.time():.6f}"
         stored.write.parquet(path)
+        delete(self.spark, results.inputFiles()[0].rpartition("/")[0])
         back = self.spark.read.schema(stored.schema).parquet(path)
         return back.select("query_id", F.col("id").alias("run_id"), F.explode("results").alias("r")).select("query_id", "run_id", "r.*")
 
@@ -173,7 +185,7 @@ class Library:
         try:
             config = RetrievalConfig(**json.loads(row["config"]))
             items = self.spark.createDataFrame([{k: x.get(k) for k in ("item_id", "question", "split", "expected")} for x in json.loads(row["gold_snapshot"])], "item_id string, question string, split string, expected array<struct<chunk_id:string,source_id:string,content_sha256:string>>")
-            _, slices = search.evaluate(items, self.chunks(), config, language=self.language, embedder=self.embedder, stamp=self.stamp)
+            _, slices = search.evaluate(items, self.chunks(), config, language=self.language, embedder=self.embedder, stamp=self.stamp, posted=self._current("postings"), stamps=sinks.read(self.spark, f"{self.root}/stamps"))
             found = [r.asDict() for r in slices.collect()]
         except Exception as e:
             self._state(**(pinned | {"status": "failed", "error": str(e)[:500], "at": time.time()}))
@@ -192,9 +204,39 @@ class Library:
         return metrics.compare(*sides)
 
     def self_check(self, text: str) -> dict:
-        """Store a text's vector and read it back as its own nearest neighbour."""
-        stamp = F.struct(*(F.lit(v).alias(k) for k, v in self.stamp.items()))
-        id_ = F.sha2(F.concat(F.lit(text), F.lit("\n"), F.lit("/".join(str(v) for v in self.stamp.values()))), 256)
-        row = self.spark.range(1).select(id_.alias("id"), F.lit(text).alias("content"), F.array(*map(F.lit, self.embedder(text, self.stamp["dimensions"]))).alias("embedding"), stamp.alias("stamp"))
-        sinks.insert_ignore(row, f"{self.root}/vectors")
-        return search.self_check(self.spark.read.schema(row.schema).parquet(f"{self.root}/vectors"), text, self.embedder, self.stamp)
+        """Store a text's vector and read it back as its own nearest neighbour; what happened at each seam is on record, failures too."""
+        id_, seams = uuid.uuid4().hex, []
+        out = {"run_id": id_, "vector_id": None, "readback_distance": None, "ok": False}
+        try:
+            seam = "embedding"
+            made = self.embedder(text, self.stamp["dimensions"])
+            seams.append((id_, seam, True, f"{len(made)} dimensions"))
+            seam = "store"
+            stamp = F.struct(*(F.lit(v).alias(k) for k, v in self.stamp.items()))
+            key = F.sha2(F.concat(F.lit(text), F.lit("\n"), F.lit("/".join(str(v) for v in self.stamp.values()))), 256)
+            row = self.spark.range(1).select(key.alias("id"), F.lit(text).alias("content"), F.array(*map(F.lit, made)).alias("embedding"), stamp.alias("stamp"))
+            written = sinks.insert_ignore(row, f"{self.root}/vectors")
+            seams.append((id_, seam, True, f"{written['inserted']} inserted"))
+            seam = "readback"
+            out |= search.self_check(sinks.read_or_empty(self.spark, f"{self.root}/vectors", row), text, self.embedder, self.stamp)
+            seams.append((id_, seam, out["ok"], f"distance {out['readback_distance']}"))
+        except Exception as e:
+            seams.append((id_, seam, False, str(e)[:500]))
+            raise
+        finally:
+            sinks.append_seam_events(self.spark.createDataFrame(seams, "run_id string, seam string, ok boolean, detail string").coalesce(1), f"{self.root}/check_events")
+            run = self.spark.createDataFrame([(id_, "succeeded" if out["ok"] else "failed", out["vector_id"], out["readback_distance"], time.time())], CHECKS)
+            run.write.mode("append").parquet(f"{self.root}/check_runs")
+        return out
+
+    def checks(self, limit: int = 50) -> DataFrame:
+        return self.table("check_runs", CHECKS).orderBy(F.col("at").desc(), "id").limit(limit)
+
+    def check(self, id_: str) -> dict:
+        """A check run with its events in order and its stored vector."""
+        row = self.table("check_runs", CHECKS).where(F.col("id") == id_).first()
+        if row is None:
+            raise EngineError("not_found", f"no check {id_}")
+        events = self.spark.read.parquet(f"{self.root}/check_events").where(F.col("run_id") == id_).orderBy("created_at", "id").collect()
+        vector = sinks.read(self.spark, f"{self.root}/vectors").where(F.col("id") == row["vector_id"]).first() if row["vector_id"] else None
+        return row.asDict() | {"events": [(e["seam"], e["ok"], e["detail"]) for e in events], "vector": vector and vector.asDict(True)}

@@ -14,32 +14,65 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.stem import analyze
+from ..functions.stem import STOP_WORDS, analyze, stem
 from ..functions.text import simple_tokens
+from ..shared import materialise
 from .fusion import ranked
 
-#: Lexemes of all queries asked at once: their table is broadcast.
+#: Lexemes of all queries up to which their table is broadcast; beyond, it joins the postings by lexeme in a shuffle.
 MOST_LEXEMES = 500_000
-POSTING = "array<struct<lexeme:string,pos:int>>"
+#: Lexemes up to which a list of them is pushed down to the files.
+MOST_PUSHED = 10_000
 _TERM = re.compile(r'(-?)"([^"]*)"|(\S+)')
 
 
-def lexemes(text: Column, language: str = "english") -> Column:
-    """(lexeme, position) of a text, as an array; ``simple`` is an expression, ``english`` stems in Arrow batches."""
+def words(chunks: DataFrame) -> DataFrame:
+    """word, chunk_id, pos and all other columns but the content: a row per word of ``chunks`` (chunk_id, content ...), positions from 1."""
+    rest = [c for c in chunks.columns if c not in ("chunk_id", "content")]
+    each = chunks.select("chunk_id", *rest, F.posexplode(simple_tokens(F.col("content"))).alias("at", "word"))
+    return each.select("word", "chunk_id", (F.col("at") + 1).cast("int").alias("pos"), *rest)
+
+
+def postings(chunks: DataFrame, language: str = "english") -> DataFrame:
+    """lexeme, chunk_id, pos and all other columns but the content.
+
+    In English stop words go, and each different word is stemmed once: the stems are a table that the words join. ``chunks``
+    is read twice then, so it should be a written table or a scan.
+    """
     if language == "simple":
-        return F.transform(simple_tokens(text), lambda t, i: F.struct(t.alias("lexeme"), (i + 1).cast("int").alias("pos")))
+        return words(chunks).withColumnRenamed("word", "lexeme")
 
-    @F.pandas_udf(POSTING)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"lexeme": x, "pos": p} for x, p in analyze(t or "", language)])
+    @F.pandas_udf("string")
+    def stems(different: pd.Series) -> pd.Series:
+        return different.map(stem)
 
-    return run(text)
+    each = words(chunks).where(~F.col("word").isin(*STOP_WORDS))
+    stemmed = words(chunks.select("chunk_id", "content")).where(~F.col("word").isin(*STOP_WORDS)).select("word").distinct().withColumn("lexeme", stems("word"))
+    return each.join(stemmed, "word").select("lexeme", "chunk_id", "pos", *(c for c in each.columns if c not in ("word", "chunk_id", "pos")))
 
 
-def postings(chunks: DataFrame, language: str = "english") -> DataFrame:
-    """lexeme, chunk_id, pos. Written partitioned or bucketed by lexeme, a query reads its own lexemes only."""
-    return chunks.select("chunk_id", F.explode(lexemes(F.col("content"), language)).alias("p")).select("p.lexeme", "chunk_id", "p.pos")
+#: Parts that stored postings are kept in, by lexeme: a query reads the parts of its own lexemes.
+PARTS = 64
+
+
+def part_of(lexeme: Column) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(PARTS)).cast("int")
+
+
+def stored(posted: DataFrame) -> DataFrame:
+    """``posted`` with its part, in the order in which it is to be written: a common lexeme takes several tasks."""
+    keyed = posted.withColumn("part", part_of(F.col("lexeme")))
+    return keyed.repartitionByRange("part", "lexeme", "chunk_id").sortWithinPartitions("part", "lexeme", "chunk_id", "pos")
+
+
+def asked_only(posted: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of stored postings those that the queries ask for: parts are pruned, lexemes pushed down to the files."""
+    lexemes = [r["lexeme"] for r in asked.select("lexeme").distinct().collect()]  # the queries' own, which the driver made
+    parts = [r["part"] for r in asked.select(part_of(F.col("lexeme")).alias("part")).distinct().collect()]  # PARTS at most
+    few = posted.where(F.col("part").isin(parts)) if "part" in posted.columns else posted
+    return few.where(F.col("lexeme").isin(lexemes)) if len(lexemes) <= MOST_PUSHED else few
 
 
 def parse_query(query: str, language: str = "english") -> list[list[tuple[bool, list[tuple[str, int]]]]]:
@@ -65,24 +98,47 @@ def query_table(spark: SparkSession, queries: dict, language: str = "english") -
         for a, terms in enumerate(parse_query(text, language)):
             for t, (negated, parts) in enumerate(terms):
                 rows += [(qid, a, sum(not n for n, _ in terms), t, negated, len(parts), i, x, d) for i, (x, d) in enumerate(parts)]
-    if len(rows) > MOST_LEXEMES:
-        raise ValueError(f"more than {MOST_LEXEMES} lexemes at once; ask in blocks")
     kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
     return spark.createDataFrame(rows, f"query_id {kind}, alternative int, positives int, term int, negated boolean, size int, place int, lexeme string, distance int")
 
 
-def matches(posted: DataFrame, asked: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id) of all that fit. ``chunks`` (chunk_id) is needed only if an alternative is all negations."""
-    terms = posted.join(F.broadcast(asked), "lexeme")  # MOST_LEXEMES at most
+def _bounded(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if asked.limit(MOST_LEXEMES + 1).count() <= MOST_LEXEMES else asked
+
+
+def hits(posted: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings that the queries ask for, each with the term it may serve."""
+    return posted.join(_bounded(asked), "lexeme")
+
+
+def _terms(hit: DataFrame) -> DataFrame:
+    """query_id, alternative, positives, term, negated and chunk_id: terms that a chunk holds as wholes."""
     key = ["query_id", "alternative", "positives", "term", "negated", "size", "chunk_id"]
-    whole = terms.groupBy(*key, (F.col("pos") - F.col("distance")).alias("at")).agg(F.countDistinct("place").alias("n")).where("n = size").select(*key).distinct()
-    by = whole.groupBy("query_id", "alternative", "positives", "chunk_id").agg(F.count(F.when(~F.col("negated"), 1)).alias("held"), F.count(F.when(F.col("negated"), 1)).alias("against"))
-    found = by.where("held = positives AND against = 0 AND positives > 0").select("query_id", "chunk_id")
-    if chunks is not None:
-        only = asked.where("positives = 0").select("query_id", "alternative").distinct()
-        free = chunks.select("chunk_id").join(F.broadcast(only)).join(by.where("against > 0").select("query_id", "alternative", "chunk_id"), ["query_id", "alternative", "chunk_id"], "left_anti")
-        found = found.unionByName(free.select("query_id", "chunk_id"))
-    return found.distinct()
+    whole = hit.groupBy(*key, (F.col("pos") - F.col("distance")).alias("at")).agg(F.countDistinct("place").alias("n")).where("n = size")
+    return whole.select(*key).distinct()
+
+
+def _fits(hit: DataFrame) -> DataFrame:
+    by = _terms(hit).groupBy("query_id", "alternative", "positives", "chunk_id").agg(F.count(F.when(~F.col("negated"), 1)).alias("held"), F.count(F.when(F.col("negated"), 1)).alias("against"))
+    return by.where("held = positives AND against = 0 AND positives > 0").select("query_id", "chunk_id").distinct()
+
+
+def _found(hit: DataFrame, asked: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    found = _fits(hit)
+    only = [(r["query_id"], r["alternative"]) for r in asked.where("positives = 0").select("query_id", "alternative").distinct().collect()]  # of the queries, which the driver made
+    if chunks is None or not only:
+        return found
+    against = _terms(hit).where("negated AND positives = 0").select("query_id", "alternative", "chunk_id")
+    kind = dict(asked.dtypes)["query_id"]
+    every = F.explode(F.array(*(F.struct(F.lit(q).cast(kind).alias("query_id"), F.lit(a).alias("alternative")) for q, a in only)))
+    free = chunks.select("chunk_id", every.alias("q")).select("chunk_id", "q.*").join(against, ["query_id", "alternative", "chunk_id"], "left_anti")
+    return found.unionByName(free.select("query_id", "chunk_id")).distinct()
+
+
+def matches(posted: DataFrame, asked: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id) of all that fit. ``chunks`` (chunk_id) is needed only if an alternative is all negations: such a
+    query asks for all other chunks, which are its result."""
+    return _found(hits(posted, asked), asked, chunks)
 
 
 def cover_density(hits: list[tuple[int, int]], wanted: int) -> float:
@@ -102,20 +158,31 @@ def cover_density(hits: list[tuple[int, int]], wanted: int) -> float:
     return score
 
 
-def rank_matches(posted: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of each query's ``depth`` best; the best alternative counts."""
+def rank_hits(hit: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """query_id, chunk_id, score, rank of each query's ``depth`` best of ``found``; the best alternative counts."""
 
     @F.pandas_udf("double")
-    def density(hits: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([cover_density(sorted({(h["k"], h["pos"]) for h in row}, key=lambda x: x[1]), n) for row, n in zip(hits, wanted, strict=True)], dtype=float)
-
-    from pyspark.sql.window import Window
+    def density(rows: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([cover_density(sorted({(h["k"], h["pos"]) for h in row}, key=lambda x: x[1]), n) for row, n in zip(rows, wanted, strict=True)], dtype=float)
 
     w = Window.partitionBy("query_id", "alternative").orderBy("lexeme")
     own = asked.where("NOT negated").select("query_id", "alternative", "lexeme").distinct().withColumn("k", F.row_number().over(w) - 1)
-    counted = own.groupBy("query_id", "alternative").agg(F.count("*").cast("int").alias("wanted"))
-    own = own.join(counted, ["query_id", "alternative"])
-    hits = posted.join(F.broadcast(own), "lexeme").join(found, ["query_id", "chunk_id"], "left_semi")
-    rows = hits.groupBy("query_id", "alternative", "wanted", "chunk_id").agg(F.collect_list(F.struct("k", "pos")).alias("hits"))  # one chunk's positions
+    own = own.withColumn("wanted", F.count("*").over(Window.partitionBy("query_id", "alternative")).cast("int"))
+    places = hit.where("NOT negated").select("query_id", "alternative", "lexeme", "chunk_id", "pos").distinct()
+    mine = places.join(_bounded(own), ["query_id", "alternative", "lexeme"]).join(found, ["query_id", "chunk_id"], "left_semi")
+    rows = mine.groupBy("query_id", "alternative", "wanted", "chunk_id").agg(F.collect_list(F.struct("k", "pos")).alias("hits"))  # one chunk's positions
     scored = rows.select("query_id", "chunk_id", density("hits", "wanted").alias("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(scored, depth)
+    return ranked(found.join(scored, ["query_id", "chunk_id"], "left").fillna(0.0, ["score"]), depth)
+
+
+def rank_matches(posted: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    return rank_hits(hits(posted, asked), asked, found, depth)
+
+
+def search(posted: DataFrame, asked: DataFrame, depth: int, chunks: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score and rank of each query's ``depth`` best: matching and ranking over one reading of the postings.
+
+    What fits by negations alone has score 0.
+    """
+    hit = materialise(hits(asked_only(posted, asked), asked), "hits")
+    return rank_hits(hit, asked, _found(hit, asked, chunks), depth)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.vectors import cosine
+from ..shared import fresh_path
 from .fusion import ranked
 
 #: Bytes of query vectors that are broadcast at once; more queries are taken in blocks.
@@ -19,8 +20,12 @@ QUERY_BYTES = 16_000_000
 
 
 def check_stamp(chunks: DataFrame, stamp: dict) -> bool:
-    """Whether there are embedded rows at all; refuses if any row's stamp (provider, model, dimensions) differs."""
-    seen = chunks.where(F.col("embedding").isNotNull()).select("stamp.*").distinct().limit(3).collect()
+    """Whether there are embedded rows at all; refuses if any row's stamp (provider, model, dimensions) differs.
+
+    ``chunks`` is what holds the stamps: the embedded rows, or the table of different stamps that an ingest keeps.
+    """
+    held = chunks.where(F.col("embedding").isNotNull()) if "embedding" in chunks.columns else chunks
+    seen = held.select("stamp.*").distinct().limit(3).collect()
     for row in seen:
         if row.asDict() != stamp:
             raise EngineError("validation_error", f"the corpus is embedded with {json.dumps(row.asDict())}, the query with {json.dumps(stamp)}", "embedding")
@@ -32,12 +37,14 @@ def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int
 
     ``chunks``: chunk_id and embedding; ``queries``: query_id and embedding. Queries are broadcast in blocks of a
     bounded size; each task multiplies its rows with a block and keeps ``depth`` of them per query, so what is
-    shuffled is the queries' lists alone. Vectors that are null, hold nulls or have another length take no part.
+    shuffled is the queries' lists alone. Where there are several blocks, each one's result is written before the next
+    is read. Vectors that are null, hold nulls or have another length take no part.
     """
     usable = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("query_id", "embedding")
     count = usable.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     blocks = max(1, -(-count["n"] * 8 * (count["dims"] or 1) // QUERY_BYTES))
-    sc, found = chunks.sparkSession.sparkContext, None
+    spark = chunks.sparkSession
+    sc, path = spark.sparkContext, fresh_path(spark, "similarities")
     kind = dict(queries.dtypes)["query_id"]
     for b in range(blocks):
         part = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # a block of queries
@@ -63,21 +70,26 @@ def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), chunk_ids.take(pa.array(r)), pa.array(sim[r, q])], names=["query_id", "chunk_id", "score"])
 
         got = chunks.select("chunk_id", "embedding").mapInArrow(run, f"query_id {'bigint' if kind == 'int' else kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double")
-        found = got if found is None else found.unionByName(got)
-    return ranked(found, depth)
+        if blocks == 1:
+            return ranked(got, depth)
+        ranked(got, depth).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(f"query_id {kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double, rank int").parquet(path)
 
 
-#: Queries that the plan of expressions takes.
-FEW = 1000
+#: Bytes of queries that the plan of expressions takes.
+FEW_BYTES = 8_000_000
 
 
 def similarities_sql(chunks: DataFrame, queries: DataFrame, floor: float, depth: int, digits: int | None = None) -> DataFrame:
-    """The same as a plan of expressions alone, for FEW queries at most, which meet all rows by broadcast.
+    """The same as a plan of expressions alone, for queries of FEW_BYTES at most, which meet all rows by broadcast; more go to :func:`similarities`.
 
     The floor is applied to the ranked rows: before, it would become a join condition and each cosine be taken twice.
     """
-    if queries.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} queries; use similarities()")
+    size = queries.agg(F.sum(F.lit(16) + F.lit(8) * F.size("embedding")).alias("bytes")).first()["bytes"] or 0
+    if size > FEW_BYTES:
+        near = similarities(chunks, queries, floor, depth)
+        return near if digits is None else near.withColumn("score", F.round("score", digits))
     q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
     sim = cosine(F.col("embedding"), F.col("q"))
     scored = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding").join(q).select("query_id", "chunk_id", (F.round(sim, digits) if digits else sim).alias("score"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..config import ChunkingParams
 from ..functions.embedding import STAMP, deterministic_embedding, embed_column
-from ..operators import validate
+from ..operators import fts, generations, gold, validate
 from ..operators.chunking import chunk_column
 from ..operators.parsers import SHIPPED, Plugin, parse_column
-from ..sources.sinks import insert_ignore, read_or_empty, swap_pointer
+from ..shared import materialise
+from ..sources.sinks import commit, folders, insert_ignore, read, read_or_empty, swap_pointer, sweep, write_aside
 
 
 def parsed(files: DataFrame, plugins: Sequence[Plugin] = SHIPPED) -> DataFrame:
@@ -72,23 +73,38 @@ def events(p: DataFrame) -> DataFrame:
     return each.select("source_id", "ordinal", "stage", "event", (F.col("event") != "failed").alias("ok"), F.when(F.col("event") == "failed", F.col("failure.message")).alias("detail"))
 
 
-def ingest(files: DataFrame, store: str, params: ChunkingParams = ChunkingParams(), plugins: Sequence[Plugin] = SHIPPED, embedder: Callable = deterministic_embedding, stamp: dict = STAMP) -> dict[str, int]:
-    """Run over ``files`` into the folder ``store``: sections, chunks, events, then the pointer table ``sources``.
+def postings(rows: DataFrame, language: str = "english") -> DataFrame:
+    """Postings of chunks as they are stored: by part and lexeme, with the source and generation that make them visible."""
+    return fts.stored(fts.postings(rows.select(F.col("id").alias("chunk_id"), "content", "source_id", "generation"), language))
+
+
+def ingest(files: DataFrame, store: str, params: ChunkingParams = ChunkingParams(), plugins: Sequence[Plugin] = SHIPPED, embedder: Callable = deterministic_embedding, stamp: dict = STAMP, language: str = "english") -> dict[str, int]:
+    """Run over ``files`` into the folder ``store``: sections, chunks, postings, stamps, events, then the pointer table ``sources``; what the
+    generations now visible replace is swept. Each step is made once and written; runs have folders of their own on the way.
 
     Repeating a run is a no-op: ids are derived, so inserts conflict and the pointer comes out the same.
     """
     spark = files.sparkSession
-    path = f"{store}/parsed"
-    parsed(files, plugins).write.mode("overwrite").parquet(path)  # parse once; all below reads it
-    p = spark.read.parquet(path)
+    p = materialise(parsed(files, plugins), "parsed")
     counts = {"sections": insert_ignore(sections(p), f"{store}/document_sections")["inserted"]}
-    fresh = chunks(p, params)
+    fresh = materialise(chunks(p, params), "chunks")
     typed = fresh.limit(0).withColumn("embedding", F.array().cast("array<float>")).withColumn("stamp", F.struct(*(F.lit(v).alias(k) for k, v in stamp.items())))
-    counts |= insert_ignore(embed(fresh, read_or_empty(spark, f"{store}/chunks", typed), stamp, embedder), f"{store}/chunks")
+    none = spark.createDataFrame([], typed.schema)
+    counts |= insert_ignore(fresh, f"{store}/chunks", "id", lambda new: embed(new, none, stamp, embedder))
+    old = read(spark, f"{store}/postings")
+    new = fresh if old is None else fresh.join(old.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
+    seen, listed = folders(spark, f"{store}/postings")
+    commit(spark, f"{store}/postings", seen, [*listed, write_aside(postings(materialise(new, "to-post"), language), f"{store}/postings", "part")])
     events(p).write.mode("append").parquet(f"{store}/ingestion_events")
-    heads = p.select(F.col("source_id").alias("id"), "corpus_id", "fingerprint", "plugin_name", "plugin_version", "status", F.col("failure").alias("last_error"), F.when(F.col("status") == "ingested", F.col("generation")).alias("current_generation"))
-    known = read_or_empty(spark, f"{store}/sources", heads)
-    older = known.select("id", F.col("current_generation").alias("before"))
-    now = heads.join(older, "id", "left").withColumn("current_generation", F.coalesce("current_generation", "before")).drop("before")
-    swap_pointer(known.join(heads, "id", "left_anti").unionByName(now), f"{store}/sources")
+    heads = p.select(F.col("source_id").alias("id"), "corpus_id", "fingerprint", "plugin_name", "plugin_version", "status", F.col("failure").alias("last_error"))
+    known = read_or_empty(spark, f"{store}/sources", heads.withColumn("current_generation", F.lit(None).cast("int")))
+    now = heads.join(known.select("id", "current_generation"), "id", "left")
+    ready = p.where("status <> 'failed'").select("source_id", "generation", F.size("document.sections").alias("sections"))
+    after = materialise(known.join(heads, "id", "left_anti").unionByName(generations.flip(now, ready)), "heads")
+    swap_pointer(after, f"{store}/sources")
+    older = F.col("generation") < F.col("current_generation")
+    for name, by in (("document_sections", ()), ("chunks", ()), ("postings", ("part",))):
+        counts[f"swept_{name}"] = sweep(f"{store}/{name}", older, spark, after, *by)
+    stamps = gold.current(read_or_empty(spark, f"{store}/chunks", typed), after).where("stamp IS NOT NULL").select("stamp").distinct()
+    swap_pointer(stamps, f"{store}/stamps")
     return counts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from ..config import MAX_QUERY_CHARS, RetrievalConfig
 from ..errors import EngineError
 from ..functions.embedding import STAMP, deterministic_embedding
 from ..operators import fts, fusion, gold, metrics, vector
+from ..schemas import SCORES
 
 
 def check_queries(queries: dict) -> dict:
@@ -22,25 +25,32 @@ def check_queries(queries: dict) -> dict:
     return trimmed
 
 
-def search(chunks: DataFrame, queries: dict, config: RetrievalConfig = RetrievalConfig(), language: str = "english", embedder: Callable = deterministic_embedding, stamp: dict = STAMP, scorer: Callable[[Column, Column], Column] | None = None, posted: DataFrame | None = None) -> DataFrame:
+def search(
+    chunks: DataFrame, queries: dict, config: RetrievalConfig = RetrievalConfig(), language: str = "english", embedder: Callable = deterministic_embedding, stamp: dict = STAMP,
+    scorer: Callable[[Column, Column], Column] | None = None, posted: DataFrame | None = None, stamps: DataFrame | None = None, timings: dict[str, float] | None = None,
+) -> DataFrame:
     """query_id, rank, chunk_id, source_id, content and its hash, and the scores, of each query's k best chunks.
 
     ``chunks``: current rows with id, source_id, content, embedding, stamp. ``posted``: postings written
-    before; without them the chunks are analysed here. ``scorer`` (query, content) -> score is used if the config
-    asks for reranking.
+    before; without them the chunks are analysed here. ``stamps``: the different stamps of the corpus, if they are kept.
+    ``scorer`` (query, content) -> score is used if the config asks for reranking. ``timings`` takes in how many
+    milliseconds each stage took on the driver; plans that run later count where they are run.
     """
     spark, queries = chunks.sparkSession, check_queries(queries)
+    took: dict[str, float] = {} if timings is None else timings
     named = chunks.withColumnRenamed("id", "chunk_id")
     kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
-    empty = spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
-    near = empty
-    if vector.check_stamp(chunks, stamp):
-        asked = spark.createDataFrame([(k, embedder(q, stamp["dimensions"])) for k, q in queries.items()], f"query_id {kind}, embedding array<double>")
-        near = vector.similarities(named, asked, config.min_similarity, config.candidate_depth)
-    terms = fts.query_table(spark, queries, language)
-    posted = fts.postings(named, language) if posted is None else posted
-    found = fts.matches(posted, terms, named)
-    by_text = fts.rank_matches(posted, terms, found, config.candidate_depth)
+    near = spark.createDataFrame([], f"query_id {kind}, chunk_id {dict(named.dtypes)['chunk_id']}, score double, rank int")
+    with timed(took, "embed"):
+        embedded = vector.check_stamp(chunks if stamps is None else stamps, stamp)
+        vectors = [(k, embedder(q, stamp["dimensions"])) for k, q in queries.items()] if embedded else []
+    with timed(took, "vector"):
+        if embedded:
+            asked = spark.createDataFrame(vectors, f"query_id {kind}, embedding array<double>")
+            near = vector.similarities(named, asked, config.min_similarity, config.candidate_depth)
+    with timed(took, "fts"):
+        terms = fts.query_table(spark, queries, language)
+        by_text = fts.search(fts.postings(named.select("chunk_id", "content"), language) if posted is None else posted, terms, config.candidate_depth, named)
     fused = fusion.fuse(by_text, near, config)
     texts = named.select("chunk_id", "source_id", "content")
     if config.rerank:
@@ -55,6 +65,19 @@ def search(chunks: DataFrame, queries: dict, config: RetrievalConfig = Retrieval
     return fusion.top(out, config.k).select("query_id", "rank", "chunk_id", "source_id", "content", F.sha2("content", 256).alias("content_sha256"), "fts_score", "vector_score", "fused_score", "rerank_score", "prerank_position")
 
 
+@contextlib.contextmanager
+def timed(took: dict[str, float], stage: str):
+    began = time.perf_counter()
+    yield
+    took[stage] = round((time.perf_counter() - began) * 1000, 3)
+
+
+def grouped_scores(results: DataFrame) -> DataFrame:
+    """The results with their scores as one struct, as a service sends them."""
+    scores = F.struct(*(F.col(f"{x}_score").alias(x) for x in ("fts", "vector", "fused", "rerank"))).cast(SCORES).alias("scores")
+    return results.select(*(c for c in results.columns if not c.endswith("_score")), scores)
+
+
 def evaluate(items: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), **how) -> tuple[DataFrame, DataFrame]:
     """Outcomes and slices of a labelled set: ``items`` has item_id, question, split and expected (source_id, content_sha256)."""
     rows = items.select("item_id", "question").collect()  # the labelled set, which people wrote

@@ -1,10 +1,97 @@
-"""Sinks: idempotent inserts, append-only events, receipts, and the pointer that makes a generation visible."""
+"""Sinks: idempotent inserts, append-only events, receipts, and the pointer that makes a state of a table visible.
+
+A table that changes is a folder of Parquet folders beside numbered pointer files. A pointer lists the folders that make
+the table up; the last whole one counts. What is written becomes visible when its pointer is created, which happens
+once or not at all, so readers see the state before or the one after, on any file system.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
+from ..schemas import STAMP
+from ..shared import delete, materialise
+
+POINTERS = "_pointers"
+END = "end"
+#: Folders are partitions by this column for Spark, which readers don't see.
+IN = "_in"
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    fs, where = _fs(spark, f"{path}/{POINTERS}")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()) if fs.exists(where) else []
+
+
+def _listed(spark: SparkSession, path: str, number: int) -> list[str] | None:
+    """The folders that a pointer lists; None while it isn't whole."""
+    fs, where = _fs(spark, f"{path}/{POINTERS}/{number:012d}")
+    stream = fs.open(where)
+    try:
+        lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
+    return lines[:-1] if lines[-1] == END else None
+
+
+def folders(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of the pointer that counts (-1 without one) and the folders that it lists."""
+    for number in reversed(_pointers(spark, path)):
+        if (listed := _listed(spark, path, number)) is not None:
+            return number, listed
+    return -1, []
+
+
+def write_aside(rows: DataFrame, path: str, *by: str) -> str:
+    """Write a folder that no pointer lists yet; its name."""
+    name = f"{IN}={uuid.uuid4().hex}"
+    (rows.write.partitionBy(*by) if by else rows.write).parquet(f"{path}/{name}")
+    return name
+
+
+def commit(spark: SparkSession, path: str, seen: int, listed: list[str]) -> None:
+    """Make ``listed`` the table, if pointer ``seen`` still counts; folders that neither this state nor the one before lists go."""
+    number, before = folders(spark, path)
+    fs, where = _fs(spark, f"{path}/{POINTERS}/{max([-1, *_pointers(spark, path)]) + 1:012d}")
+    if number != seen or fs.exists(where):
+        raise EngineError("unavailable", f"{path} was changed meanwhile", "store")
+    out = fs.create(where, False)
+    out.write(bytearray("\n".join([*listed, END]).encode()))
+    out.close()
+    older = [n for n in _pointers(spark, path) if n < number]
+    gone = {x for n in older[-1:] for x in _listed(spark, path, n) or []} - set(before) - set(listed)
+    delete(spark, *(f"{path}/{x}" for x in gone))
+
+
+def _read(spark: SparkSession, path: str, listed: list[str], schema=None) -> DataFrame:
+    reader = spark.read.option("basePath", path)
+    return (reader if schema is None else reader.schema(schema)).parquet(*(f"{path}/{x}" for x in listed)).drop(IN)
+
+
+def read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The table as it is; None if there is none."""
+    number, listed = folders(spark, path)
+    if number >= 0 and listed:
+        return _read(spark, path, listed, schema)
+    fs, where = _fs(spark, path)
+    if number >= 0 or not fs.exists(where) or fs.exists(_fs(spark, f"{path}/{POINTERS}")[1]):
+        return None
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)  # a plain folder, only ever appended to
+
+
+def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    found = read(spark, path, like.schema)
+    return spark.createDataFrame([], like.schema) if found is None else found
+
 
 def split_new(rows: DataFrame, existing: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Rows to insert (one per key) and rows that are no-ops as their key exists."""
@@ -12,63 +99,88 @@ def split_new(rows: DataFrame, existing: DataFrame, key: str = "id") -> tuple[Da
     return once.join(existing.select(key), key, "left_anti"), once.join(existing.select(key), key, "left_semi")
 
 
-def insert_ignore(rows: DataFrame, path: str, key: str = "id") -> dict[str, int]:
-    """Append what isn't there yet; how many were inserted and how many were not."""
+def insert_ignore(rows: DataFrame, path: str, key: str = "id", finish=None, *by: str) -> dict[str, int]:
+    """Append what isn't there yet; how many were inserted and how many were not.
+
+    ``rows`` are made once: they are written aside, and all that follows reads that. ``finish`` turns the new ones into
+    the table's rows. If another insert commits meanwhile, the new rows are told apart again.
+    """
     spark = rows.sparkSession
-    existing = read_or_empty(spark, path, rows)
-    total = rows.dropDuplicates([key]).count()
-    new, _ = split_new(rows, existing, key)
-    before = existing.count()
-    new.write.mode("append").parquet(path)
-    inserted = read_or_empty(spark, path, rows).count() - before
+    once = materialise(rows.dropDuplicates([key]), "insert")
+    total = once.count()
+    while True:
+        seen, listed = folders(spark, path)
+        existing = read(spark, path)
+        new = once if existing is None else once.join(existing.select(key), key, "left_anti").select(*once.columns)
+        name = write_aside(new if finish is None else finish(new), path, *by)
+        inserted = spark.read.parquet(f"{path}/{name}").count()
+        try:
+            commit(spark, path, seen, [*listed, name] if inserted else listed or [name])
+            break
+        except EngineError:
+            delete(spark, f"{path}/{name}")
+    if not inserted and listed:
+        delete(spark, f"{path}/{name}")
+    delete(spark, *{f.rpartition("/")[0] for f in once.inputFiles()})
     return {"inserted": inserted, "conflict_noops": total - inserted}
 
 
-def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema).parquet(path)
+def swap_pointer(table: DataFrame, path: str) -> None:
+    """Replace a table as a whole."""
+    seen, _ = folders(table.sparkSession, path)
+    commit(table.sparkSession, path, seen, [write_aside(table, path)])
+
+
+def sweep(path: str, old: Column, spark: SparkSession, sources: DataFrame, *by: str) -> int:
+    """Drop the rows of a table (source_id, generation ...) for which ``old`` holds beside their source's current_generation.
+
+    Only the folders that hold such rows are written anew; how many rows went.
+    """
+    seen, listed = folders(spark, path)
+    table = read(spark, path)
+    if table is None or not listed:
+        return 0
+    at = sources.select(F.col("id").alias("source_id"), "current_generation").where("current_generation > 1")
+    folder = F.regexp_extract(F.input_file_name(), f"/({IN}=[0-9a-f]{{32}})/", 1)
+    found = table.select("source_id", "generation", folder.alias("folder")).join(at, "source_id").where(old).groupBy("folder").agg(F.count("*").alias("n")).collect()  # a row per folder
+    if not found:
+        return 0
+    hit = {r["folder"] for r in found}
+    rows = _read(spark, path, [x for x in listed if x in hit], table.schema)
+    kept = rows.join(at, "source_id", "left").where(~F.coalesce(old, F.lit(False))).select(*table.columns)
+    commit(spark, path, seen, [*(x for x in listed if x not in hit), write_aside(kept, path, *by)])
+    return sum(r["n"] for r in found)
 
 
 def event_ok(ok: Column, event: Column) -> Column:
     return F.coalesce(ok, event != "failed")
 
 
+def append_seam_events(events: DataFrame, path: str) -> None:
+    """Append what happened at the seams of a check run: run_id, seam, ok, detail; ids and instants are given here."""
+    events.select(F.monotonically_increasing_id().alias("id"), "run_id", "seam", "ok", "detail", F.current_timestamp().alias("created_at")).write.mode("append").parquet(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("ok", event_ok(F.col("ok"), F.col("event"))).write.mode("append").parquet(path)
 
 
-def receipts(results: DataFrame, queries: DataFrame, config: str, origin: str) -> DataFrame:
+def receipts(results: DataFrame, queries: DataFrame, config: str, origin: str, stamp: dict | None = None, timings: dict[str, float] | None = None) -> DataFrame:
     """One nested row per query, header and lines together, so that they are written together or not at all.
 
     ``queries``: query_id, query; ``results``: query_id, rank and the lines' columns. A query without results has
-    an empty receipt.
+    an empty receipt. ``stamp`` says what embedded the query, ``timings`` how many milliseconds each stage of the batch took.
     """
     lines = [c for c in results.columns if c != "query_id"]
     line = F.struct("rank", *(c for c in lines if c != "rank"))
     grouped = results.groupBy("query_id").agg(F.sort_array(F.collect_list(line)).alias("results"))  # k lines at most
     head = queries.join(grouped, "query_id", "left")
-    empty = F.array().cast(dict(grouped.dtypes)["results"])
-    held = F.coalesce("results", empty)
-    return head.select(F.sha2(F.concat_ws("|", F.lit(origin), F.lit(config), F.col("query_id").cast("string"), "query"), 256).alias("id"), "query_id", "query", F.lit(config).alias("config"), F.lit(origin).alias("origin"), F.size(held).alias("result_count"), held.alias("results"))
+    held = F.coalesce("results", F.array().cast(dict(grouped.dtypes)["results"]))
+    made = F.lit(None).cast(STAMP) if stamp is None else F.struct(*(F.lit(stamp[k]).cast(t).alias(k) for k, t in (("provider", "string"), ("model", "string"), ("dimensions", "int"))))
+    took = F.create_map(*(x for k, v in (timings or {}).items() for x in (F.lit(k), F.lit(float(v))))).cast("map<string,double>")
+    id_ = F.sha2(F.concat_ws("|", F.lit(origin), F.lit(config), F.col("query_id").cast("string"), "query"), 256)
+    return head.select(id_.alias("id"), "query_id", "query", F.lit(config).alias("config"), F.lit(origin).alias("origin"), made.alias("stamp"), took.alias("stage_timings"), F.size(held).alias("result_count"), held.alias("results"))
 
 
 def receipt_lines(stored: DataFrame) -> DataFrame:
     return stored.select("id", F.explode("results").alias("r")).select("id", "r.*")
-
-
-def swap_pointer(table: DataFrame, path: str) -> None:
-    """Replace a small table as a whole: written aside, then renamed into place, the old one kept until then."""
-    spark = table.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target, aside, old = (jvm.Path(f"{path}{x}") for x in ("", ".next", ".old"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(aside, True)
-    table.write.parquet(f"{path}.next")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(aside, target):
-        raise OSError(f"could not put {path} in place")
-    fs.delete(old, True)

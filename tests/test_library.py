@@ -65,3 +65,8 @@ def test_library(spark, tmp_path):
     assert not any(r.needs_reconfirmation for r in lib.gold().collect())  # the texts are the same
     check = lib.self_check("hello")
     assert check["ok"] and lib.self_check("hello")["vector_id"] == check["vector_id"]
+    assert lib.checks().count() == 2 and [e[:2] for e in lib.check(check["run_id"])["events"]] == [("embedding", True), ("store", True), ("readback", True)]
+    with pytest.raises(EngineError):
+        lib.check("none")
+    run = lib.runs().first()
+    assert run.stamp.model == "deterministic-v1" and {"embed", "vector", "fts", "total"} <= set(run.stage_timings)

@@ -137,8 +137,17 @@ def test_admission(spark):
     assert got == {"a": (False, "a"), "b": (True, "a"), "e": (False, "e"), "f": (False, "f")}
     known = spark.createDataFrame([("c", "z")], "corpus_id string, filename string").withColumn("fingerprint", F.sha2(F.lit("x"), 256))
     assert {r.filename for r in admit.admit(rows, known).where("duplicate").collect()} == {"a", "b"}
-    texts = spark.createDataFrame([(2, "x"), (1, "x"), (3, "y")], "id int, text string")
-    assert sorted(r.id for r in admit.content_dedupe(texts).collect()) == [1, 3]
+    ties = spark.createDataFrame([("c", n, bytearray(b"x"), n) for n in ("a", "b", "a")] + [("c", "z", None, "z")], "corpus_id string, filename string, content binary, arrival string")
+    assert sorted((r.filename, r.duplicate) for r in admit.admit(ties).collect()) == [("a", False), ("a", True), ("b", True), ("z", False)]
+
+
+def test_admission_shuffles_no_content(spark, tmp_path):
+    rows = spark.range(50).select(F.lit("c").alias("corpus_id"), F.col("id").cast("string").alias("filename"), F.repeat(F.lit("x"), F.col("id").cast("int") % 7).cast("binary").alias("content"), F.col("id").alias("arrival"))
+    rows.write.parquet(f"{tmp_path}/f")
+    out = admit.admit(spark.read.parquet(f"{tmp_path}/f"))
+    assert out.where("NOT duplicate").count() == 7
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "content" in line] and "BroadcastHashJoin" in plan
 
 
 def test_validation(spark):
@@ -245,13 +254,21 @@ def test_ingest_is_idempotent_and_flips_whole_generations(spark, tmp_path):
 
     store = str(tmp_path / "store")
     first = ingest.ingest(rows(1, b"# a\none\n# b\ntwo"), store)
-    assert first == {"sections": 3, "inserted": 2, "conflict_noops": 0}
-    assert ingest.ingest(rows(1, b"# a\none\n# b\ntwo"), store)["inserted"] == 0
-    heads = {r.id: r for r in spark.read.parquet(f"{store}/sources").collect()}
+    assert first == {"sections": 3, "inserted": 2, "conflict_noops": 0, "swept_document_sections": 0, "swept_chunks": 0, "swept_postings": 0}
+    again = ingest.ingest(rows(1, b"# a\none\n# b\ntwo"), store)
+    assert again["inserted"] == 0 and again["conflict_noops"] == 2
+    heads = {r.id: r for r in sinks.read(spark, f"{store}/sources").collect()}
     assert heads["s1"].status == "ingested" and heads["s1"].current_generation == 1 and heads["s3"].last_error["class"] == "malformed" and heads["s4"].last_error["stage"] == "detect"
-    ingest.ingest(rows(2, b"# a\nnew"), store)
-    sources, chunks = spark.read.parquet(f"{store}/sources"), spark.read.parquet(f"{store}/chunks")
-    assert {r.content for r in gold.current(chunks, sources).collect()} == {"new", "text"} and chunks.count() == 4
+    before = sinks.read(spark, f"{store}/chunks")
+    swept = ingest.ingest(rows(2, b"# a\nnew"), store)
+    assert (swept["swept_document_sections"], swept["swept_chunks"]) == (3, 2) and swept["swept_postings"] == 3
+    sources, chunks = sinks.read(spark, f"{store}/sources"), sinks.read(spark, f"{store}/chunks")
+    assert {r.content for r in gold.current(chunks, sources).collect()} == {"new", "text"} == {r.content for r in chunks.collect()}  # old generations are gone
+    assert {r.content for r in before.collect()} == {"one\n\ntwo", "text"}  # who reads the state before still can
+    posted = sinks.read(spark, f"{store}/postings")
+    assert {r.lexeme for r in posted.collect()} == {"new", "text"} and sinks.read(spark, f"{store}/stamps").count() == 1
+    plan = fts.asked_only(posted, fts.query_table(spark, {1: "text"}))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#") or "PartitionFilters: [(part" in plan
     assert chunks.where("embedding IS NULL OR stamp IS NULL OR anchor IS NULL OR size(section_ids) = 0").count() == 0
     trail = spark.read.parquet(f"{store}/ingestion_events").where("source_id = 's1'").select("ordinal", "stage", "event").distinct().orderBy("ordinal").collect()
     assert [(r.stage, r.event) for r in trail] == [("detect", "started"), ("detect", "completed"), ("extract", "started"), ("extract", "completed"), ("transform", "completed"), ("chunk", "started"), ("chunk", "completed"), ("embed", "started"), ("embed", "completed"), ("index", "started"), ("index", "completed"), ("commit", "completed")]
@@ -264,6 +281,17 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, x string")
     assert sinks.insert_ignore(rows, f"{tmp_path}/t") == {"inserted": 2, "conflict_noops": 0}
     assert sinks.insert_ignore(rows, f"{tmp_path}/t") == {"inserted": 0, "conflict_noops": 2}
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: calls.add(1) or x, "string").asNondeterministic()
+    fed = spark.createDataFrame([(i, "a") for i in range(10)], "id int, x string").withColumn("x", counted("x"))
+    assert sinks.insert_ignore(fed, f"{tmp_path}/t") == {"inserted": 8, "conflict_noops": 2} and calls.value == 10  # rows are made once
+    seen, listed = sinks.folders(spark, f"{tmp_path}/t")
+    sinks.swap_pointer(rows, f"{tmp_path}/t")
+    assert sinks.read(spark, f"{tmp_path}/t").count() == 3
+    with pytest.raises(errors.EngineError):
+        sinks.commit(spark, f"{tmp_path}/t", seen, listed)  # another state is there already
+    (tmp_path / "t" / "_pointers" / "000000000099").write_text("half")
+    assert sinks.read(spark, f"{tmp_path}/t").count() == 3
     events = spark.createDataFrame([("failed", None), ("completed", None), ("completed", False)], "event string, ok boolean")
     sinks.append_events(events, f"{tmp_path}/e")
     assert sorted(r.ok for r in spark.read.parquet(f"{tmp_path}/e").collect()) == [False, False, True]
