@@ -69,9 +69,9 @@ def stored(posted: DataFrame) -> DataFrame:
 
 def asked_only(posted: DataFrame, asked: DataFrame) -> DataFrame:
     """Of stored postings those that the queries ask for: parts are pruned, lexemes pushed down to the files."""
-    lexemes = [r["lexeme"] for r in asked.select("lexeme").distinct().collect()]  # the queries' own, which the driver made
     parts = [r["part"] for r in asked.select(part_of(F.col("lexeme")).alias("part")).distinct().collect()]  # PARTS at most
-    few = posted.where(F.col("part").isin(parts)) if "part" in posted.columns else posted
+    few = posted.where(F.col("part").isin(parts)).drop("part") if "part" in posted.columns else posted
+    lexemes = [r["lexeme"] for r in asked.select("lexeme").distinct().limit(MOST_PUSHED + 1).collect()]
     return few.where(F.col("lexeme").isin(lexemes)) if len(lexemes) <= MOST_PUSHED else few
 
 
@@ -91,15 +91,32 @@ def parse_query(query: str, language: str = "english") -> list[list[tuple[bool,
     return [a for a in found if a]
 
 
+ASKED = "alternative int, positives int, term int, negated boolean, size int, place int, lexeme string, distance int"
+
+
+def _rows(query: str, language: str) -> list[tuple]:
+    out = []
+    for a, terms in enumerate(parse_query(query, language)):
+        for t, (negated, parts) in enumerate(terms):
+            out += [(a, sum(not n for n, _ in terms), t, negated, len(parts), i, x, d) for i, (x, d) in enumerate(parts)]
+    return out
+
+
 def query_table(spark: SparkSession, queries: dict, language: str = "english") -> DataFrame:
     """query_id, alternative, positives, term, negated, size, place, lexeme, distance: a row per lexeme of each query."""
-    rows = []
-    for qid, text in queries.items():
-        for a, terms in enumerate(parse_query(text, language)):
-            for t, (negated, parts) in enumerate(terms):
-                rows += [(qid, a, sum(not n for n, _ in terms), t, negated, len(parts), i, x, d) for i, (x, d) in enumerate(parts)]
     kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
-    return spark.createDataFrame(rows, f"query_id {kind}, alternative int, positives int, term int, negated boolean, size int, place int, lexeme string, distance int")
+    return spark.createDataFrame([(q, *row) for q, text in queries.items() for row in _rows(text, language)], f"query_id {kind}, {ASKED}")
+
+
+def query_frame(queries: DataFrame, language: str = "english") -> DataFrame:
+    """The same from a table (query_id, query) of any size."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
+
+    @F.pandas_udf(f"array<struct<{ASKED.replace(' ', ':').replace(',:', ',')}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda q: [dict(zip(names, row, strict=True)) for row in _rows(q or "", language)])
+
+    return queries.select("query_id", F.explode(run("query")).alias("a")).select("query_id", "a.*")
 
 
 def _bounded(asked: DataFrame) -> DataFrame:
@@ -107,8 +124,20 @@ def _bounded(asked: DataFrame) -> DataFrame:
 
 
 def hits(posted: DataFrame, asked: DataFrame) -> DataFrame:
-    """The postings that the queries ask for, each with the term it may serve."""
-    return posted.join(_bounded(asked), "lexeme")
+    """The postings that may serve a query's terms: those of chunks that hold the rarest lexeme which its alternative needs.
+
+    So a common word is looked up only in the chunks that a rare one leaves. Alternatives of negations alone take all
+    postings of their lexemes. ``posted`` is read three times, so it should be a written table.
+    """
+    places = posted.select("lexeme", "chunk_id", "pos")
+    needed = asked.where("NOT negated").select("query_id", "alternative", "lexeme").distinct()
+    common = places.join(_bounded(needed.select("lexeme").distinct()), "lexeme").groupBy("lexeme").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "alternative").orderBy(F.coalesce("n", F.lit(0)), "lexeme"))
+    rarest = needed.join(common, "lexeme", "left").withColumn("nth", nth).where("nth = 1").select("query_id", "alternative", "lexeme")
+    may = places.select("lexeme", "chunk_id").join(_bounded(rarest), "lexeme").select("query_id", "alternative", "chunk_id").distinct()
+    wanted = may.join(_bounded(asked.where("positives > 0")), ["query_id", "alternative"])
+    without = places.join(_bounded(asked.where("positives = 0")), "lexeme")
+    return places.join(wanted, ["lexeme", "chunk_id"]).unionByName(without)
 
 
 def _terms(hit: DataFrame) -> DataFrame:

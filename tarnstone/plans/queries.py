@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import ids
-from ..config import RetrievalConfig
+from ..config import ChunkingParams, RetrievalConfig
 from ..functions import text as T
 from ..functions.embedding import embed_column
 from ..operators import admit, chunking, fts, fusion, generations, gold, jobs, metrics, parsers, reads, vector
+from ..operators.validate import violations
+from ..shared import fresh_path, materialise
+from ..sources import sinks
 from ..streaming import pipeline
+from . import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,8 +51,9 @@ def content_fingerprint(s, d):
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY 2")
 def content_dedupe_first_wins(s, d):
-    rows = t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
-    return rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint")
+    """Admission itself: one corpus, files in the order of their ids."""
+    files = t(s, d, "documents").select("doc_id", F.lit("c").alias("corpus_id"), F.col("doc_id").cast("string").alias("filename"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("arrival"))
+    return admit.admit(files).where("NOT duplicate").select("doc_id", "fingerprint")
 
 
 @query("SELECT sha256(text) AS fingerprint, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -112,21 +117,51 @@ def plugin_dispatch(s, d):
     return t(s, d, "pages").withColumn("p", p).select("page_id", F.col("p.plugin_name").alias("plugin"), F.col("p.confidence").alias("confidence"), F.size("p.candidates").cast("long").alias("candidates"))
 
 
-@query()
+def _parsed_pages(s, d) -> DataFrame:
+    """Parsed once and written, as an ingest does."""
+    return materialise(t(s, d, "pages").select("page_id", parsers.parse_column(F.lit("text/html"), F.col("html").cast("binary")).alias("p")), "pages")
+
+
+#: What stands behind the heading of these pages, without tags and with its entities read.
+BARE = r"regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<[^>]*>', '', 'g')"
+READ = f"replace(replace(replace(replace(replace({BARE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+HEADING = "replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"""
+    WITH b AS (SELECT page_id, trim(regexp_replace({HEADING}, '\s+', ' ', 'g')) AS heading, trim(regexp_replace({READ}, '\s+', ' ', 'g')) AS content FROM pages)
+    SELECT page_id, 0::INTEGER AS section_index, heading AS path, 'prose' AS kind, heading, content FROM b WHERE heading <> '' AND content <> ''""")
 def html_sections(s, d):
-    p = t(s, d, "pages").select("page_id", parsers.parse_column(F.lit("text/html"), F.col("html").cast("binary")).alias("p")).select("page_id", "p.document")
-    return parsers.sections_of(p.where("document IS NOT NULL"), "page_id").select("page_id", "section_index", F.array_join("path", " > ").alias("path"), "kind", "heading", "content", F.col("anchor.char_end").alias("anchor_end"), F.col("display_artifact.content").alias("html"))
+    found = parsers.sections_of(_parsed_pages(s, d).select("page_id", "p.document").where("document IS NOT NULL"), "page_id")
+    return found.select("page_id", "section_index", F.array_join("path", " > ").alias("path"), "kind", "heading", "content")
 
 
 @query()
-def validated_documents(s, d):
-    from ..operators.validate import violations
+def display_artifacts(s, d):
+    found = parsers.sections_of(_parsed_pages(s, d).select("page_id", "p.document").where("document IS NOT NULL"), "page_id")
+    return found.select("page_id", "section_index", F.col("anchor.char_end").alias("anchor_end"), F.col("display_artifact.content").alias("html"))
+
 
-    p = t(s, d, "pages").select("page_id", parsers.parse_column(F.lit("text/html"), F.col("html").cast("binary")).alias("p"))
+@query("SELECT page_id, NULL::VARCHAR AS failure, 0::INTEGER AS violations FROM pages WHERE regexp_matches(html, '(?s)<article>.*<h1>.*</h1>.*</article>')")
+def validated_documents(s, d):
+    p = _parsed_pages(s, d)
     return p.select("page_id", F.col("p.failure.class").alias("failure"), F.size(violations(F.col("p.document"))).alias("violations"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS n FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+      l AS (SELECT doc_id, string_split(regexp_replace(n, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS x FROM d WHERE length(n) > 6000),
+      s AS (SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM l),
+      g AS (SELECT doc_id, i, 0 AS k, x AS held FROM s WHERE i = 1
+            UNION ALL SELECT s.doc_id, s.i, CASE WHEN length(held) + 1 + length(x) <= 4000 THEN k ELSE k + 1 END, CASE WHEN length(held) + 1 + length(x) <= 4000 THEN held || ' ' || x ELSE x END
+            FROM g JOIN s ON s.doc_id = g.doc_id AND s.i = g.i + 1),
+      u AS (SELECT doc_id, k, arg_max(held, i) AS x FROM g GROUP BY 1, 2),
+      p AS (SELECT doc_id, k, 0 AS c, x AS held FROM u WHERE k = 0
+            UNION ALL SELECT u.doc_id, u.k, CASE WHEN length(held) + 2 + length(x) <= 4000 THEN c ELSE c + 1 END,
+                   CASE WHEN length(held) + 2 + length(x) <= 4000 THEN held || chr(10) || chr(10) || x ELSE right(held, 400) || chr(10) || chr(10) || x END
+            FROM p JOIN u ON u.doc_id = p.doc_id AND u.k = p.k + 1),
+      o AS (SELECT doc_id, c, arg_max(held, k) AS content FROM p GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, n FROM d WHERE length(n) <= 6000)
+    SELECT doc_id, c::INTEGER AS chunk_index, length(content)::INTEGER AS chars, sha256(content) AS content_sha256, false AS oversized FROM o""")
 def chunk_documents(s, d):
     docs = t(s, d, "documents").select("doc_id", parsers.parse_column(F.lit("text/plain"), F.col("text").cast("binary")).alias("p"))
     each = docs.select("doc_id", F.explode(chunking.chunk_column(F.col("p.document.sections"))).alias("c"))
@@ -134,21 +169,23 @@ def chunk_documents(s, d):
 
 
 @query("""
-    WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-      f AS (SELECT conv_id, i, turn, n AS size, 0 AS pack FROM s WHERE i = 1
-            UNION ALL SELECT s.conv_id, s.i, s.turn, CASE WHEN f.size + s.n > 1000 THEN s.n ELSE f.size + s.n END, CASE WHEN f.size + s.n > 1000 THEN f.pack + 1 ELSE f.pack END
+    WITH RECURSIVE r AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS x FROM conversations),
+      s AS (SELECT conv_id, turn, x, length(x) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM r WHERE x <> ''),
+      f AS (SELECT conv_id, i, turn, x, n AS size, 0 AS pack FROM s WHERE i = 1
+            UNION ALL SELECT s.conv_id, s.i, s.turn, s.x, CASE WHEN f.size + s.n > 1000 THEN s.n ELSE f.size + s.n END, CASE WHEN f.size + s.n > 1000 THEN f.pack + 1 ELSE f.pack END
             FROM f JOIN s ON s.conv_id = f.conv_id AND s.i = f.i + 1)
-    SELECT conv_id, pack::BIGINT AS pack, count(*) AS sections, min(turn)::BIGINT AS first_turn FROM f GROUP BY ALL""")
+    SELECT conv_id, pack::INTEGER AS pack, count(*) AS sections, min(turn)::BIGINT AS first_turn, sha256(string_agg(x, chr(10) || chr(10) ORDER BY i)) AS content_sha256 FROM f GROUP BY 1, 2""")
 def chunk_packing(s, d):
-    turns = t(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("turns"))  # one conversation's
-    packs = chunking.pack_short_sections(F.transform("turns", lambda x: F.struct(x["turn"].cast("int").alias("index"), x["content"].alias("content"))), 1000)
-    each = turns.select("conv_id", F.posexplode(packs).alias("pack", "p"))
-    return each.select("conv_id", F.col("pack").cast("long").alias("pack"), F.size("p").cast("long").alias("sections"), F.get("p", F.lit(0)).cast("long").alias("first_turn"))
+    """Turns as sections, packed to 1,000 characters by the chunker itself."""
+    section = F.struct(F.col("turn").cast("int").alias("index"), F.lit("prose").alias("kind"), F.col("text").alias("content"))
+    turns = t(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(section)).alias("turns"))  # one conversation's
+    each = turns.select("conv_id", F.explode(chunking.chunk_column(F.col("turns"), ChunkingParams(1000, 100, 10_000_000))).alias("c"))
+    return each.select("conv_id", F.col("c.chunk_index").alias("pack"), F.size("c.section_indexes").cast("long").alias("sections"), F.col("c.anchor_section_index").cast("long").alias("first_turn"), F.sha2("c.content", 256).alias("content_sha256"))
 
 
 @query()
 def deterministic_embedding(s, d):
-    return t(s, d, "benchmark").select("item_id", embed_column(F.col("text")).alias("embedding"))
+    return t(s, d, "documents").select("doc_id", embed_column(F.col("text")).alias("embedding"))
 
 
 # --- full text ----------------------------------------------------------------------------------
@@ -160,10 +197,29 @@ def _chunks(s, d) -> DataFrame:
     return t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
+#: Postings by application, data and analyzer: an index is written once and searched many times.
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(s, d, language: str = "simple") -> DataFrame:
+    key = (s.sparkContext.applicationId, d, language)
+    if key not in _indexes:
+        path = fresh_path(s, "index")
+        fts.stored(fts.postings(_chunks(s, d), language)).write.partitionBy("part").parquet(path)
+        _indexes[key] = path
+    return s.read.parquet(_indexes[key])
+
+
 def _match(s, d, text: str) -> DataFrame:
-    c = _chunks(s, d)
     asked = fts.query_table(s, {1: text}, "simple")
-    return fts.matches(fts.postings(c, "simple"), asked, c).select(F.col("chunk_id").alias("doc_id"))
+    posted = fts.asked_only(_index(s, d), asked)
+    return fts.matches(posted, asked, _chunks(s, d)).select(F.col("chunk_id").alias("doc_id"))
+
+
+def _questions(s, d) -> DataFrame:
+    """The whole texts of the benchmark as questions; without the word that separates alternatives."""
+    words = F.array_remove(T.simple_tokens(F.col("text")), "or")
+    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
 @query(f"WITH {TOKENS}, e AS (SELECT doc_id, unnest(w) AS lexeme FROM toks) SELECT lexeme, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM e GROUP BY 1")
@@ -191,34 +247,47 @@ def fts_phrase_match(s, d):
     return _match(s, d, '"of the"')
 
 
-@query()
+#: Cover density: of all stretches that hold all words of a question, the least ones; words per word of each.
+RANKED = f"""{TOKENS}, q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x <> 'or')) AS ws FROM benchmark),
+    m AS (SELECT query_id, doc_id, ws, w FROM q JOIN toks ON list_has_all(w, ws) WHERE len(ws) > 0),
+    h AS (SELECT query_id, doc_id, ws, p, x FROM (SELECT query_id, doc_id, ws, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM m) WHERE list_contains(ws, x)),
+    g AS (SELECT query_id, doc_id, len(ws) AS n, p, max(CASE WHEN x = k THEN p END) OVER (PARTITION BY query_id, doc_id, k ORDER BY p) AS last FROM (SELECT *, unnest(ws) AS k FROM h)),
+    c AS (SELECT query_id, doc_id, n, p, min(last) AS lo, count(last) AS seen FROM g GROUP BY ALL),
+    o AS (SELECT query_id, doc_id AS chunk_id, round(sum(n / (hi - lo + 1)), 9) AS score FROM (SELECT query_id, doc_id, n, lo, min(p) AS hi FROM c WHERE seen = n GROUP BY ALL) GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM o)"""
+
+
+@query(f"WITH {RANKED} SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def fts_rank_topk(s, d):
-    c = _chunks(s, d)
-    posted = fts.postings(c, "english").withColumn("chunk_id", F.col("chunk_id").cast("long"))
-    rows = {r["item_id"]: " ".join(r["text"].split()[:2]) for r in t(s, d, "benchmark").orderBy("item_id").collect()}  # labelled questions
-    asked = fts.query_table(s, rows, "english")
-    return fts.rank_matches(posted, asked, fts.matches(posted, asked), 10).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    asked = fts.query_frame(_questions(s, d), "simple")
+    return fts.search(_index(s, d), materialise(asked, "asked"), 10).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query()
+def fts_rank_english(s, d):
+    asked = fts.query_frame(_questions(s, d), "english")
+    return fts.search(_index(s, d, "english"), materialise(asked, "asked"), 10).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 # --- vectors, fusion, search --------------------------------------------------------------------
 
 SIMS = """
     v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    sims AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 7) AS score FROM v q JOIN v c ON true WHERE q.vec_id < 20)"""
+    sims AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 7) AS score FROM v q JOIN v c ON true WHERE q.vec_id % 100 = 0)"""
 VEC = SIMS + ", vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims WHERE score >= {floor} QUALIFY rank <= 50)"
 #: A second signal over the same rows: by label and id.
-TXT = ", txt AS (SELECT query_id, chunk_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, ((c.vec_id * 7919 + q.vec_id * 104729) % 1000)::DOUBLE AS s FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 20) QUALIFY rank <= 50)"
+TXT = ", txt AS (SELECT query_id, chunk_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, ((c.vec_id * 7919 + q.vec_id * 104729) % 1000)::DOUBLE AS s FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0) QUALIFY rank <= 50)"
 
 
 def _rounded(s, d, floor: float) -> DataFrame:
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = e.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     return vector.similarities_sql(e, q, floor, 50, digits=7)
 
 
 def _text_signal(s, d) -> DataFrame:
     e = t(s, d, "embeddings")
-    q = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label"))
+    q = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"))
     score = ((F.col("vec_id") * 7919 + F.col("query_id") * 104729) % 1000).cast("double")
     return fusion.ranked(e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"), score.alias("score")), 50)
 
@@ -233,7 +302,7 @@ def vector_topk(s, d):
 @query(f"WITH {VEC.format(floor=-1)} SELECT query_id, chunk_id, score FROM vec WHERE rank <= 10")
 def vector_topk_batch(s, d):
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = e.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     near = vector.similarities(e, q, -1.0, 50).withColumn("score", F.round("score", 7)).drop("rank")
     return fusion.ranked(near, 10).select("query_id", "chunk_id", "score")
 
@@ -253,7 +322,11 @@ def vector_readback(s, d):
 
 @query("SELECT 'p' AS provider, len(embedding)::INTEGER AS dimensions, count(*) AS chunks FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1, 2")
 def stamp_check(s, d):
-    return t(s, d, "embeddings").where("embedding IS NOT NULL").groupBy(F.lit("p").alias("provider"), F.size("embedding").alias("dimensions")).agg(F.count("*").alias("chunks"))
+    """The check itself passes for the corpus's own stamp; then its rows."""
+    made = t(s, d, "embeddings").select("embedding", F.struct(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.size("embedding").alias("dimensions")).alias("stamp"))
+    own = made.where("embedding IS NOT NULL").select("stamp.*").first()
+    there = own is not None and vector.check_stamp(made, own.asDict())
+    return made.where(F.col("embedding").isNotNull() & F.lit(there)).groupBy("stamp.provider", "stamp.dimensions").agg(F.count("*").alias("chunks"))
 
 
 RRF = f"""WITH {VEC.format(floor=0.2)}{TXT}, f AS (
@@ -291,22 +364,26 @@ def rerank_reorder(s, d):
     return fusion.top(r, 10).select("query_id", "chunk_id", "prerank_position", "rank")
 
 
-@query(f"""WITH {TOKENS}, {SIMS.strip()},
-    q(query_id, word) AS (VALUES (0, 'the'), (1, 'with'), (2, 'para'), (3, 'mit'), (4, 'pour')),
-    fts AS (SELECT q.query_id::BIGINT AS query_id, doc_id AS chunk_id, len(list_filter(w, lambda x: x = word))::DOUBLE AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY len(list_filter(w, lambda x: x = word)) DESC, doc_id) AS rank
-            FROM toks, q WHERE list_contains(w, word) QUALIFY rank <= 50),
-    vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims WHERE query_id < 5 AND score >= 0.2 QUALIFY rank <= 50),
-    f AS (SELECT coalesce(v.query_id, x.query_id) AS query_id, coalesce(v.chunk_id, x.chunk_id) AS chunk_id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0) AS s
-          FROM vec v FULL JOIN fts x ON v.query_id = x.query_id AND v.chunk_id = x.chunk_id)
-    SELECT query_id, chunk_id, round(s, 12) AS fused_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+@query(f"""WITH {RANKED},
+    fts AS (SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 50),
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    sims AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN benchmark b ON b.item_id = q.vec_id JOIN v c ON true JOIN documents x ON x.doc_id = c.vec_id),
+    vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sims WHERE score >= 0.2 QUALIFY rank <= 50),
+    f AS (SELECT coalesce(v.query_id, x.query_id) AS query_id, coalesce(v.chunk_id, x.chunk_id) AS chunk_id, x.score AS fts_score, v.score AS vector_score, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0) AS s
+          FROM vec v FULL JOIN fts x ON v.query_id = x.query_id AND v.chunk_id = x.chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10)
+    SELECT query_id, rank, chunk_id, sha256(d.text) AS content_sha256, fts_score, round(vector_score, 7) AS vector_score, round(s, 12) AS fused_score FROM r JOIN documents d ON d.doc_id = r.chunk_id""")
 def hybrid_search(s, d):
-    """Word counts and vectors, fused: five questions at once."""
-    words = {0: "the", 1: "with", 2: "para", 3: "mit", 4: "pour"}
-    posted = fts.postings(_chunks(s, d), "simple")
-    asked = F.broadcast(fts.query_table(s, words, "simple").select("query_id", "lexeme"))
-    counts = posted.join(asked, "lexeme").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    f = fusion.fuse(fusion.ranked(counts, 50), _rounded(s, d, 0.2).where("query_id < 5"), RetrievalConfig())
-    return fusion.top(f, 10, "fused_rank").select("query_id", "chunk_id", F.round("fused_score", 12).alias("fused_score"), F.col("fused_rank").alias("rank"))
+    """The search plan itself: every benchmark text is a question, with the vector of its number; documents are chunks, with theirs."""
+    e = t(s, d, "embeddings")
+    stamp = {"provider": "p", "model": "m", "dimensions": 64}
+    held = e.select(F.col("vec_id").alias("v"), "embedding", F.struct(*(F.lit(v).alias(k) for k, v in stamp.items())).alias("stamp"))
+    docs = t(s, d, "documents")
+    chunks = docs.join(held, docs["doc_id"] == held["v"], "left").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"), "embedding", "stamp")
+    asked = _questions(s, d).join(e, F.col("query_id") == F.col("vec_id")).where("query <> ''").collect()  # the labelled questions
+    vectors = {r["query"]: r["embedding"] for r in asked}
+    found = search.search(chunks, {r["query_id"]: r["query"] for r in asked}, RetrievalConfig(), "simple", lambda q, n: vectors[q], stamp, posted=_index(s, d))
+    return found.select("query_id", "rank", "chunk_id", "content_sha256", F.round("fts_score", 9).alias("fts_score"), F.round("vector_score", 7).alias("vector_score"), F.round("fused_score", 12).alias("fused_score"))
 
 
 # --- generations, labels, reads -----------------------------------------------------------------
@@ -343,17 +420,28 @@ def generation_sweep(s, d):
     return generations.swept(_all_chunks(s, d), _sources(s, d))[1].groupBy("generation").agg(F.count("*").alias("swept"))
 
 
+@query(f"WITH {CURRENT} SELECT source_id, generation, sha256(content) AS content_sha256 FROM cur")
+def generation_commit(s, d):
+    """Both generations are inserted, twice, then what the pointer replaces is swept: what is left in the table."""
+    rows = _all_chunks(s, d).withColumn("id", F.concat_ws(":", "source_id", "generation"))
+    path = fresh_path(s, "commit")
+    for part in ("generation = 1", "generation = 2", "generation = 1"):
+        sinks.insert_ignore(rows.where(part), path)
+    sinks.sweep(path, F.col("generation") < F.col("current_generation"), s, _sources(s, d))
+    return sinks.read(s, path).select("source_id", "generation", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("SELECT doc_id AS source_id, (CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END + 1)::INTEGER AS target_generation FROM documents WHERE doc_id % 3 <> 0")
 def reingest_candidates(s, d):
     return generations.to_reingest(_sources(s, d), "markdown", "0.9.0")
 
 
-RECEIPTS = "res AS (SELECT doc_id AS source_id, sha256(text) AS content_sha256 FROM documents WHERE doc_id % 5 = 0)"
+RECEIPTS = "res AS (SELECT doc_id AS source_id, sha256(text) AS content_sha256 FROM documents)"
 
 
 @query(f"WITH {CURRENT}, {RECEIPTS} SELECT source_id, content_sha256, NOT EXISTS (SELECT 1 FROM cur WHERE cur.source_id = res.source_id AND sha256(cur.content) = res.content_sha256) AS superseded FROM res")
 def superseded(s, d):
-    res = t(s, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))
+    res = t(s, d, "documents").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))
     return gold.superseded(res, _current(s, d)).select("source_id", "content_sha256", "superseded")
 
 
@@ -432,54 +520,66 @@ def stage_durations(s, d):
 
 # --- evaluation ---------------------------------------------------------------------------------
 
-EVAL = """
-    items AS (SELECT vec_id AS item_id, CASE WHEN vec_id % 4 = 3 THEN 'heldout' ELSE 'tuning' END AS split, vec_id % 11 = 5 AS unresolvable, label FROM embeddings WHERE vec_id < 100),
-    res AS (SELECT i.item_id, e.vec_id, row_number() OVER (PARTITION BY i.item_id ORDER BY (e.vec_id * 7919 + i.item_id * 104729) % 10007, e.vec_id) AS rank FROM items i, embeddings e WHERE e.vec_id < 60 QUALIFY rank <= 10),
-    hits AS (SELECT res.item_id, list(rank ORDER BY rank) AS ranks FROM res JOIN items i ON i.item_id = res.item_id WHERE res.vec_id % 10 = i.label GROUP BY 1),
-    o AS (SELECT i.item_id, i.split, CASE WHEN unresolvable THEN 'unresolvable' WHEN ranks IS NULL THEN 'miss' ELSE 'hit' END AS status, CASE WHEN NOT unresolvable THEN ranks[1] END AS first_hit_rank,
-                 CASE WHEN unresolvable OR ranks IS NULL THEN 0 ELSE list_sum(list_transform(ranks, lambda r: 1 / log2(r + 1))) END AS dcg FROM items i LEFT JOIN hits USING (item_id))"""
-IDEAL = "(1 / log2(2) + 1 / log2(3) + 1 / log2(4) + 1 / log2(5) + 1 / log2(6) + 1 / log2(7))"
-
-
-def _outcomes(s, d) -> DataFrame:
-    """Questions expect the six of the first 60 vectors whose ids end in their label."""
-    e = t(s, d, "embeddings")
-    item = e.where("vec_id < 100")
-    expected = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (i * 10 + F.col("label")).cast("string"))
-    items = item.select(F.col("vec_id").alias("item_id"), F.when(F.col("vec_id") % 4 == 3, "heldout").otherwise("tuning").alias("split"), expected.alias("expected"), (F.col("vec_id") % 11 == 5).alias("unresolvable"))
-    shuffled = (F.col("vec_id") * 7919 + F.col("item_id") * 104729) % 10007
-    w = Window.partitionBy("item_id").orderBy(shuffled, "vec_id")
-    res = e.where("vec_id < 60").select("vec_id").join(F.broadcast(items.select("item_id"))).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return metrics.outcomes(items, res.select("item_id", "rank", F.col("vec_id").cast("string").alias("hash")))
+EVAL = f"""{SIMS},
+    res AS (SELECT s.query_id AS item_id, s.chunk_id, e.label, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.chunk_id) AS rank FROM sims s JOIN embeddings e ON e.vec_id = s.chunk_id WHERE s.chunk_id <> s.query_id QUALIFY rank <= 20),
+    again AS (SELECT item_id, label, row_number() OVER (PARTITION BY item_id ORDER BY (chunk_id * 31 % 17) DESC, rank) AS rank FROM res),
+    items AS (SELECT vec_id AS item_id, CASE WHEN vec_id // 100 % 4 = 3 THEN 'heldout' ELSE 'tuning' END AS split, vec_id // 100 % 11 = 1 AS unresolvable, [label, (label + 1) % 10] AS expected FROM embeddings WHERE vec_id % 100 = 0)"""
+#: Outcomes of the results of a run, in SQL.
+OUT = """{o} AS (SELECT i.item_id, i.split, CASE WHEN unresolvable THEN 'unresolvable' WHEN ranks IS NULL THEN 'miss' ELSE 'hit' END AS status, CASE WHEN NOT unresolvable THEN ranks[1] END AS first_hit_rank,
+                 CASE WHEN unresolvable OR ranks IS NULL THEN 0 ELSE list_sum(list_transform(ranks, lambda r: 1 / log2(r + 1))) END AS dcg
+          FROM items i LEFT JOIN (SELECT r.item_id, list(rank ORDER BY rank) AS ranks FROM {r} r JOIN items i ON i.item_id = r.item_id WHERE rank <= 10 AND list_contains(expected, label) GROUP BY 1) h USING (item_id))"""
+ONE = f"{EVAL}, {OUT.format(o='o', r='res')}"
+IDEAL = "(1 / log2(2) + 1 / log2(3))"
+
+
+def _runs(s, d) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of two runs over every hundredth vector as a question: the nearest others, and the same reordered by a scorer. A label is
+    what a question expects, with the next one."""
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    q = e.where("chunk_id % 100 = 0")
+    expected = F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string"))
+    nth = F.floor(F.col("chunk_id") / 100)
+    items = q.select(F.col("chunk_id").alias("item_id"), F.when(nth % 4 == 3, "heldout").otherwise("tuning").alias("split"), expected.alias("expected"), (nth % 11 == 1).alias("unresolvable"))
+    near = vector.similarities(e.select("chunk_id", "embedding"), q.select(F.col("chunk_id").alias("query_id"), "embedding"), -1.0, 50)
+    best = fusion.ranked(near.where("chunk_id <> query_id").withColumn("score", F.round("score", 7)).drop("rank"), 20)
+    best = materialise(best.join(e.select("chunk_id", F.col("label").cast("string").alias("hash")), "chunk_id"), "run")
+    again = fusion.rerank(best.withColumn("fused_rank", F.col("rank")), (F.col("chunk_id") * 31 % 17).cast("double"), 20)
+    first, second = (metrics.outcomes(items, r.where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", "hash")) for r in (best, again))
+    return first, second
+
+
+@query(f"WITH {ONE} SELECT item_id, split, status, first_hit_rank::INTEGER AS first_hit_rank, round(dcg, 9) AS dcg FROM o")
+def eval_outcomes(s, d):
+    return _runs(s, d)[0].select("item_id", "split", "status", "first_hit_rank", F.round("dcg", 9).alias("dcg"))
 
 
-@query(f"WITH {EVAL} SELECT item_id, split, status, first_hit_rank::INTEGER AS first_hit_rank, round(dcg, 9) AS dcg FROM o")
-def eval_outcomes(s, d):
-    return _outcomes(s, d).select("item_id", "split", "status", "first_hit_rank", F.round("dcg", 9).alias("dcg"))
+#: Splits without a question that counts have null metrics.
+SPLITS = "SELECT x.split, m.* EXCLUDE split FROM (VALUES ('tuning'), ('heldout')) x(split) LEFT JOIN ({}) m ON m.split = x.split"
 
 
-@query(f"WITH {EVAL} SELECT split, round(avg(CASE WHEN first_hit_rank <= 5 THEN 1.0 ELSE 0 END), 9)::DOUBLE AS recall_at_5, round(avg(CASE WHEN first_hit_rank <= 10 THEN 1.0 ELSE 0 END), 9)::DOUBLE AS recall_at_10 FROM o WHERE status <> 'unresolvable' GROUP BY 1")
+@query(f"WITH {ONE} " + SPLITS.format("SELECT split, round(avg(CASE WHEN first_hit_rank <= 5 THEN 1.0 ELSE 0 END), 9)::DOUBLE AS recall_at_5, round(avg(CASE WHEN first_hit_rank <= 10 THEN 1.0 ELSE 0 END), 9)::DOUBLE AS recall_at_10 FROM o WHERE status <> 'unresolvable' GROUP BY 1"))
 def eval_recall(s, d):
-    return metrics.slices(_outcomes(s, d)).select("split", F.round("recall_at_5", 9).alias("recall_at_5"), F.round("recall_at_10", 9).alias("recall_at_10"))
+    return metrics.slices(_runs(s, d)[0]).select("split", F.round("recall_at_5", 9).alias("recall_at_5"), F.round("recall_at_10", 9).alias("recall_at_10"))
 
 
-@query(f"WITH {EVAL} SELECT split, round(avg(coalesce(1.0 / first_hit_rank, 0)), 9)::DOUBLE AS mrr, count(*) AS items FROM o WHERE status <> 'unresolvable' GROUP BY 1")
+@query(f"WITH {ONE} " + SPLITS.format("SELECT split, round(avg(coalesce(1.0 / first_hit_rank, 0)), 9)::DOUBLE AS mrr, count(*) AS items FROM o WHERE status <> 'unresolvable' GROUP BY 1"))
 def eval_mrr(s, d):
-    return metrics.slices(_outcomes(s, d)).select("split", F.round("mrr", 9).alias("mrr"), "items")
+    return metrics.slices(_runs(s, d)[0]).select("split", F.round("mrr", 9).alias("mrr"), "items")
 
 
-@query(f"WITH {EVAL} SELECT split, round(avg(dcg / {IDEAL}), 9)::DOUBLE AS ndcg_at_10 FROM o WHERE status <> 'unresolvable' GROUP BY 1")
+@query(f"WITH {ONE} " + SPLITS.format(f"SELECT split, round(avg(dcg / {IDEAL}), 9)::DOUBLE AS ndcg_at_10 FROM o WHERE status <> 'unresolvable' GROUP BY 1"))
 def eval_ndcg(s, d):
-    return metrics.slices(_outcomes(s, d)).select("split", F.round("ndcg_at_10", 9).alias("ndcg_at_10"))
+    return metrics.slices(_runs(s, d)[0]).select("split", F.round("ndcg_at_10", 9).alias("ndcg_at_10"))
+
+
+def _long(o: str) -> str:
+    every = {"recall_at_5": "avg(CASE WHEN first_hit_rank <= 5 THEN 1.0 ELSE 0 END)", "recall_at_10": "avg(CASE WHEN first_hit_rank <= 10 THEN 1.0 ELSE 0 END)", "mrr": "avg(coalesce(1.0 / first_hit_rank, 0))", "ndcg_at_10": f"avg(dcg / {IDEAL})"}
+    return " UNION ALL ".join(f"SELECT x.split, '{k}' AS metric, (SELECT ({v})::DOUBLE FROM {o} WHERE status <> 'unresolvable' AND {o}.split = x.split) AS x FROM (VALUES ('tuning'), ('heldout')) x(split)" for k, v in every.items())
 
 
-@query(f"""WITH {EVAL}, m AS (SELECT split, avg(CASE WHEN first_hit_rank <= 5 THEN 1.0 ELSE 0 END)::DOUBLE AS r5, avg(CASE WHEN first_hit_rank <= 10 THEN 1.0 ELSE 0 END)::DOUBLE AS r10, avg(coalesce(1.0 / first_hit_rank, 0))::DOUBLE AS mrr, avg(dcg / {IDEAL})::DOUBLE AS nd,
-        avg(CASE WHEN first_hit_rank <= 5 AND item_id % 2 = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS b5 FROM o WHERE status <> 'unresolvable' GROUP BY 1),
-    l AS (SELECT split, 'recall_at_5' AS metric, r5 AS x FROM m UNION ALL SELECT split, 'recall_at_10', r10 FROM m UNION ALL SELECT split, 'mrr', mrr FROM m UNION ALL SELECT split, 'ndcg_at_10', nd FROM m)
-    SELECT split, metric, round(x, 9) AS before, round(x, 9) AS after, 0.0::DOUBLE AS delta FROM l""")
+@query(f"WITH {ONE}, {OUT.format(o='p', r='again')}, a AS ({_long('o')}), b AS ({_long('p')}) SELECT a.split, a.metric, round(a.x, 9) AS before, round(b.x, 9) AS after, round(b.x - a.x, 9) AS delta FROM a JOIN b ON a.split = b.split AND a.metric = b.metric")
 def eval_compare(s, d):
-    m = metrics.slices(_outcomes(s, d))
-    c = metrics.compare(m, m)
+    c = metrics.compare(*map(metrics.slices, _runs(s, d)))
     return c.select("split", "metric", *(F.round(x, 9).alias(x) for x in ("before", "after", "delta")))
 
 
