@@ -123,7 +123,7 @@ def _parsed_pages(s, d) -> DataFrame:
 
 
 #: What stands behind the heading of these pages, without tags and with its entities read.
-BARE = r"regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<[^>]*>', '', 'g')"
+BARE = r"regexp_replace(replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>', ' '), '<[^>]*>', '', 'g')"
 READ = f"replace(replace(replace(replace(replace({BARE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
 HEADING = "replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 

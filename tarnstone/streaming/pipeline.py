@@ -1,41 +1,103 @@
-"""Structured Streaming forms: the job queue as micro-batches, deduplicated ingest, windows over event time."""
+"""Structured Streaming forms: the job queue with its retries, deduplicated ingest, windows over event time.
+
+Jobs are a table of states. What arrives is inserted by id, so a replayed micro-batch changes nothing. Each poll puts stale
+claims back, claims the oldest jobs that are due, has the claim on record before any handler runs, and records what became
+of them: a failure waits twice as long each time and is final after as many attempts as the job has.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.jobs import MAX_ATTEMPTS, route
-
-
-def enqueue(jobs: DataFrame, path: str, max_attempts: int = MAX_ATTEMPTS) -> None:
-    """Append jobs (id, kind, payload) to the folder that the stream reads, queued and due at once."""
-    now = F.current_timestamp()
-    jobs.select("id", "kind", "payload", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(max_attempts).alias("max_attempts"), now.alias("run_at"), now.alias("created_at")).write.mode("append").parquet(path)
+from ..operators import jobs as J
+from ..schemas import TABLES
+from ..shared import materialise
+from ..sources import sinks
+
+#: Jobs claimed in one poll.
+CLAIMS = 100
+#: A handler takes the claimed jobs of its kind; it raises if all of them failed, or returns (id, error) of those that did.
+Handler = Callable[[DataFrame], DataFrame | None]
+
+
+def now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.UTC)
+
+
+def enqueue(jobs: DataFrame, path: str, max_attempts: int = J.MAX_ATTEMPTS, as_of: datetime.datetime | None = None) -> dict[str, int]:
+    """Insert jobs (id, kind, payload), queued and due at once; those whose id is there already change nothing."""
+    at = F.lit(as_of or now()).cast("timestamp")
+    none = {c: F.lit(None).cast(k) for c, k in (("claimed_by", "string"), ("claimed_at", "timestamp"), ("last_error", "string"))}
+    fresh = jobs.select("id", "kind", "payload").withColumns({"status": F.lit("queued"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "run_at": at, **none, "created_at": at})
+    return sinks.insert_ignore(fresh.select(*(c.split()[0] for c in TABLES["jobs"].split(", "))), path)
+
+
+def work(spark: SparkSession, path: str, handlers: dict[str, Handler], worker: str = "worker", as_of: datetime.datetime | None = None, limit: int = CLAIMS) -> int:
+    """One poll at an instant; how many jobs were claimed."""
+    table, at = sinks.read(spark, path, TABLES["jobs"]), F.lit(as_of or now()).cast("timestamp")
+    if table is None:
+        return 0
+    queue = J.reclaim_stale(table, at)
+    due = F.broadcast(materialise(J.claimable(queue, at, limit).select("id"), "due"))  # ``limit`` ids at most
+    count = due.count()
+    if not count:
+        return 0
+    sinks.swap_pointer(queue.join(due, "id", "left_anti").unionByName(J.claim(queue.join(due, "id", "left_semi"), worker, at)), path)
+    table = sinks.read(spark, path, TABLES["jobs"])
+    mine = J.route(table.join(due, "id", "left_semi"), tuple(handlers)).withColumnRenamed("last_error", "error")
+    failed = mine.where("handler IS NULL").select("id", "error")
+    for kind, handle in handlers.items():
+        part = mine.where(F.col("handler") == kind).drop("error", "handler")
+        if not part.isEmpty():
+            try:
+                said = handle(part)
+                failed = failed if said is None else failed.unionByName(said.select("id", F.col("error").cast("string")))
+            except Exception as e:
+                failed = failed.unionByName(part.select("id", F.lit(str(e)[:500]).alias("error")))
+    bad = materialise(failed.groupBy("id").agg(F.first("error").alias("error")), "failed")
+    claimed = table.join(due, "id", "left_semi")
+    good = J.complete(claimed.join(F.broadcast(bad), "id", "left_anti"))
+    worse = J.fail(claimed.join(F.broadcast(bad), "id"), F.col("error"), at).drop("error")
+    sinks.swap_pointer(table.join(due, "id", "left_anti").unionByName(good).unionByName(worse), path)
+    return count
+
+
+def drain(spark: SparkSession, path: str, handlers: dict[str, Handler], worker: str = "worker", clock: Callable[[], datetime.datetime] = now) -> int:
+    """Polls as long as there was work; how many jobs were claimed."""
+    total = 0
+    while n := work(spark, path, handlers, worker, clock()):
+        total += n
+    return total
 
 
 def read_jobs(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
-    """A folder of job files as a stream: a file belongs to one micro-batch only, which is the claim."""
+    """A folder of job files as a stream: a file belongs to one micro-batch only."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_jobs(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], failed: Callable[[DataFrame], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each micro-batch goes to its kinds' handlers; jobs of an unknown kind go to ``failed``."""
+def run_jobs(jobs: DataFrame, path: str, handlers: dict[str, Handler], checkpoint: str, once: bool = True, clock: Callable[[], datetime.datetime] = now) -> StreamingQuery:
+    """Jobs (id, kind, payload) as they arrive: each micro-batch is inserted into the table ``path``, then all that is due is worked off."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        routed = route(rows, tuple(handlers)).persist()
-        for kind, handle in handlers.items():
-            handle(routed.where(F.col("handler") == kind))
-        failed(routed.where("handler IS NULL"))
-        routed.unpersist()
+        enqueue(rows, path, as_of=clock())
+        drain(rows.sparkSession, path, handlers, clock=clock)
 
     writer = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
+def poll(spark: SparkSession, path: str, handlers: dict[str, Handler], checkpoint: str, every: str = "2 seconds", clock: Callable[[], datetime.datetime] = now) -> StreamingQuery:
+    """The loop that serves retries, too: whatever is due is worked off ``every`` so often, until the query is stopped."""
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = beat.writeStream.foreachBatch(lambda rows, _: drain(rows.sparkSession, path, handlers, clock=clock) and None)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def once_per_key(rows: DataFrame, key: str, time: str | None = None, late: str = "1 hour") -> DataFrame:
     """Replays drop out: by key for ever, or within a watermark where there is an event time."""
     return rows.dropDuplicates([key]) if time is None else rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

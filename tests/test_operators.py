@@ -1,7 +1,9 @@
 """Relational operators on small tables with hand-computed results."""
 
+import datetime
 import io
 import math
+import time
 import zipfile
 
 import pytest
@@ -299,17 +301,52 @@ def test_sinks(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     for i in range(3):
-        spark.createDataFrame([(f"k{j}", "work" if j else "odd") for j in range(i + 1)], "id string, kind string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    seen, failed = [], []
-    stream = pipeline.read_jobs(spark, f"{tmp_path}/in/*", "id string, kind string")
-    q = pipeline.run_jobs(pipeline.once_per_key(stream, "id"), {"work": lambda d: seen.extend(r.id for r in d.collect())}, lambda d: failed.extend(r.id for r in d.collect()), f"{tmp_path}/cp")
-    q.awaitTermination(120)
-    assert sorted(seen) == ["k1", "k2"] and failed == ["k0"]
+        spark.createDataFrame([(f"k{j}", "work" if j else "odd", "{}") for j in range(i + 1)], "id string, kind string, payload string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    seen = []
+    stream = pipeline.read_jobs(spark, f"{tmp_path}/in/*", "id string, kind string, payload string")
+    q = pipeline.run_jobs(pipeline.once_per_key(stream, "id"), f"{tmp_path}/jobs", {"work": lambda d: seen.extend(r.id for r in d.collect())}, f"{tmp_path}/cp", clock=lambda: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC))
+    q.awaitTermination(240)
+    assert q.exception() is None and sorted(seen) == ["k1", "k2"]
+    got = {r.id: r for r in sinks.read(spark, f"{tmp_path}/jobs").collect()}
+    assert got["k1"].status == "succeeded" and (got["k0"].status, got["k0"].attempts, got["k0"].last_error) == ("queued", 1, "unknown job kind: odd")
     ev = spark.createDataFrame([(0, 1.0), (3599, 2.0), (3600, 4.0)], "t int, v double").withColumn("ts", F.timestamp_seconds("t"))
     assert sorted(r.s for r in pipeline.tumbling(ev, "ts", "1 hour", s=F.sum("v")).collect()) == [3.0, 4.0]
     assert sorted(r.n for r in pipeline.sessions(ev, "ts", "10 minutes", n=F.count("*")).collect()) == [1, 2]
 
 
+def test_queue_retries(spark, tmp_path):
+    """Polls at instants of our own: one job fails twice and succeeds, one ends failed, one's claim goes stale."""
+    path, base, tries = f"{tmp_path}/jobs", datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC), []
+    at = lambda s: base + datetime.timedelta(seconds=s)
+    pipeline.enqueue(spark.createDataFrame([("a", "flaky", "{}"), ("b", "part", "{}"), ("c", "part", "{}")], "id string, kind string, payload string"), path, as_of=base)
+    assert pipeline.enqueue(spark.createDataFrame([("a", "flaky", "again")], "id string, kind string, payload string"), path)["conflict_noops"] == 1
+
+    def flaky(rows):
+        tries.append([r.attempts for r in rows.collect()])
+        if len(tries) < 3:
+            raise RuntimeError("boom")
+
+    handlers = {"flaky": flaky, "part": lambda rows: rows.where("id = 'c'").select("id", F.lit("no").alias("error"))}
+    assert pipeline.work(spark, path, handlers, as_of=at(0)) == 3 and pipeline.work(spark, path, handlers, as_of=at(4)) == 0
+    assert pipeline.work(spark, path, handlers, as_of=at(5)) == 2 and pipeline.work(spark, path, handlers, as_of=at(14)) == 0
+    clock = iter([at(15), at(16)])
+    assert pipeline.drain(spark, path, handlers, clock=lambda: next(clock)) == 2
+    got = {r.id: (r.status, r.attempts, r.last_error) for r in sinks.read(spark, path).collect()}
+    assert got == {"a": ("succeeded", 3, "boom"), "b": ("succeeded", 1, None), "c": ("failed", 3, "no")} and tries == [[1], [2], [3]]
+    stale = sinks.read(spark, path).where("id = 'b'").withColumns({"status": F.lit("claimed"), "claimed_at": F.lit(at(20))})
+    sinks.swap_pointer(stale, path)
+    assert pipeline.work(spark, path, handlers, as_of=at(80)) == 0 and pipeline.work(spark, path, handlers, as_of=at(81)) == 1
+    seen = []
+    pipeline.enqueue(spark.createDataFrame([("d", "late", "{}")], "id string, kind string, payload string"), path)
+    q = pipeline.poll(spark, path, {"late": lambda rows: seen.extend(r.id for r in rows.collect())}, f"{tmp_path}/cp", "1 second")
+    for _ in range(60):
+        time.sleep(1)
+        if seen:
+            break
+    q.stop()
+    assert seen == ["d"]
+
+
 def test_model_seams(spark):
     from tarnstone.functions import models
 
@@ -334,8 +371,8 @@ def test_model_seams(spark):
 
 def test_enqueue(spark, tmp_path):
     pipeline.enqueue(spark.createDataFrame([("1", "work", "{}")], "id string, kind string, payload string"), f"{tmp_path}/q")
-    row = spark.read.parquet(f"{tmp_path}/q").first()
-    assert (row.status, row.attempts, row.max_attempts) == ("queued", 0, 3) and jobs.claimable(spark.read.parquet(f"{tmp_path}/q"), F.current_timestamp()).count() == 1
+    row = sinks.read(spark, f"{tmp_path}/q").first()
+    assert (row.status, row.attempts, row.max_attempts) == ("queued", 0, 3) and jobs.claimable(sinks.read(spark, f"{tmp_path}/q"), F.current_timestamp()).count() == 1
 
 
 def test_registry_is_whole():
