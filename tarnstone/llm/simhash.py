@@ -92,8 +92,9 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return lookup(rows, of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample.
-TABLES, SAMPLED = 12, 4
+#: For similarity joins: tables of fingerprints of min-wise samples, and shingles in a sample. A pair of similarity s has equal
+#: samples in one table with probability s^SAMPLED at least, so one at 0.8 meets in none with less than 0.00003.
+TABLES, SAMPLED = 20, 4
 #: Of a group that meets at a fingerprint, so many are compared with all others at first.
 CENTRES = 4
 #: Neighbours in a group that meets at a fingerprint are sought within parts of about so many of it.
