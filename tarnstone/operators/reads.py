@@ -48,4 +48,5 @@ def trail(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def scrub_failure(kind: Column, stage: Column, message: Column) -> Column:
-    return F.struct(kind.alias("class"), stage.alias("stage"), F.substring(message, 1, 500).alias("message"))
+    """What a row keeps of a failure: its class, stage and whole message, no trace."""
+    return F.struct(kind.alias("class"), stage.alias("stage"), message.alias("message"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..config import ChunkingParams
 from ..functions.embedding import STAMP, deterministic_embedding, embed_column
-from ..operators import fts, generations, gold, validate
+from ..operators import fts, generations, gold, reads, validate
 from ..operators.chunking import chunk_column
 from ..operators.parsers import SHIPPED, Plugin, parse_column
 from ..shared import materialise
@@ -25,7 +25,7 @@ def parsed(files: DataFrame, plugins: Sequence[Plugin] = SHIPPED) -> DataFrame:
     p = files.withColumn("p", parse_column(F.col("media_type"), F.col("content"), plugins)).drop("content")
     p = p.select("*", "p.plugin_name", "p.plugin_version", "p.confidence", "p.candidates", "p.document", F.col("p.failure").alias("failure")).drop("p")
     found = F.when(F.col("document").isNotNull(), validate.violations(F.col("document")))
-    invalid = F.struct(F.lit("malformed").alias("class"), F.lit("transform").alias("stage"), F.array_join(found, "; ").alias("message"))
+    invalid = reads.scrub_failure(F.lit("malformed"), F.lit("transform"), F.array_join(found, "; "))
     p = p.withColumn("failure", F.coalesce("failure", F.when(F.size(found) > 0, invalid)))
     status = F.when(F.col("failure").isNotNull(), "failed").when(F.size("document.sections") == 0, "empty").otherwise("ingested")
     return p.withColumn("status", status)

@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_BATCH_ENTRIES, MAX_UPLOAD_BYTES
 from ..functions.text import sniff_media_type
-from ..schemas import TABLES
 
 ENTRY = "array<struct<path:string,content:binary,reason:string>>"
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(path)
-
-
 def read_uploads(spark: SparkSession, path: str, glob: str | None = None, most: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """filename, content, byte_size, media_type and reason (why a file is refused, else null). Too large files aren't read further."""
     reader = spark.read.format("binaryFile")
