@@ -222,6 +222,15 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_buckets_hold_sequences_of_one_length(spark, docs, tmp_path):
+    pieces = packing.pack(docs, P.path("word_bpe_49k.json"), most=64)
+    packing.write_buckets(pieces, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    kept = lambda df: sorted((x.sequence_id, x.length, x.bucket, bytes(x.ids)) for x in df.collect())
+    assert kept(back) == kept(pieces)
+    assert all(x.length == 1 << x.bucket for x in back.select("bucket", "length").distinct().collect())
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 63, 64, 65, 1000])
 def test_piece_lengths(n):
     got = packing.piece_lengths(n, 64)
