@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnstone.llm import exact_dedup, mixing, packing, quality, simhash
-from tarnstone.llm.common import clean, materialise, table, written
+from tarnstone.llm.common import clean, materialise, owned, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), written(spark)
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        clean(spark, docs, since=before)  # what this stage and its predecessors wrote is read no more
+    docs = table(spark, sf_dir, "documents")
+    with owned() as paths:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            clean(spark, paths, docs)  # what this stage and its predecessors wrote is read no more
     return docs
 
 

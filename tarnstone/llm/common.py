@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -30,13 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/tarnstone-shared"
 
 
-#: Paths handed out, by application, for :func:`clean`.
-_handed_out: dict[str, list[str]] = {}
+#: Paths handed out to the owner that is at work here; threads have owners of their own.
+_owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+
+
+@contextlib.contextmanager
+def owned():
+    """The list of what is written to the shared folder by this thread within the block, for :func:`clean`."""
+    paths: list[str] = []
+    before = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(before)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tarnstone/{name}-{uuid.uuid4().hex}"
-    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (paths := _owned.get()) is not None:
+        paths.append(path)
     return path
 
 
@@ -48,24 +62,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(spark: SparkSession) -> int:
-    """How many tables this application has written so far, to be given to :func:`clean`."""
-    return len(_handed_out.get(spark.sparkContext.applicationId, []))
-
+def clean(spark: SparkSession, paths: list[str], *keep: DataFrame) -> None:
+    """Delete the tables of an owner (:func:`owned`), but for those that ``keep`` scans; other owners' tables stay.
 
-def clean(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
-    """Delete what this application wrote to the shared folder after the first ``since`` tables, but for those that ``keep`` scans.
-
-    Call it once the results of the operators used since are written elsewhere: they read these tables.
+    Call it once the results of the operators used are written elsewhere: they read these tables.
     """
     kept = {f.rpartition("/")[0].split("/tarnstone/")[-1] for df in keep for f in df.inputFiles()}
     hadoop = spark._jvm.org.apache.hadoop.fs
-    mine = _handed_out.get(spark.sparkContext.applicationId, [])
-    for path in mine[since:]:
+    for path in list(paths):
         if path.split("/tarnstone/")[-1] not in kept:
             where = hadoop.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            mine.remove(path)
+            paths.remove(path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -99,6 +107,12 @@ def lookup(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     return same(rows.where(hot), F.broadcast(found.where(hot)), *keys).unionByName(same(rows.where(~hot), found.where(~hot), *keys))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, where a file gives fewer; at any larger size this does nothing."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

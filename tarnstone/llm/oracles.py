@@ -74,3 +74,60 @@ def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
              s2 AS (SELECT domain AS k, mean FROM {shrunk("domains", "s1", "suffix")}),
              s3 AS (SELECT host, mean, mean - {z} * sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM {shrunk("hosts", "s2", "domain")})
         SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN bound > {limit} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS block_rate, round(bound, 6) AS bound FROM v JOIN s3 ON s3.host = v.host"""
+
+
+#: CRC-32 of a string's UTF-8 bytes: the table of its polynomial, then byte by byte.
+CRC = """crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab)"""
+
+
+def _crc32(of: str) -> str:
+    """Needs crc_table in scope."""
+    byte = f"list_transform(regexp_extract_all(hex({of}), '..'), lambda x: (16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def op11_target_resampling(buckets: int = 10_000, percent: int = 5, least: int = 20) -> str:
+    words = lambda c: f"list_filter(string_split_regex(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    runs = lambda t, i: " UNION ALL ".join(f"SELECT {i} AS i, unnest(list_transform(range(1, len(w) - {n} + 2), lambda a: array_to_string(w[a:a + {n - 1}], ' '))) AS f FROM {t}" for n in (1, 2, 3))
+    return f"""
+        WITH {CRC}, d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, {words("text")} AS w FROM documents), m AS (SELECT {words("text")} AS w FROM benchmark),
+             df AS MATERIALIZED (SELECT i, f, count(*) AS n FROM ({runs("d", "i")}) GROUP BY 1, 2), mf AS MATERIALIZED (SELECT f, count(*) AS n FROM ({runs("m", "0")}) GROUP BY 1),
+             b AS MATERIALIZED (SELECT f, {_crc32("f")} % {buckets} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM mf), crc_table),
+             s AS (SELECT bucket, sum(n) AS n FROM df JOIN b USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n) AS n FROM mf JOIN b USING (f) GROUP BY 1),
+             a AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t_all),
+             g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (s_all + {buckets}) / ((s.n::DOUBLE + 1) * (t_all + {buckets}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+             x AS (SELECT i, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight FROM df JOIN b USING (f) JOIN g USING (bucket) GROUP BY 1),
+             h AS (SELECT doc_id, len(w) AS words, coalesce(x.n, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT::DOUBLE AS h FROM d LEFT JOIN x USING (i)),
+             k AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM h),
+             r AS (SELECT *, row_number() OVER (PARTITION BY words >= {least} ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= {least}) AS n FROM k)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= {least} AND place <= {percent} * n // 100 THEN place END AS rank FROM r"""
+
+
+def op12_suffix_dedup(width: int = 50) -> str:
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, hex(coalesce(text, '')) AS x FROM documents),
+             p AS (SELECT i, doc_id, unnest(range(0, len(x) // 2 - {width} + 1)) AS pos, unnest(list_transform(range(0, len(x) // 2 - {width} + 1), lambda a: substr(x, 2 * a + 1, {2 * width}))) AS s FROM d),
+             f AS (SELECT s, min(doc_id) AS first_id FROM p GROUP BY 1 HAVING count(*) > 1),
+             q AS (SELECT i, pos FROM p JOIN f USING (s) WHERE coalesce(doc_id > first_id, first_id IS NOT NULL)),
+             e AS (SELECT i, pos, coalesce(pos > lag(pos) OVER (PARTITION BY i ORDER BY pos) + {width}, true)::INTEGER AS fresh FROM q),
+             r AS (SELECT i, min(pos) AS lo, max(pos) + {width} AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY i ORDER BY pos) AS k FROM e) GROUP BY i, k),
+             g AS (SELECT i, list(lo ORDER BY lo) AS los, list(hi ORDER BY hi) AS his, sum(hi - lo)::BIGINT AS n_removed FROM r GROUP BY 1)
+        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN los IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(los) + 1), lambda k: substr(x, 2 * CASE WHEN k = 0 THEN 0 ELSE his[k] END + 1, 2 * (CASE WHEN k = len(los) THEN len(x) // 2 ELSE los[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE his[k] END))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN g USING (i)"""
+
+
+def op13_periodic_runs() -> str:
+    return f"""
+        WITH {CRC}, c AS (SELECT row_number() OVER () AS i, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("doc_id::VARCHAR")} END AS h FROM documents, crc_table),
+             a AS (SELECT *, len(w) AS n, h // 10 % greatest(1, len(w)) AS a, h // 10 % 8 AS k FROM c),
+             d AS MATERIALIZED (SELECT i, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda j: w[1 + CASE WHEN j < a THEN j ELSE a + (j - a) % (1 + (n - a) // (3 + k)) END]) ELSE w END AS w FROM a),
+             u AS MATERIALIZED (SELECT i, n, unnest(w) AS x, unnest(range(n)) AS p FROM d),
+             m AS MATERIALIZED (SELECT u.i, v.p - u.p AS q, u.p FROM u JOIN u v ON v.i = u.i AND v.x = u.x AND v.p > u.p AND v.p - u.p <= u.n // 4),
+             o AS (SELECT i, q FROM m GROUP BY 1, 2 HAVING count(*) >= greatest(6 - q, 3 * q)),
+             s AS MATERIALIZED (SELECT i, q, min(p) AS start, count(*) + q AS length FROM (SELECT m.*, p - row_number() OVER (PARTITION BY m.i, m.q ORDER BY p) AS k FROM m JOIN o ON o.i = m.i AND o.q = m.q) GROUP BY i, q, k HAVING count(*) >= greatest(6 - q, 3 * q)),
+             r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.i = s.i AND z.q < s.q AND z.start <= s.start AND z.start + z.length >= s.start + s.length)),
+             l AS (SELECT i, count(*) AS n_runs, first(struct_pack(start, length, q) ORDER BY length DESC, start, q) AS top, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM r GROUP BY 1),
+             y AS (SELECT i, string_agg(x, ' ' ORDER BY p) AS t FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.i = u.i AND u.p >= r.start + r.q AND u.p < r.start + r.length) GROUP BY 1)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.q AS period, 1000 * top.length // top.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM d LEFT JOIN l USING (i) LEFT JOIN y USING (i)"""

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixing, oracles, packing, quality, secrets, simhash, token_files, topk, url_reputation
-from .common import clean, fresh_path, table, written
+from . import exact_dedup, lang_id, mixing, oracles, packing, quality, runs, secrets, simhash, target_resampling, token_files, topk, url_reputation
+from .common import clean, fresh_path, owned, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,21 +64,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"), damaged=True)
+
+
 def _tidy(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """What a query wrote on its way goes, but for the tables that its result reads."""
 
     @functools.wraps(run)
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = written(spark)
-        out = run(spark, sf_dir)
-        clean(spark, out, since=before)
+        with owned() as paths:
+            out = run(spark, sf_dir)
+            clean(spark, paths, out)
         return out
 
     return call
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _tidy(f) for f in (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op10_simhash)} | {"op9_token_files": op9_token_files}  # op9 reads files that Spark doesn't list
+    tidied = (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op10_simhash, op11_target_resampling, op13_periodic_runs)
+    return {f.__name__: _tidy(f) for f in tidied} | {"op9_token_files": op9_token_files}  # op9 reads files that Spark doesn't list
 
 
 def oracle_sql() -> dict[str, str]:
@@ -92,6 +101,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
             FROM s QUALIFY rank <= 10""",
         "op3_secrets": oracles.op3_secrets(),
+        "op11_target_resampling": oracles.op11_target_resampling(),
+        "op13_periodic_runs": oracles.op13_periodic_runs(),
         "op6_url_reputation": oracles.op6_url_reputation(),
         "op8_exact_dedup": r"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
