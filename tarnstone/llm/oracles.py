@@ -106,7 +106,9 @@ def op11_target_resampling(buckets: int = 10_000, percent: int = 5, least: int =
 def op12_suffix_dedup(width: int = 50) -> str:
     return f"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, hex(coalesce(text, '')) AS x FROM documents),
-             p AS (SELECT i, doc_id, unnest(range(0, len(x) // 2 - {width} + 1)) AS pos, unnest(list_transform(range(0, len(x) // 2 - {width} + 1), lambda a: substr(x, 2 * a + 1, {2 * width}))) AS s FROM d),
+             h AS MATERIALIZED (SELECT i, doc_id, unnest(range(0, len(x) // 2 - {width} + 1)) AS pos, unnest(list_transform(range(0, len(x) // 2 - {width} + 1), lambda a: hash(substr(x, 2 * a + 1, {2 * width})))) AS k FROM d),
+             m AS (SELECT k FROM h GROUP BY 1 HAVING count(*) > 1),
+             p AS MATERIALIZED (SELECT i, h.doc_id, pos, substr(x, 2 * pos + 1, {2 * width}) AS s FROM h JOIN m USING (k) JOIN d USING (i)),
              f AS (SELECT s, min(doc_id) AS first_id FROM p GROUP BY 1 HAVING count(*) > 1),
              q AS (SELECT i, pos FROM p JOIN f USING (s) WHERE coalesce(doc_id > first_id, first_id IS NOT NULL)),
              e AS (SELECT i, pos, coalesce(pos > lag(pos) OVER (PARTITION BY i ORDER BY pos) + {width}, true)::INTEGER AS fresh FROM q),

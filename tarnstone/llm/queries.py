@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, mixing, oracles, packing, quality, runs, secrets, simhash, target_resampling, token_files, topk, url_reputation
+from . import exact_dedup, lang_id, mixing, oracles, packing, quality, runs, secrets, simhash, suffix_dedup, target_resampling, token_files, topk, url_reputation
 from .common import clean, fresh_path, owned, table
 
 
@@ -68,6 +68,10 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"), damaged=True)
 
@@ -86,7 +90,7 @@ def _tidy(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    tidied = (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op10_simhash, op11_target_resampling, op13_periodic_runs)
+    tidied = (op1_mixing, op2_quality, op3_secrets, op4_topk, op5_packing, op6_url_reputation, op7_lang_id, op8_exact_dedup, op10_simhash, op11_target_resampling, op12_suffix_dedup, op13_periodic_runs)
     return {f.__name__: _tidy(f) for f in tidied} | {"op9_token_files": op9_token_files}  # op9 reads files that Spark doesn't list
 
 
@@ -102,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
             FROM s QUALIFY rank <= 10""",
         "op3_secrets": oracles.op3_secrets(),
         "op11_target_resampling": oracles.op11_target_resampling(),
+        "op12_suffix_dedup": oracles.op12_suffix_dedup(),
         "op13_periodic_runs": oracles.op13_periodic_runs(),
         "op6_url_reputation": oracles.op6_url_reputation(),
         "op8_exact_dedup": r"""
