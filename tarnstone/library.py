@@ -1,7 +1,7 @@
 """One folder of tables and all that can be done with it: admit, ingest, search, label, evaluate, look back.
 
-Tables live below ``root`` as Parquet. Receipts, events and evaluation states are only ever appended; the labels
-and the heads of sources are small tables swapped as a whole; of an evaluation the latest state counts.
+Tables live below ``root`` as Parquet and change by compare-and-set. Receipts, events and evaluation states are only ever appended; labels
+and heads of sources are keyed tables, of which a change appends what it changes; of an evaluation the latest state counts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ ADMITTED = "id string, corpus_id string, batch_id string, fingerprint string, fi
 BATCHES = "id string, filename string, status string, entry_report array<struct<path:string,status:string,reason:string>>, created_at timestamp"
 RUNS = "id string, config string, gold_snapshot string, status string, metrics string, error string, at double"
 GOLD = "item_id string, question string, expected array<struct<chunk_id:string,source_id:string,content_sha256:string>>, split string, notes string, created_at timestamp"
+GOLD_COLUMNS = ("item_id", "question", "expected", "split", "notes", "created_at")
 CHECKS = "id string, status string, vector_id string, readback_distance double, at double"
 HEADS = "id string, corpus_id string, fingerprint string, plugin_name string, plugin_version string, status string, last_error struct<class:string,stage:string,message:string>, current_generation int"
 
@@ -53,8 +54,8 @@ class Library:
         new = judged.where("NOT duplicate").select(F.sha2(F.concat_ws(":", "corpus_id", "fingerprint"), 256).alias("id"), "corpus_id", "batch_id", "fingerprint", "filename", "media_type", "content", "byte_size", F.current_timestamp().alias("created_at"))
         refused = every.where("reason IS NOT NULL").select("batch_id", "filename", "reason")
         report = refused.unionByName(judged.where("duplicate").select("batch_id", "filename", F.lit("duplicate").alias("reason")))
-        stamp = f"{time.time():.6f}"
-        report.write.parquet(f"{self.root}/refusals/{stamp}")
+        told = materialise(report, "refused")
+        sinks.append(told.withColumn("created_at", F.current_timestamp()), f"{self.root}/refusals")
         listed = refused.select("batch_id", "filename", F.lit("skipped").alias("status"), "reason").unionByName(judged.select("batch_id", "filename", F.when(F.col("duplicate"), "skipped").otherwise("admitted").alias("status"), F.when(F.col("duplicate"), "duplicate").alias("reason"))).where("batch_id IS NOT NULL")
         entry = F.struct(F.col("filename").alias("path"), "status", "reason")
         grouped = listed.groupBy("batch_id").agg(F.sort_array(F.collect_list(entry)).alias("entry_report"))  # as many entries as a batch may have
@@ -64,7 +65,7 @@ class Library:
         sinks.insert_ignore(batches, f"{self.root}/batches")
         sinks.insert_ignore(new, f"{self.root}/admitted")
         delete(self.spark, every.inputFiles()[0].rpartition("/")[0])
-        return self.spark.read.schema("batch_id string, filename string, reason string").parquet(f"{self.root}/refusals/{stamp}")
+        return told
 
     def ingest(self, again: DataFrame | None = None) -> dict[str, int]:
         """Parse, chunk and embed what isn't ingested yet, or ``again`` (source_id, target_generation)."""
@@ -123,18 +124,23 @@ class Library:
         kind = dict(results.dtypes)["query_id"]
         asked = self.spark.createDataFrame(list(checked.items()), f"query_id {kind}, query string").withColumn("query_id", F.col("query_id").cast("string"))
         stored = sinks.receipts(results.withColumn("query_id", F.col("query_id").cast("string")), asked, config.to_json(), origin, self.stamp, took).withColumn("id", F.sha2(F.concat_ws("|", "id", F.lit(repr(time.time()))), 256)).withColumn("created_at", F.current_timestamp())
-        path = f"{self.root}/retrieval_runs/{time.time():.6f}"
-        stored.write.parquet(path)
+        back = materialise(stored, "receipts")
+        sinks.append(back, f"{self.root}/retrieval_runs")
         delete(self.spark, results.inputFiles()[0].rpartition("/")[0])
-        back = self.spark.read.schema(stored.schema).parquet(path)
         return back.select("query_id", F.col("id").alias("run_id"), F.explode("results").alias("r")).select("query_id", "run_id", "r.*")
 
+    def _receipts(self) -> DataFrame:
+        found = sinks.read(self.spark, f"{self.root}/retrieval_runs")
+        if found is None:
+            raise EngineError("not_found", "nothing has been searched yet")
+        return found
+
     def runs(self, limit: int | None = None, offset: int | None = None) -> DataFrame:
-        return reads.page(self.spark.read.parquet(f"{self.root}/retrieval_runs/*").drop("results"), limit, offset)
+        return reads.page(self._receipts().drop("results"), limit, offset)
 
     def receipt(self, id_: str) -> DataFrame:
         """A run's lines, each with whether its passage has been superseded since."""
-        lines = sinks.receipt_lines(self.spark.read.parquet(f"{self.root}/retrieval_runs/*").where(F.col("id") == id_))
+        lines = sinks.receipt_lines(self._receipts().where(F.col("id") == id_))
         return gold.superseded(lines, self.chunks()).orderBy("rank")
 
     # --- labels and evaluation
@@ -145,19 +151,23 @@ class Library:
 
     def add_gold(self, questions: Sequence[tuple[str, str, Sequence[str]]], notes: str = "") -> None:
         """(item_id, question, chunk ids); every fourth of all becomes held out."""
-        held = self.table("gold_items", GOLD)
-        before = held.count()
-        rows = [(i, q, list(c), "heldout" if (before + n) % 4 == 0 else "tuning", notes) for n, (i, q, c) in enumerate(questions, 1)]
-        new = gold.resolve_expected(self.spark.createDataFrame(rows, "item_id string, question string, chunk_ids array<string>, split string, notes string"), self.chunks())
-        sinks.swap_pointer(held.unionByName(new.withColumn("created_at", F.current_timestamp()).select(*held.columns)), f"{self.root}/gold_items")
+        asked = [(n, i, q, list(c), notes) for n, (i, q, c) in enumerate(questions, 1)]
+        new = gold.resolve_expected(self.spark.createDataFrame(asked, "nth int, item_id string, question string, chunk_ids array<string>, notes string"), self.chunks())
+
+        def add(held: DataFrame | None) -> DataFrame:
+            before = 0 if held is None else held.count()  # of the state that this is committed against
+            split = F.when((F.col("nth") + before) % 4 == 0, "heldout").otherwise("tuning")
+            return new.withColumns({"split": split, "created_at": F.current_timestamp()}).select(*GOLD_COLUMNS)
+
+        sinks.upsert(self.spark, f"{self.root}/gold_items", "item_id", add, GOLD)
 
     def relabel_gold(self, item_id: str, chunk_ids: Sequence[str]) -> None:
         change = gold.resolve_expected(self.spark.createDataFrame([(item_id, list(chunk_ids))], "item_id string, chunk_ids array<string>"), self.chunks())
-        sinks.swap_pointer(gold.relabel(self.table("gold_items", GOLD), change), f"{self.root}/gold_items")
+        sinks.upsert(self.spark, f"{self.root}/gold_items", "item_id", lambda held: None if held is None else gold.relabel(held.join(change.select("item_id"), "item_id", "left_semi"), change), GOLD)
 
     def _state(self, **row) -> None:
         at = self.spark.createDataFrame([{"id": None, "config": None, "gold_snapshot": None, "status": None, "metrics": None, "error": None, "at": time.time()} | row], RUNS)
-        at.write.mode("append").parquet(f"{self.root}/eval_runs")
+        sinks.append(at, f"{self.root}/eval_runs")
 
     def evals(self, limit: int = 200) -> DataFrame:
         """The latest state of each run, newest first."""
@@ -226,7 +236,7 @@ class Library:
         finally:
             sinks.append_seam_events(self.spark.createDataFrame(seams, "run_id string, seam string, ok boolean, detail string").coalesce(1), f"{self.root}/check_events")
             run = self.spark.createDataFrame([(id_, "succeeded" if out["ok"] else "failed", out["vector_id"], out["readback_distance"], time.time())], CHECKS)
-            run.write.mode("append").parquet(f"{self.root}/check_runs")
+            sinks.append(run, f"{self.root}/check_runs")
         return out
 
     def checks(self, limit: int = 50) -> DataFrame:
@@ -237,6 +247,6 @@ class Library:
         row = self.table("check_runs", CHECKS).where(F.col("id") == id_).first()
         if row is None:
             raise EngineError("not_found", f"no check {id_}")
-        events = self.spark.read.parquet(f"{self.root}/check_events").where(F.col("run_id") == id_).orderBy("created_at", "id").collect()
+        events = sinks.read(self.spark, f"{self.root}/check_events").where(F.col("run_id") == id_).orderBy("id").collect()
         vector = sinks.read(self.spark, f"{self.root}/vectors").where(F.col("id") == row["vector_id"]).first() if row["vector_id"] else None
         return row.asDict() | {"events": [(e["seam"], e["ok"], e["detail"]) for e in events], "vector": vector and vector.asDict(True)}

@@ -44,5 +44,5 @@ def reclaim_stale(jobs: DataFrame, as_of: Column, seconds: int = VISIBILITY_SECO
 
 def route(jobs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Adds the handler of each job; an unknown kind fails."""
-    known = F.col("kind").isin(*kinds)
-    return jobs.withColumn("handler", F.when(known, F.col("kind"))).withColumn("last_error", F.when(~known, F.concat(F.lit("unknown job kind: "), F.col("kind"))))
+    known = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    return jobs.withColumn("handler", F.when(known, F.col("kind"))).withColumn("last_error", F.when(~known, F.concat(F.lit("unknown job kind: "), F.coalesce("kind", F.lit("none")))))

@@ -14,7 +14,8 @@ from ..operators import fts, generations, gold, reads, validate
 from ..operators.chunking import chunk_column
 from ..operators.parsers import SHIPPED, Plugin, parse_column
 from ..shared import materialise
-from ..sources.sinks import commit, folders, insert_ignore, read, read_or_empty, swap_pointer, sweep, write_aside
+from ..sources import sinks
+from ..sources.sinks import insert_ignore, read, read_or_empty, sweep, write_aside
 
 
 def parsed(files: DataFrame, plugins: Sequence[Plugin] = SHIPPED) -> DataFrame:
@@ -91,20 +92,33 @@ def ingest(files: DataFrame, store: str, params: ChunkingParams = ChunkingParams
     typed = fresh.limit(0).withColumn("embedding", F.array().cast("array<float>")).withColumn("stamp", F.struct(*(F.lit(v).alias(k) for k, v in stamp.items())))
     none = spark.createDataFrame([], typed.schema)
     counts |= insert_ignore(fresh, f"{store}/chunks", "id", lambda new: embed(new, none, stamp, embedder))
-    old = read(spark, f"{store}/postings")
-    new = fresh if old is None else fresh.join(old.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
-    seen, listed = folders(spark, f"{store}/postings")
-    commit(spark, f"{store}/postings", seen, [*listed, write_aside(postings(materialise(new, "to-post"), language), f"{store}/postings", "part")])
-    events(p).write.mode("append").parquet(f"{store}/ingestion_events")
+    fresh_ids = fresh.select("id", "content", "source_id", "generation")
+
+    def post(seen: sinks.State):
+        old = sinks.read_state(spark, f"{store}/postings", seen)
+        new = fresh_ids if old is None else fresh_ids.join(old.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
+        name = write_aside(postings(materialise(new, "to-post"), language), f"{store}/postings", "part")
+        return [*seen.folders, name], [name]
+
+    sinks.attempt(spark, f"{store}/postings", post)
+    sinks.compact(spark, f"{store}/postings", "part")
+    sinks.append(events(p), f"{store}/ingestion_events")
     heads = p.select(F.col("source_id").alias("id"), "corpus_id", "fingerprint", "plugin_name", "plugin_version", "status", F.col("failure").alias("last_error"))
-    known = read_or_empty(spark, f"{store}/sources", heads.withColumn("current_generation", F.lit(None).cast("int")))
-    now = heads.join(known.select("id", "current_generation"), "id", "left")
     ready = p.where("status <> 'failed'").select("source_id", "generation", F.size("document.sections").alias("sections"))
-    after = materialise(known.join(heads, "id", "left_anti").unionByName(generations.flip(now, ready)), "heads")
-    swap_pointer(after, f"{store}/sources")
+
+    def point(known: DataFrame | None) -> DataFrame:
+        """Only this run's heads are appended, whatever others have committed since it began."""
+        at = heads.withColumn("current_generation", F.lit(None).cast("int")) if known is None else heads.join(known.select("id", "current_generation"), "id", "left")
+        return generations.flip(at, ready).select(*heads.columns, "current_generation")
+
+    sinks.upsert(spark, f"{store}/sources", "id", point)
+    after = materialise(read(spark, f"{store}/sources"), "heads")
     older = F.col("generation") < F.col("current_generation")
     for name, by in (("document_sections", ()), ("chunks", ()), ("postings", ("part",))):
         counts[f"swept_{name}"] = sweep(f"{store}/{name}", older, spark, after, *by)
-    stamps = gold.current(read_or_empty(spark, f"{store}/chunks", typed), after).where("stamp IS NOT NULL").select("stamp").distinct()
-    swap_pointer(stamps, f"{store}/stamps")
+    def stamps(_: DataFrame | None) -> DataFrame:
+        held = gold.current(read_or_empty(spark, f"{store}/chunks", typed), read(spark, f"{store}/sources"))
+        return held.where("stamp IS NOT NULL").select("stamp").distinct()
+
+    sinks.update(spark, f"{store}/stamps", stamps)
     return counts

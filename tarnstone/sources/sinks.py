@@ -1,13 +1,21 @@
-"""Sinks: idempotent inserts, append-only events, receipts, and the pointer that makes a state of a table visible.
+"""Sinks: tables as states listed by numbered pointers, changed by compare-and-set.
 
 A table that changes is a folder of Parquet folders beside numbered pointer files. A pointer lists the folders that make
-the table up; the last whole one counts. What is written becomes visible when its pointer is created, which happens
-once or not at all, so readers see the state before or the one after, on any file system.
+the table up, in order, and notes about it; the one with the highest number counts. What is written aside becomes visible when the next
+pointer is created, which one writer alone can do: by a hard link on a local disk, elsewhere by a rename that refuses an
+existing name (atomic on HDFS; an object store needs a file system client that makes it so). So a change carries
+the number of the state it read to its commit, and where another one came first it is applied again to the newest state: nothing is lost.
+
+Keyed tables are logs: a change appends the rows that it changed, a reader takes the last one of each key, and rows that
+don't change aren't written again until their folder is merged. Small folders are merged from the end of the list, a folder when those
+behind it have outgrown half of it, so that a table of any number of changes has a number of folders that grows with the logarithm of its size.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +28,26 @@ POINTERS = "_pointers"
 END = "end"
 #: Folders are partitions by this column for Spark, which readers don't see.
 IN = "_in"
+#: States that readers and slower writers may still be at; the folders of older ones go.
+KEPT = 8
+#: Folders of a table from which on small ones are merged.
+MOST_FOLDERS = 24
+#: How often a change is applied to a newer state before it is given up.
+TRIES = 50
+#: A note's line in a pointer.
+NOTE = "#"
+
+
+class Conflict(EngineError):
+    """Another change was committed first."""
+
+
+class State(NamedTuple):
+    """A state of a table: its pointer's number (-1: none), its folders in order, its notes."""
+
+    number: int
+    folders: list[str]
+    notes: dict[str, str]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,23 +60,32 @@ def _pointers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()) if fs.exists(where) else []
 
 
-def _listed(spark: SparkSession, path: str, number: int) -> list[str] | None:
-    """The folders that a pointer lists; None while it isn't whole."""
+def _listed(spark: SparkSession, path: str, number: int) -> State | None:
+    """What a pointer says; None if it isn't whole or has gone meanwhile."""
     fs, where = _fs(spark, f"{path}/{POINTERS}/{number:012d}")
+    if not fs.exists(where):
+        return None
     stream = fs.open(where)
     try:
         lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
     finally:
         stream.close()
-    return lines[:-1] if lines[-1] == END else None
+    if lines[-1] != END:
+        return None
+    notes = dict(x[len(NOTE) :].split("=", 1) for x in lines if x.startswith(NOTE))
+    return State(number, [x for x in lines[:-1] if not x.startswith(NOTE)], notes)
 
 
-def folders(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    """The number of the pointer that counts (-1 without one) and the folders that it lists."""
+def state(spark: SparkSession, path: str) -> State:
+    """The state that counts."""
     for number in reversed(_pointers(spark, path)):
-        if (listed := _listed(spark, path, number)) is not None:
-            return number, listed
-    return -1, []
+        if (found := _listed(spark, path, number)) is not None:
+            return found
+    return State(-1, [], {})
+
+
+def folders(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    return state(spark, path)[:2]
 
 
 def write_aside(rows: DataFrame, path: str, *by: str) -> str:
@@ -58,32 +95,74 @@ def write_aside(rows: DataFrame, path: str, *by: str) -> str:
     return name
 
 
-def commit(spark: SparkSession, path: str, seen: int, listed: list[str]) -> None:
-    """Make ``listed`` the table, if pointer ``seen`` still counts; folders that neither this state nor the one before lists go."""
-    number, before = folders(spark, path)
-    fs, where = _fs(spark, f"{path}/{POINTERS}/{max([-1, *_pointers(spark, path)]) + 1:012d}")
-    if number != seen or fs.exists(where):
-        raise EngineError("unavailable", f"{path} was changed meanwhile", "store")
-    out = fs.create(where, False)
-    out.write(bytearray("\n".join([*listed, END]).encode()))
+def _create(spark: SparkSession, path: str, number: int, content: str) -> bool:
+    """Create a pointer with its whole content, unless there is one of that number."""
+    fs, where = _fs(spark, f"{path}/{POINTERS}/{number:012d}")
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTERS}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(content.encode()))
     out.close()
-    older = [n for n in _pointers(spark, path) if n < number]
-    gone = {x for n in older[-1:] for x in _listed(spark, path, n) or []} - set(before) - set(listed)
-    delete(spark, *(f"{path}/{x}" for x in gone))
+    local = fs.getUri().getScheme() == "file"
+    try:
+        if local:
+            at = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(at(where), at(aside))
+        else:
+            kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(fs.makeQualified(aside), fs.makeQualified(where), spark.sparkContext._gateway.new_array(kinds, 0))
+    except Exception:
+        if not fs.exists(where):
+            raise
+        return False
+    finally:
+        fs.delete(aside, False)
+    return True
 
 
-def _read(spark: SparkSession, path: str, listed: list[str], schema=None) -> DataFrame:
+def commit(spark: SparkSession, path: str, seen: int, listed: list[str], notes: dict[str, str] | None = None) -> int:
+    """Make ``listed`` the table if state ``seen`` still counts, else raise :class:`Conflict`; the new state's number.
+
+    What only states older than the last KEPT list is deleted.
+    """
+    numbers = _pointers(spark, path)
+    now = state(spark, path)
+    content = "\n".join([*listed, *(f"{NOTE}{k}={v}" for k, v in (now.notes if notes is None else notes).items()), END])
+    number = max([seen, *numbers]) + 1
+    if now.number != seen or not _create(spark, path, number, content):
+        raise Conflict("unavailable", f"{path} was changed meanwhile", "store")
+    old, kept = numbers[: -KEPT + 1], numbers[-KEPT + 1 :]
+    if old:
+        held = {x for n in kept if (s := _listed(spark, path, n)) for x in s.folders} | set(listed)
+        gone = {x for n in old if (s := _listed(spark, path, n)) for x in s.folders} - held
+        delete(spark, *(f"{path}/{x}" for x in gone), *(f"{path}/{POINTERS}/{n:012d}" for n in old))
+    return number
+
+
+def read_state(spark: SparkSession, path: str, at: State, schema=None) -> DataFrame | None:
+    """The table at a state; of a keyed one, the last row of each key. None if there is none."""
+    if not at.folders:
+        return None
     reader = spark.read.option("basePath", path)
-    return (reader if schema is None else reader.schema(schema)).parquet(*(f"{path}/{x}" for x in listed)).drop(IN)
+    if schema is not None:
+        typed = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        reader = reader.schema(f"{typed}, {IN} string")
+    rows = reader.parquet(*(f"{path}/{x}" for x in at.folders))
+    if not at.notes.get("key") or len(at.folders) == 1:
+        return rows.drop(IN)
+    nth = F.create_map(*(F.lit(x) for i, name in enumerate(at.folders) for x in (name.partition("=")[2], i)))
+    columns = [c for c in rows.columns if c != IN]
+    last = rows.groupBy(at.notes["key"]).agg(F.max_by(F.struct(*columns), nth[F.col(IN)]).alias("row"))
+    return last.select("row.*")
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table as it is; None if there is none."""
-    number, listed = folders(spark, path)
-    if number >= 0 and listed:
-        return _read(spark, path, listed, schema)
+    at = state(spark, path)
+    if at.folders:
+        return read_state(spark, path, at, schema)
     fs, where = _fs(spark, path)
-    if number >= 0 or not fs.exists(where) or fs.exists(_fs(spark, f"{path}/{POINTERS}")[1]):
+    if at.number >= 0 or not fs.exists(where) or fs.exists(_fs(spark, f"{path}/{POINTERS}")[1]):
         return None
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)  # a plain folder, only ever appended to
 
@@ -93,42 +172,176 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.createDataFrame([], like.schema) if found is None else found
 
 
+# --- changes ------------------------------------------------------------------------------------
+
+
+def attempt(spark: SparkSession, path: str, change: Callable[[State], tuple[list[str], list[str]] | None], notes: Callable[[dict], dict] = dict, conflict: Callable[[], None] | None = None) -> State:
+    """Compare-and-set, as often as needed: ``change`` is given the newest state and returns the folders of the next one and which of
+    them it wrote, or None for no change. The state that counts then.
+
+    A change that fails because its state's folders went meanwhile is made again, too.
+    """
+    for _ in range(TRIES):
+        seen = state(spark, path)
+        try:
+            made = change(seen)
+        except Exception:
+            if state(spark, path).number == seen.number:
+                raise
+            continue
+        if made is None:
+            return seen
+        try:
+            return State(commit(spark, path, seen.number, made[0], notes(seen.notes)), made[0], notes(seen.notes))
+        except Conflict:
+            delete(spark, *(f"{path}/{x}" for x in made[1]))
+            if conflict:
+                conflict()
+    raise Conflict("unavailable", f"{path} is changed all the time", "store")
+
+
+def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame | None], schema=None) -> State:
+    """Replace a table by what ``change`` makes of its newest state; None leaves it."""
+
+    def once(seen: State):
+        rows = change(read_state(spark, path, seen, schema))
+        if rows is None:
+            return None
+        name = write_aside(rows, path)
+        return [name], [name]
+
+    return attempt(spark, path, once)
+
+
+def upsert(spark: SparkSession, path: str, key: str, change: Callable[[DataFrame | None], DataFrame | None], schema=None) -> DataFrame | None:
+    """Append to a keyed table the rows that ``change`` makes of its newest state; what was appended, None if nothing was.
+
+    Rows are whole rows of the table, one for each key that is new or changed.
+    """
+    wrote: list[str] = []
+
+    def once(seen: State):
+        wrote.clear()
+        rows = change(read_state(spark, path, seen, schema))
+        if rows is None:
+            return None
+        name = write_aside(rows, path)
+        wrote.append(name)
+        if _count(spark, path, name):
+            return [*seen.folders, name], [name]
+        delete(spark, f"{path}/{name}")
+        wrote.clear()
+        return None
+
+    attempt(spark, path, once, lambda notes: notes | {"key": key})
+    out = spark.read.schema(schema).parquet(f"{path}/{wrote[0]}") if wrote and schema is not None else spark.read.parquet(f"{path}/{wrote[0]}") if wrote else None
+    if wrote:
+        out = materialise(out, "changed")  # compaction may delete its folder
+        compact(spark, path)
+    return out
+
+
+def _count(spark: SparkSession, path: str, name: str) -> int:
+    return spark.read.parquet(f"{path}/{name}").count()
+
+
+def append(rows: DataFrame, path: str, *by: str, once: tuple[str, int] | None = None, numbered: str | None = None) -> int:
+    """Append rows; the number of the state that has them.
+
+    ``once``: (stream, batch): a batch that the table's notes say is there already isn't appended again. ``numbered`` is a column that gets
+    ids which grow from commit to commit and never repeat; such rows are few, as they are written by one task.
+    """
+    spark, name = rows.sparkSession, []
+    stamp = "" if once is None else f"batch:{once[0]}"
+
+    def change(seen: State):
+        if once is not None and int(seen.notes.get(stamp, -1)) >= once[1]:
+            return None
+        if numbered is not None or not name:
+            number = max([seen.number, *_pointers(spark, path)]) + 1
+            made = rows if numbered is None else rows.coalesce(1).withColumn(numbered, F.monotonically_increasing_id() + F.lit(number * (1 << 32)))
+            name[:] = [write_aside(made, path, *by)]
+        return [*seen.folders, *name], name if numbered is not None else []
+
+    noted = (lambda notes: notes) if once is None else lambda notes: notes | {stamp: str(once[1])}
+    number = attempt(spark, path, change, noted).number
+    compact(spark, path, *by)
+    return number
+
+
 def split_new(rows: DataFrame, existing: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Rows to insert (one per key) and rows that are no-ops as their key exists."""
     once = rows.dropDuplicates([key])
     return once.join(existing.select(key), key, "left_anti"), once.join(existing.select(key), key, "left_semi")
 
 
-def insert_ignore(rows: DataFrame, path: str, key: str = "id", finish=None, *by: str) -> dict[str, int]:
+def insert_ignore(rows: DataFrame, path: str, key: str = "id", finish=None, *by: str, keyed: bool = False) -> dict[str, int]:
     """Append what isn't there yet; how many were inserted and how many were not.
 
     ``rows`` are made once: they are written aside, and all that follows reads that. ``finish`` turns the new ones into
-    the table's rows. If another insert commits meanwhile, the new rows are told apart again.
+    the table's rows. If another change is committed meanwhile, the new rows are told apart again. ``keyed``: the table is a keyed one.
     """
     spark = rows.sparkSession
     once = materialise(rows.dropDuplicates([key]), "insert")
-    total = once.count()
-    while True:
-        seen, listed = folders(spark, path)
-        existing = read(spark, path)
+    total, counts = once.count(), {}
+
+    def change(seen: State):
+        existing = read_state(spark, path, seen)
         new = once if existing is None else once.join(existing.select(key), key, "left_anti").select(*once.columns)
         name = write_aside(new if finish is None else finish(new), path, *by)
-        inserted = spark.read.parquet(f"{path}/{name}").count()
-        try:
-            commit(spark, path, seen, [*listed, name] if inserted else listed or [name])
-            break
-        except EngineError:
-            delete(spark, f"{path}/{name}")
-    if not inserted and listed:
+        counts["inserted"] = _count(spark, path, name)
+        if counts["inserted"] or not seen.folders:
+            return [*seen.folders, name], [name]
         delete(spark, f"{path}/{name}")
+        return None
+
+    attempt(spark, path, change, lambda notes: notes | {"key": key} if keyed else notes)
     delete(spark, *{f.rpartition("/")[0] for f in once.inputFiles()})
-    return {"inserted": inserted, "conflict_noops": total - inserted}
+    compact(spark, path, *by)
+    return {"inserted": counts["inserted"], "conflict_noops": total - counts["inserted"]}
+
 
+def swap_pointer(table: DataFrame, path: str, seen: int | None = None) -> None:
+    """Replace a table as a whole, if state ``seen`` (the one before ``table`` was computed) still counts. Without it, whatever is there is replaced."""
+    spark = table.sparkSession
+    name = write_aside(table, path)
+    if seen is None:
+        attempt(spark, path, lambda _: ([name], []))
+    else:
+        commit(spark, path, seen, [name])
 
-def swap_pointer(table: DataFrame, path: str) -> None:
-    """Replace a table as a whole."""
-    seen, _ = folders(table.sparkSession, path)
-    commit(table.sparkSession, path, seen, [write_aside(table, path)])
+
+def _mergeable(sizes: list[int]) -> int:
+    """From which folder on a table's folders are merged: each before has over twice the bytes of all behind it."""
+    i = len(sizes) - 1
+    while i > 0 and sizes[i - 1] <= 2 * sum(sizes[i:]):
+        i -= 1
+    return i
+
+
+def compact(spark: SparkSession, path: str, *by: str, most: int = MOST_FOLDERS) -> bool:
+    """Merge the small folders at the end of a table with over ``most`` folders; whether that was done.
+
+    If another change comes first, the next one gets to merge. Rows are the same before and after; a keyed table's replaced rows go.
+    """
+    seen = state(spark, path)
+    if len(seen.folders) <= most:
+        return False
+    sizes = []
+    for x in seen.folders:
+        fs, where = _fs(spark, f"{path}/{x}")
+        sizes.append(fs.getContentSummary(where).getLength())
+    i = _mergeable(sizes)
+    if i == len(sizes) - 1:
+        return False
+    rows = read_state(spark, path, seen._replace(folders=seen.folders[i:]))
+    name = write_aside(rows.repartition(*by) if by else rows.coalesce(max(1, sum(sizes[i:]) >> 27)), path, *by)
+    try:
+        commit(spark, path, seen.number, [*seen.folders[:i], name])
+    except Conflict:
+        delete(spark, f"{path}/{name}")
+        return False
+    return True
 
 
 def sweep(path: str, old: Column, spark: SparkSession, sources: DataFrame, *by: str) -> int:
@@ -136,20 +349,27 @@ def sweep(path: str, old: Column, spark: SparkSession, sources: DataFrame, *by:
 
     Only the folders that hold such rows are written anew; how many rows went.
     """
-    seen, listed = folders(spark, path)
-    table = read(spark, path)
-    if table is None or not listed:
-        return 0
     at = sources.select(F.col("id").alias("source_id"), "current_generation").where("current_generation > 1")
     folder = F.regexp_extract(F.input_file_name(), f"/({IN}=[0-9a-f]{{32}})/", 1)
-    found = table.select("source_id", "generation", folder.alias("folder")).join(at, "source_id").where(old).groupBy("folder").agg(F.count("*").alias("n")).collect()  # a row per folder
-    if not found:
-        return 0
-    hit = {r["folder"] for r in found}
-    rows = _read(spark, path, [x for x in listed if x in hit], table.schema)
-    kept = rows.join(at, "source_id", "left").where(~F.coalesce(old, F.lit(False))).select(*table.columns)
-    commit(spark, path, seen, [*(x for x in listed if x not in hit), write_aside(kept, path, *by)])
-    return sum(r["n"] for r in found)
+    went = 0
+
+    def change(seen: State):
+        nonlocal went
+        went, table = 0, read_state(spark, path, seen)
+        if table is None:
+            return None
+        found = table.select("source_id", "generation", folder.alias("folder")).join(at, "source_id").where(old).groupBy("folder").agg(F.count("*").alias("n")).collect()  # a row per folder
+        if not found:
+            return None
+        hit = {r["folder"] for r in found}
+        rows = read_state(spark, path, seen._replace(folders=[x for x in seen.folders if x in hit]), table.schema)
+        kept = rows.join(at, "source_id", "left").where(~F.coalesce(old, F.lit(False))).select(*table.columns)
+        name = write_aside(kept, path, *by)
+        went = sum(r["n"] for r in found)
+        return [*(x for x in seen.folders if x not in hit), name], [name]
+
+    attempt(spark, path, change)
+    return went
 
 
 def event_ok(ok: Column, event: Column) -> Column:
@@ -157,12 +377,12 @@ def event_ok(ok: Column, event: Column) -> Column:
 
 
 def append_seam_events(events: DataFrame, path: str) -> None:
-    """Append what happened at the seams of a check run: run_id, seam, ok, detail; ids and instants are given here."""
-    events.select(F.monotonically_increasing_id().alias("id"), "run_id", "seam", "ok", "detail", F.current_timestamp().alias("created_at")).write.mode("append").parquet(path)
+    """Append what happened at the seams of a check run: run_id, seam, ok, detail; growing ids and instants are given here."""
+    append(events.select(F.lit(None).cast("long").alias("id"), "run_id", "seam", "ok", "detail", F.current_timestamp().alias("created_at")), path, numbered="id")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.withColumn("ok", event_ok(F.col("ok"), F.col("event"))).write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, once: tuple[str, int] | None = None) -> None:
+    append(events.withColumn("ok", event_ok(F.col("ok"), F.col("event"))), path, once=once)
 
 
 def receipts(results: DataFrame, queries: DataFrame, config: str, origin: str, stamp: dict | None = None, timings: dict[str, float] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Structured Streaming forms: the job queue with its retries, deduplicated ingest, windows over event time.
 
-Jobs are a table of states. What arrives is inserted by id, so a replayed micro-batch changes nothing. Each poll puts stale
-claims back, claims the oldest jobs that are due, has the claim on record before any handler runs, and records what became
-of them: a failure waits twice as long each time and is final after as many attempts as the job has.
+Jobs are a keyed table of states (:mod:`tarnstone.sources.sinks`): a claim or an outcome appends the rows that it changes. What
+arrives is inserted by id, so a replayed micro-batch changes nothing. Each poll puts stale claims back, claims the oldest
+jobs that are due, has the claim on record before any handler runs, and records what became of them: a failure waits twice as long each
+time and is final after as many attempts as the job has. A claim is committed only against the state it was made from, so two
+workers never hold one job; an outcome counts only while its claim does, so a worker that was given up changes nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from ..sources import sinks
 
 #: Jobs claimed in one poll.
 CLAIMS = 100
+COLUMNS = [c.split()[0] for c in TABLES["jobs"].split(", ")]
 #: A handler takes the claimed jobs of its kind; it raises if all of them failed, or returns (id, error) of those that did.
 Handler = Callable[[DataFrame], DataFrame | None]
 
@@ -34,37 +37,65 @@ def enqueue(jobs: DataFrame, path: str, max_attempts: int = J.MAX_ATTEMPTS, as_o
     at = F.lit(as_of or now()).cast("timestamp")
     none = {c: F.lit(None).cast(k) for c, k in (("claimed_by", "string"), ("claimed_at", "timestamp"), ("last_error", "string"))}
     fresh = jobs.select("id", "kind", "payload").withColumns({"status": F.lit("queued"), "attempts": F.lit(0), "max_attempts": F.lit(max_attempts), "run_at": at, **none, "created_at": at})
-    return sinks.insert_ignore(fresh.select(*(c.split()[0] for c in TABLES["jobs"].split(", "))), path)
+    return sinks.insert_ignore(fresh.select(*COLUMNS), path, keyed=True)
+
+
+def claim(spark: SparkSession, path: str, worker: str, as_of: datetime.datetime | None = None, limit: int = 1) -> DataFrame | None:
+    """The oldest ``limit`` jobs that are due, now claimed by ``worker`` and by nobody else; None if there are none.
+
+    Claims that are older than the visibility timeout are put back first.
+    """
+    at = F.lit(as_of or now()).cast("timestamp")
+
+    def change(table: DataFrame | None) -> DataFrame | None:
+        if table is None:
+            return None
+        stale = J.reclaim_stale(table.where("status = 'claimed'"), at).where("status = 'queued'")
+        queue = table.where("status = 'queued'").unionByName(stale)
+        due = materialise(J.claimable(queue, at, limit), "due")  # ``limit`` rows
+        ids = F.broadcast(due.select("id"))
+        return J.claim(due, worker, at).unionByName(stale.join(ids, "id", "left_anti")).select(*COLUMNS)
+
+    changed = sinks.upsert(spark, path, "id", change, TABLES["jobs"])
+    if changed is None:
+        return None
+    mine = changed.where("status = 'claimed'")
+    return None if mine.isEmpty() else mine
+
+
+def settle(spark: SparkSession, path: str, claimed: DataFrame, failed: DataFrame, as_of: datetime.datetime | None = None) -> int:
+    """Record what became of ``claimed`` jobs: ``failed`` (id, error) of them did, the others succeeded. How many claims still counted."""
+    at = F.lit(as_of or now()).cast("timestamp")
+    bad = failed.groupBy("id").agg(F.first("error").alias("error"))
+    said = materialise(claimed.select("id", "attempts", "claimed_by").join(bad, "id", "left").withColumn("bad", F.col("error").isNotNull()), "settled")
+
+    def change(table: DataFrame | None) -> DataFrame | None:
+        if table is None:
+            return None
+        held = table.where("status = 'claimed'").join(F.broadcast(said), ["id", "attempts", "claimed_by"])
+        return J.complete(held.where("NOT bad")).unionByName(J.fail(held.where("bad"), F.col("error"), at)).select(*COLUMNS)
+
+    changed = sinks.upsert(spark, path, "id", change, TABLES["jobs"])
+    return 0 if changed is None else changed.count()
 
 
 def work(spark: SparkSession, path: str, handlers: dict[str, Handler], worker: str = "worker", as_of: datetime.datetime | None = None, limit: int = CLAIMS) -> int:
     """One poll at an instant; how many jobs were claimed."""
-    table, at = sinks.read(spark, path, TABLES["jobs"]), F.lit(as_of or now()).cast("timestamp")
-    if table is None:
-        return 0
-    queue = J.reclaim_stale(table, at)
-    due = F.broadcast(materialise(J.claimable(queue, at, limit).select("id"), "due"))  # ``limit`` ids at most
-    count = due.count()
-    if not count:
+    claimed = claim(spark, path, worker, as_of, limit)
+    if claimed is None:
         return 0
-    sinks.swap_pointer(queue.join(due, "id", "left_anti").unionByName(J.claim(queue.join(due, "id", "left_semi"), worker, at)), path)
-    table = sinks.read(spark, path, TABLES["jobs"])
-    mine = J.route(table.join(due, "id", "left_semi"), tuple(handlers)).withColumnRenamed("last_error", "error")
+    mine = J.route(claimed, tuple(handlers)).withColumnRenamed("last_error", "error")
     failed = mine.where("handler IS NULL").select("id", "error")
     for kind, handle in handlers.items():
         part = mine.where(F.col("handler") == kind).drop("error", "handler")
         if not part.isEmpty():
             try:
                 said = handle(part)
-                failed = failed if said is None else failed.unionByName(said.select("id", F.col("error").cast("string")))
+                failed = failed if said is None else failed.unionByName(said.select("id", F.coalesce(F.col("error").cast("string"), F.lit("failed")).alias("error")))
             except Exception as e:
                 failed = failed.unionByName(part.select("id", F.lit(str(e)[:500]).alias("error")))
-    bad = materialise(failed.groupBy("id").agg(F.first("error").alias("error")), "failed")
-    claimed = table.join(due, "id", "left_semi")
-    good = J.complete(claimed.join(F.broadcast(bad), "id", "left_anti"))
-    worse = J.fail(claimed.join(F.broadcast(bad), "id"), F.col("error"), at).drop("error")
-    sinks.swap_pointer(table.join(due, "id", "left_anti").unionByName(good).unionByName(worse), path)
-    return count
+    settle(spark, path, claimed, failed, as_of)
+    return claimed.count()
 
 
 def drain(spark: SparkSession, path: str, handlers: dict[str, Handler], worker: str = "worker", clock: Callable[[], datetime.datetime] = now) -> int:

@@ -272,9 +272,9 @@ def test_ingest_is_idempotent_and_flips_whole_generations(spark, tmp_path):
     plan = fts.asked_only(posted, fts.query_table(spark, {1: "text"}))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#") or "PartitionFilters: [(part" in plan
     assert chunks.where("embedding IS NULL OR stamp IS NULL OR anchor IS NULL OR size(section_ids) = 0").count() == 0
-    trail = spark.read.parquet(f"{store}/ingestion_events").where("source_id = 's1'").select("ordinal", "stage", "event").distinct().orderBy("ordinal").collect()
+    trail = sinks.read(spark, f"{store}/ingestion_events").where("source_id = 's1'").select("ordinal", "stage", "event").distinct().orderBy("ordinal").collect()
     assert [(r.stage, r.event) for r in trail] == [("detect", "started"), ("detect", "completed"), ("extract", "started"), ("extract", "completed"), ("transform", "completed"), ("chunk", "started"), ("chunk", "completed"), ("embed", "started"), ("embed", "completed"), ("index", "started"), ("index", "completed"), ("commit", "completed")]
-    failed = spark.read.parquet(f"{store}/ingestion_events").where("source_id = 's3' AND NOT ok").first()
+    failed = sinks.read(spark, f"{store}/ingestion_events").where("source_id = 's3' AND NOT ok").first()
     assert failed.stage == "transform" and failed.detail
     assert {r.source_id for r in generations.to_reingest(sources, "markdown", "1.0.0").collect()} == {"s1"}
 
@@ -296,7 +296,7 @@ def test_sinks(spark, tmp_path):
     assert sinks.read(spark, f"{tmp_path}/t").count() == 3
     events = spark.createDataFrame([("failed", None), ("completed", None), ("completed", False)], "event string, ok boolean")
     sinks.append_events(events, f"{tmp_path}/e")
-    assert sorted(r.ok for r in spark.read.parquet(f"{tmp_path}/e").collect()) == [False, False, True]
+    assert sorted(r.ok for r in sinks.read(spark, f"{tmp_path}/e").collect()) == [False, False, True]
 
 
 def test_streams(spark, tmp_path):
