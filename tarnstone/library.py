@@ -115,19 +115,24 @@ class Library:
 
     # --- search
 
-    def search(self, queries: dict, config: RetrievalConfig = RetrievalConfig(), origin: str = "api", scorer=None) -> DataFrame:
-        """Results of all queries; their receipts are written first, whole rows each, so that what is returned is on record."""
-        checked, took = search.check_queries(queries), {}
+    def search(self, queries: dict | DataFrame, config: RetrievalConfig = RetrievalConfig(), origin: str = "api", scorer=None) -> DataFrame:
+        """Results of all queries, with their scores as one struct; their receipts are written first, whole rows each, so that what is
+        returned is on record. ``queries``: texts by id, or a table query_id, query; a refused one has neither (:meth:`refused`)."""
+        checked, took = search.check_queries(self.spark, queries).where("refusal IS NULL").drop("refusal"), {}
         posted, stamps = self._current("postings"), sinks.read(self.spark, f"{self.root}/stamps")
         with search.timed(took, "total"):
             results = materialise(search.search(self.chunks(), checked, config, self.language, self.embedder, self.stamp, scorer, posted, stamps, took), "results")
-        kind = dict(results.dtypes)["query_id"]
-        asked = self.spark.createDataFrame(list(checked.items()), f"query_id {kind}, query string").withColumn("query_id", F.col("query_id").cast("string"))
+        asked = checked.select(F.col("query_id").cast("string").alias("query_id"), "query")
         stored = sinks.receipts(results.withColumn("query_id", F.col("query_id").cast("string")), asked, config.to_json(), origin, self.stamp, took).withColumn("id", F.sha2(F.concat_ws("|", "id", F.lit(repr(time.time()))), 256)).withColumn("created_at", F.current_timestamp())
         back = materialise(stored, "receipts")
         sinks.append(back, f"{self.root}/retrieval_runs")
         delete(self.spark, results.inputFiles()[0].rpartition("/")[0])
-        return back.select("query_id", F.col("id").alias("run_id"), F.explode("results").alias("r")).select("query_id", "run_id", "r.*")
+        flat = back.select("query_id", F.col("id").alias("run_id"), F.explode("results").alias("r")).select("query_id", "run_id", "r.*")
+        return search.grouped_scores(flat)
+
+    def refused(self, queries: dict | DataFrame) -> DataFrame:
+        """query_id and refusal of the questions that a search leaves out."""
+        return search.check_queries(self.spark, queries).where("refusal IS NOT NULL").select("query_id", "refusal")
 
     def _receipts(self) -> DataFrame:
         found = sinks.read(self.spark, f"{self.root}/retrieval_runs")

@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.stem import STOP_WORDS, analyze, stem
@@ -152,16 +153,25 @@ def _fits(hit: DataFrame) -> DataFrame:
     return by.where("held = positives AND against = 0 AND positives > 0").select("query_id", "chunk_id").distinct()
 
 
+#: Alternatives of negations alone that meet the chunks at a time.
+ALONE = 500
+
+
 def _found(hit: DataFrame, asked: DataFrame, chunks: DataFrame | None) -> DataFrame:
     found = _fits(hit)
-    only = [(r["query_id"], r["alternative"]) for r in asked.where("positives = 0").select("query_id", "alternative").distinct().collect()]  # of the queries, which the driver made
-    if chunks is None or not only:
+    alone = asked.where("positives = 0").select("query_id", "alternative").distinct()
+    count = alone.count() if chunks is not None else 0
+    if not count:
         return found
     against = _terms(hit).where("negated AND positives = 0").select("query_id", "alternative", "chunk_id")
-    kind = dict(asked.dtypes)["query_id"]
-    every = F.explode(F.array(*(F.struct(F.lit(q).cast(kind).alias("query_id"), F.lit(a).alias("alternative")) for q, a in only)))
-    free = chunks.select("chunk_id", every.alias("q")).select("chunk_id", "q.*").join(against, ["query_id", "alternative", "chunk_id"], "left_anti")
-    return found.unionByName(free.select("query_id", "chunk_id")).distinct()
+    kind, blocks = dict(asked.dtypes)["query_id"], -(-count // ALONE)
+    for b in range(blocks):  # each asks for all other chunks, which are its result
+        part = alone.where(F.pmod(F.xxhash64("query_id", "alternative"), F.lit(blocks)) == b).collect()
+        if part:
+            every = F.explode(F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["alternative"]).alias("alternative")) for r in part)))
+            free = chunks.select("chunk_id", every.alias("q")).select("chunk_id", "q.*").join(against, ["query_id", "alternative", "chunk_id"], "left_anti")
+            found = found.unionByName(free.select("query_id", "chunk_id"))
+    return found.distinct()
 
 
 def matches(posted: DataFrame, asked: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -187,21 +197,59 @@ def cover_density(hits: list[tuple[int, int]], wanted: int) -> float:
     return score
 
 
-def rank_hits(hit: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of each query's ``depth`` best of ``found``; the best alternative counts."""
-
-    @F.pandas_udf("double")
-    def density(rows: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([cover_density(sorted({(h["k"], h["pos"]) for h in row}, key=lambda x: x[1]), n) for row, n in zip(rows, wanted, strict=True)], dtype=float)
+def bounds(hit: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, alternative, wanted, chunk_id and most: what a chunk of ``found`` can score at most, from counts and spans alone.
 
+    No smallest stretch holds another, so there are as many as there are places behind the first ``wanted`` - 1 at most, and ``wanted`` for each
+    place of the rarest lexeme; each is as long as the gap between the last lexeme to begin and the first to end.
+    """
     w = Window.partitionBy("query_id", "alternative").orderBy("lexeme")
     own = asked.where("NOT negated").select("query_id", "alternative", "lexeme").distinct().withColumn("k", F.row_number().over(w) - 1)
     own = own.withColumn("wanted", F.count("*").over(Window.partitionBy("query_id", "alternative")).cast("int"))
     places = hit.where("NOT negated").select("query_id", "alternative", "lexeme", "chunk_id", "pos").distinct()
     mine = places.join(_bounded(own), ["query_id", "alternative", "lexeme"]).join(found, ["query_id", "chunk_id"], "left_semi")
-    rows = mine.groupBy("query_id", "alternative", "wanted", "chunk_id").agg(F.collect_list(F.struct("k", "pos")).alias("hits"))  # one chunk's positions
-    scored = rows.select("query_id", "chunk_id", density("hits", "wanted").alias("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(found.join(scored, ["query_id", "chunk_id"], "left").fillna(0.0, ["score"]), depth)
+    each = mine.groupBy("query_id", "alternative", "wanted", "chunk_id", "k").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_list("pos").alias("places"))  # one chunk's positions
+    by = each.groupBy("query_id", "alternative", "wanted", "chunk_id").agg(F.count("*").alias("held"), F.sum("n").alias("all"), F.min("n").alias("rarest"), (F.max("lo") - F.min("hi") + 1).alias("gap"), F.collect_list(F.struct("k", "places")).alias("hits"))
+    stretches = F.least(F.col("wanted") * F.col("rarest"), F.col("all") - F.col("wanted") + 1)
+    most = F.when(F.col("held") == F.col("wanted"), stretches * F.col("wanted") / F.greatest("wanted", "gap")).otherwise(0.0)
+    return by.select("query_id", "alternative", "wanted", "chunk_id", "hits", (most * (1 + 1e-9)).alias("most"))
+
+
+@F.pandas_udf(DoubleType())
+def density(rows: pd.Series, wanted: pd.Series) -> pd.Series:
+    return pd.Series([cover_density(sorted(((h["k"], p) for h in row for p in h["places"]), key=lambda x: x[1]), n) for row, n in zip(rows, wanted, strict=True)], dtype=float)
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "chunk_id", density("hits", "wanted").alias("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def worth_scoring(bounded: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The chunks of each query that can score most, ``depth`` of them, scored; and the bounds of those others that can still be among the best.
+
+    A chunk whose bound is below the worst of ``depth`` scores that are known isn't scored at all.
+    """
+    by_chunk = bounded.groupBy("query_id", "chunk_id").agg(F.max("most").alias("most"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("most").desc(), "chunk_id"))
+    placed = materialise(by_chunk.withColumn("nth", nth), "bounds")
+    first = placed.where(F.col("nth") <= depth).select("query_id", "chunk_id")
+    known = materialise(_scored(bounded.join(first, ["query_id", "chunk_id"], "left_semi")), "scored")
+    edge = known.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("edge"))
+    still = placed.where(F.col("nth") > depth).join(edge, "query_id").where((F.col("n") < depth) | (F.col("most") >= F.col("edge"))).select("query_id", "chunk_id")
+    return known, bounded.join(still, ["query_id", "chunk_id"], "left_semi")
+
+
+def rank_hits(hit: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """query_id, chunk_id, score, rank of each query's ``depth`` best of ``found``; the best alternative counts.
+
+    Positions are only gone through in chunks whose counts and spans allow them to be among the best.
+    """
+    found = materialise(found, "found")
+    known, rest = worth_scoring(materialise(bounds(hit, asked, found), "bounded"), depth)
+    scored = known.unionByName(_scored(rest))
+    # what fits by negations alone scores 0, and so do chunks that can't be among the best, which ``depth`` others keep out
+    unscored = found.join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(scored.unionByName(unscored), depth)
 
 
 def rank_matches(posted: DataFrame, asked: DataFrame, found: DataFrame, depth: int) -> DataFrame:

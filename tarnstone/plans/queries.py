@@ -6,7 +6,10 @@ tenth id re-ingested once), embeddings for chunk vectors, events for trails and
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from ..functions import text as T
 from ..functions.embedding import embed_column
 from ..operators import admit, chunking, fts, fusion, generations, gold, jobs, metrics, parsers, reads, vector
 from ..operators.validate import violations
-from ..shared import fresh_path, materialise
+from ..shared import delete, fresh_path, materialise
 from ..sources import sinks
 from ..streaming import pipeline
 from . import search
@@ -197,17 +200,30 @@ def _chunks(s, d) -> DataFrame:
     return t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-#: Postings by application, data and analyzer: an index is written once and searched many times.
-_indexes: dict[tuple[str, str, str], str] = {}
+#: Where postings are, by application, folder and language, and of which files: an index is written once and searched many times.
+_indexes: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+
+
+def _files(s, df: DataFrame) -> tuple:
+    """Names, sizes and times of the files of a table: what tells one state of it from another."""
+    path = s._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in sorted(df.inputFiles()):
+        at = path(name)
+        state = at.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append((name, state.getLen(), state.getModificationTime()))
+    return tuple(found)
 
 
 def _index(s, d, language: str = "simple") -> DataFrame:
-    key = (s.sparkContext.applicationId, d, language)
-    if key not in _indexes:
+    key, files = (s.sparkContext.applicationId, d, language), _files(s, t(s, d, "documents"))
+    if _indexes.get(key, ((), ""))[0] != files:
         path = fresh_path(s, "index")
         fts.stored(fts.postings(_chunks(s, d), language)).write.partitionBy("part").parquet(path)
-        _indexes[key] = path
-    return s.read.parquet(_indexes[key])
+        if key in _indexes:
+            delete(s, _indexes[key][1])
+        _indexes[key] = files, path
+    return s.read.parquet(_indexes[key][1])
 
 
 def _match(s, d, text: str) -> DataFrame:
@@ -285,11 +301,20 @@ def _rounded(s, d, floor: float) -> DataFrame:
     return vector.similarities_sql(e, q, floor, 50, digits=7)
 
 
-def _text_signal(s, d) -> DataFrame:
-    e = t(s, d, "embeddings")
-    q = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"))
-    score = ((F.col("vec_id") * 7919 + F.col("query_id") * 104729) % 1000).cast("double")
-    return fusion.ranked(e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"), score.alias("score")), 50)
+def _text_signal(s, d, depth: int = 50) -> DataFrame:
+    """The signal depends on label and id modulo 1,000 only, so ``depth`` rows of each such bucket hold every question's best; a question looks
+    into its buckets from the best down, as many as hold ``depth`` rows for sure."""
+    e = t(s, d, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL")
+    own = F.col("vec_id") * 7919 % 1000
+    nth = F.row_number().over(Window.partitionBy("label", "residue").orderBy("vec_id"))
+    held = materialise(e.select("vec_id", "label", own.alias("residue")).withColumn("nth", nth).where(F.col("nth") <= depth), "buckets")
+    sizes = held.groupBy("label", "residue").agg(F.count("*").alias("n")).agg(F.count("*").alias("buckets"), F.min("n").alias("least")).first()
+    labels = held.select("label").distinct().count()
+    looks = -(-depth // sizes["least"]) if sizes["buckets"] == 1000 * labels and labels else 1000
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.lit(999), F.lit(1000 - looks), F.lit(-1))).alias("score"))
+    at = q.withColumn("residue", F.pmod(F.col("score") - F.col("query_id") * 104729, F.lit(1000)))
+    found = held.join(at, ["label", "residue"]).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score").cast("double").alias("score"))
+    return fusion.ranked(found, depth)
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 7) AS score FROM v q, v c WHERE q.vec_id = 0 ORDER BY score DESC, chunk_id LIMIT 10")
@@ -303,8 +328,7 @@ def vector_topk(s, d):
 def vector_topk_batch(s, d):
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    near = vector.similarities(e, q, -1.0, 50).withColumn("score", F.round("score", 7)).drop("rank")
-    return fusion.ranked(near, 10).select("query_id", "chunk_id", "score")
+    return vector.similarities(e, q, -1.0, 10, digits=7).select("query_id", "chunk_id", "score")
 
 
 @query(f"WITH {VEC.format(floor=0.2)} SELECT query_id, count(*) AS candidates, min(score) AS least FROM vec GROUP BY 1")
@@ -312,12 +336,14 @@ def vector_floor(s, d):
     return _rounded(s, d, 0.2).groupBy("query_id").agg(F.count("*").alias("candidates"), F.min("score").alias("least"))
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT c.vec_id AS id, abs(round(1 - list_cosine_similarity(q.e, c.e), 9)) AS distance FROM v q, v c WHERE q.vec_id = 7 ORDER BY 1 - list_cosine_similarity(q.e, c.e), c.vec_id LIMIT 1")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 12) AS score FROM v q JOIN v c ON true WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, abs(round(1 - score, 9)) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""")
 def vector_readback(s, d):
-    e = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.struct(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.size("embedding").alias("dimensions")).alias("stamp"))
-    probe = e.where("id = 7").first()["embedding"]
-    near = vector.read_back(e, probe, {"provider": "p", "model": "m", "dimensions": len(probe)})
-    return near.select("id", F.abs(F.round("distance", 9)).alias("distance"))
+    """Each hundredth vector is looked for among all of its stamp: its nearest is itself, or an equal one."""
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.struct(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit(64).alias("dimensions")).alias("stamp"))
+    probes = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    near = vector.read_back(e, probes, {"provider": "p", "model": "m", "dimensions": 64})
+    return near.select("query_id", "id", F.abs(F.round("distance", 9)).alias("distance"))
 
 
 @query("SELECT 'p' AS provider, len(embedding)::INTEGER AS dimensions, count(*) AS chunks FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1, 2")
@@ -380,9 +406,8 @@ def hybrid_search(s, d):
     held = e.select(F.col("vec_id").alias("v"), "embedding", F.struct(*(F.lit(v).alias(k) for k, v in stamp.items())).alias("stamp"))
     docs = t(s, d, "documents")
     chunks = docs.join(held, docs["doc_id"] == held["v"], "left").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"), "embedding", "stamp")
-    asked = _questions(s, d).join(e, F.col("query_id") == F.col("vec_id")).where("query <> ''").collect()  # the labelled questions
-    vectors = {r["query"]: r["embedding"] for r in asked}
-    found = search.search(chunks, {r["query_id"]: r["query"] for r in asked}, RetrievalConfig(), "simple", lambda q, n: vectors[q], stamp, posted=_index(s, d))
+    asked = _questions(s, d).join(e.select("vec_id", "embedding"), F.col("query_id") == F.col("vec_id")).where("query <> ''").drop("vec_id")
+    found = search.search(chunks, asked, RetrievalConfig(), "simple", stamp=stamp, posted=_index(s, d))
     return found.select("query_id", "rank", "chunk_id", "content_sha256", F.round("fts_score", 9).alias("fts_score"), F.round("vector_score", 7).alias("vector_score"), F.round("fused_score", 12).alias("fused_score"))
 
 
@@ -540,8 +565,8 @@ def _runs(s, d) -> tuple[DataFrame, DataFrame]:
     expected = F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string"))
     nth = F.floor(F.col("chunk_id") / 100)
     items = q.select(F.col("chunk_id").alias("item_id"), F.when(nth % 4 == 3, "heldout").otherwise("tuning").alias("split"), expected.alias("expected"), (nth % 11 == 1).alias("unresolvable"))
-    near = vector.similarities(e.select("chunk_id", "embedding"), q.select(F.col("chunk_id").alias("query_id"), "embedding"), -1.0, 50)
-    best = fusion.ranked(near.where("chunk_id <> query_id").withColumn("score", F.round("score", 7)).drop("rank"), 20)
+    near = vector.similarities(e.select("chunk_id", "embedding"), q.select(F.col("chunk_id").alias("query_id"), "embedding"), -1.0, 21, digits=7)
+    best = fusion.ranked(near.where("chunk_id <> query_id").drop("rank"), 20)  # itself is one of them at most
     best = materialise(best.join(e.select("chunk_id", F.col("label").cast("string").alias("hash")), "chunk_id"), "run")
     again = fusion.rerank(best.withColumn("fused_rank", F.col("rank")), (F.col("chunk_id") * 31 % 17).cast("double"), 20)
     first, second = (metrics.outcomes(items, r.where("rank <= 10").select(F.col("query_id").alias("item_id"), "rank", "hash")) for r in (best, again))
@@ -601,6 +626,19 @@ def queue_claim_order(s, d):
     return first.select("id", "kind", F.row_number().over(Window.orderBy("created_at", "id")).alias("position"))
 
 
+@query("SELECT event_id::VARCHAR AS id, 1::BIGINT AS holders FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY ts, event_id::VARCHAR LIMIT 60")
+def queue_exclusive_claims(s, d):
+    """Three workers at once, two polls of ten jobs each, against one table of all events: the oldest sixty, each with one holder."""
+    path, at = fresh_path(s, "jobs"), F.col("ts").cast("timestamp")
+    none = {c: F.lit(None).cast(k) for c, k in (("claimed_by", "string"), ("claimed_at", "timestamp"), ("last_error", "string"))}
+    rows = t(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.lit("{}").alias("payload"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"), at.alias("run_at"), at.alias("created_at")).withColumns(none)
+    sinks.insert_ignore(rows.select(*pipeline.COLUMNS), path, keyed=True)
+    due = datetime.datetime(2024, 1, 15, 12, tzinfo=datetime.UTC)
+    with ThreadPoolExecutor(3) as pool:
+        held = [x for x in pool.map(lambda n: pipeline.claim(s, path, f"worker {n % 3}", due, 10), range(6)) if x is not None]
+    return reduce(DataFrame.unionByName, held).groupBy("id").agg(F.countDistinct("claimed_by").alias("holders"))
+
+
 @query(f"WITH {JOBS} SELECT id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN attempts >= 3 THEN 0 ELSE (5 * 2 ** greatest(0, attempts - 1))::BIGINT END AS delay_s FROM jobs WHERE status = 'claimed'")
 def queue_backoff(s, d):
     now = F.lit(AS_OF).cast("timestamp")

@@ -6,58 +6,72 @@ import contextlib
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MAX_QUERY_CHARS, RetrievalConfig
 from ..errors import EngineError
-from ..functions.embedding import STAMP, deterministic_embedding
+from ..functions.embedding import STAMP, deterministic_embedding, embed_column
 from ..operators import fts, fusion, gold, metrics, vector
 from ..schemas import SCORES
+from ..shared import materialise
 
 
-def check_queries(queries: dict) -> dict:
-    """Trimmed queries; refuses those that are empty or too long."""
-    trimmed = {k: q.strip() for k, q in queries.items()}
-    for k, q in trimmed.items():
-        if not 1 <= len(q) <= MAX_QUERY_CHARS:
-            raise EngineError("validation_error", f"query {k} must have 1 to {MAX_QUERY_CHARS} characters")
-    return trimmed
+def refusal(query: Column) -> Column:
+    """Why a trimmed question isn't asked; null if it is."""
+    n = F.length(F.coalesce(query, F.lit("")))
+    return F.when((n < 1) | (n > MAX_QUERY_CHARS), F.lit(f"a query must have 1 to {MAX_QUERY_CHARS} characters"))
+
+
+def check_queries(spark: SparkSession, queries: dict | DataFrame) -> DataFrame:
+    """query_id, query (trimmed), refusal and, where it is given, embedding of questions: a dict or a table of any number.
+
+    Questions of a dict are refused with an error if none of them can be asked.
+    """
+    if isinstance(queries, dict):
+        kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
+        table = spark.createDataFrame([(k, q.strip()) for k, q in queries.items()], f"query_id {kind}, query string")
+    else:
+        table = queries.withColumn("query", F.trim("query"))
+    checked = table.withColumn("refusal", refusal(F.col("query")))
+    if isinstance(queries, dict) and queries and not any(1 <= len(q.strip()) <= MAX_QUERY_CHARS for q in queries.values()):
+        raise EngineError("validation_error", f"query {next(iter(queries))} must have 1 to {MAX_QUERY_CHARS} characters")
+    return checked
 
 
 def search(
-    chunks: DataFrame, queries: dict, config: RetrievalConfig = RetrievalConfig(), language: str = "english", embedder: Callable = deterministic_embedding, stamp: dict = STAMP,
+    chunks: DataFrame, queries: dict | DataFrame, config: RetrievalConfig = RetrievalConfig(), language: str = "english", embedder: Callable = deterministic_embedding, stamp: dict = STAMP,
     scorer: Callable[[Column, Column], Column] | None = None, posted: DataFrame | None = None, stamps: DataFrame | None = None, timings: dict[str, float] | None = None,
 ) -> DataFrame:
     """query_id, rank, chunk_id, source_id, content and its hash, and the scores, of each query's k best chunks.
 
-    ``chunks``: current rows with id, source_id, content, embedding, stamp. ``posted``: postings written
+    ``chunks``: current rows with id, source_id, content, embedding, stamp. ``queries``: texts by id, or a table query_id, query and, if they are
+    embedded already, embedding; those that :func:`refusal` holds against are left out. ``posted``: postings written
     before; without them the chunks are analysed here. ``stamps``: the different stamps of the corpus, if they are kept.
     ``scorer`` (query, content) -> score is used if the config asks for reranking. ``timings`` takes in how many
     milliseconds each stage took on the driver; plans that run later count where they are run.
     """
-    spark, queries = chunks.sparkSession, check_queries(queries)
+    spark = chunks.sparkSession
+    if config.rerank and scorer is None:
+        raise EngineError("unavailable", "no reranker is set", "rerank")
     took: dict[str, float] = {} if timings is None else timings
+    questions = materialise(check_queries(spark, queries).where("refusal IS NULL").drop("refusal"), "questions")
     named = chunks.withColumnRenamed("id", "chunk_id")
-    kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
-    near = spark.createDataFrame([], f"query_id {kind}, chunk_id {dict(named.dtypes)['chunk_id']}, score double, rank int")
+    near = spark.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, chunk_id {dict(named.dtypes)['chunk_id']}, score double, rank int")
     with timed(took, "embed"):
         embedded = vector.check_stamp(chunks if stamps is None else stamps, stamp)
-        vectors = [(k, embedder(q, stamp["dimensions"])) for k, q in queries.items()] if embedded else []
+        if embedded and "embedding" not in questions.columns:
+            questions = materialise(questions.withColumn("embedding", embed_column(F.col("query"), stamp["dimensions"], embedder)), "embedded")
     with timed(took, "vector"):
         if embedded:
-            asked = spark.createDataFrame(vectors, f"query_id {kind}, embedding array<double>")
-            near = vector.similarities(named, asked, config.min_similarity, config.candidate_depth)
+            near = vector.similarities(named, questions, config.min_similarity, config.candidate_depth)
     with timed(took, "fts"):
-        terms = fts.query_table(spark, queries, language)
+        terms = materialise(fts.query_frame(questions, language), "terms")
         by_text = fts.search(fts.postings(named.select("chunk_id", "content"), language) if posted is None else posted, terms, config.candidate_depth, named)
     fused = fusion.fuse(by_text, near, config)
     texts = named.select("chunk_id", "source_id", "content")
     if config.rerank:
-        if scorer is None:
-            raise EngineError("unavailable", "no reranker is set", "rerank")
-        asked = F.broadcast(spark.createDataFrame(list(queries.items()), f"query_id {kind}, query string"))
-        full = fused.where(F.col("fused_rank") <= config.rerank_depth).join(texts, "chunk_id").join(asked, "query_id")
+        full = fused.where(F.col("fused_rank") <= config.rerank_depth).join(texts, "chunk_id").join(questions.select("query_id", "query"), "query_id")
         out = fusion.rerank(full, scorer(F.col("query"), F.col("content")), config.rerank_depth)
     else:
         best = fusion.top(fused, config.k, "fused_rank")
@@ -80,10 +94,9 @@ def grouped_scores(results: DataFrame) -> DataFrame:
 
 def evaluate(items: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), **how) -> tuple[DataFrame, DataFrame]:
     """Outcomes and slices of a labelled set: ``items`` has item_id, question, split and expected (source_id, content_sha256)."""
-    rows = items.select("item_id", "question").collect()  # the labelled set, which people wrote
-    if not rows:
+    if items.isEmpty():
         raise EngineError("validation_error", "there are no labelled questions", "eval")
-    results = search(chunks, {r["item_id"]: r["question"] for r in rows}, config, **how)
+    results = search(chunks, items.select(F.col("item_id").alias("query_id"), F.col("question").alias("query")), config, **how)
     state = items.join(gold.liveness(items, chunks), "item_id").withColumn("expected", F.transform("expected", lambda e: e["content_sha256"]))
     found = metrics.outcomes(state, results.select(F.col("query_id").alias("item_id"), "rank", F.col("content_sha256").alias("hash")))
     return found, metrics.slices(found)
