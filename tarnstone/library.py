@@ -86,6 +86,10 @@ class Library:
         heads = self.table("sources", HEADS).select("id", F.col("status").alias("head"), "plugin_name", "plugin_version", "current_generation", "last_error")
         return self.table("admitted", ADMITTED).drop("content").join(heads, "id", "left").withColumn("status", F.coalesce("head", F.lit("queued"))).drop("head")
 
+    def counts(self) -> DataFrame:
+        """source_id, sections and chunks of each source's current generation, as commits keep them."""
+        return reads.kept_counts(self.table("sources", HEADS), self.table("source_counts", "id string, generation int, sections bigint, chunks bigint"))
+
     def chunks(self) -> DataFrame:
         """What readers see: chunks of current generations."""
         return self._current("chunks")

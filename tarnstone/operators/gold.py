@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import EngineError
+from .numbering import numbered
 
 
 def current(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -15,6 +15,22 @@ def current(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(at, ["source_id", "generation"], "left_semi")
 
 
+def current_in_place(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same over tables bucketed by source (:func:`tarnstone.sources.buckets.publish`): sources meet where they are, nothing is exchanged.
+
+    The generation isn't a key of the join, as the buckets aren't dealt by it.
+    """
+    at = sources.select(F.col("source_id").alias("_source"), F.col("current_generation").alias("_at"))
+    return rows.join(at, (F.col("source_id") == F.col("_source")) & (F.col("generation") >= F.col("_at")) & (F.col("generation") <= F.col("_at")), "left_semi")
+
+
+def superseded_in_place(results: DataFrame, live: DataFrame) -> DataFrame:
+    """The flag of :func:`superseded` for ``results`` and ``live`` (source_id, content_sha256) bucketed by source, one row per source and hash."""
+    held = live.select(F.col("source_id").alias("_source"), F.col("content_sha256").alias("_hash"), F.lit(True).alias("_live"))
+    same = (F.col("source_id") == F.col("_source")) & F.startswith(F.col("content_sha256"), F.col("_hash"))
+    return results.join(held, same, "left").withColumn("superseded", F.col("_live").isNull()).drop("_source", "_hash", "_live")
+
+
 def hashes(current_chunks: DataFrame) -> DataFrame:
     return current_chunks.select("source_id", F.sha2("content", 256).alias("content_sha256")).distinct()
 
@@ -40,10 +56,10 @@ def liveness(items: DataFrame, current_chunks: DataFrame) -> DataFrame:
     return items.select("item_id").join(gone, "item_id", "left").fillna({"unresolvable": False})
 
 
-def default_split(created: Column, item: Column, *corpus: Column) -> Column:
-    """Every fourth question of a corpus, in order of creation, is held out."""
-    nth = F.row_number().over(Window.partitionBy(*corpus).orderBy(created, item))
-    return F.when(nth % 4 == 0, "heldout").otherwise("tuning")
+def default_split(items: DataFrame, created: str, item: str, *corpus: str) -> DataFrame:
+    """``items`` with ``split``: every fourth question of a corpus, in order of creation, is held out. A corpus of any size takes as many tasks as it needs."""
+    nth = numbered(items, "nth", list(corpus), F.col(created), F.col(item))
+    return nth.withColumn("split", F.when(F.col("nth") % 4 == 0, "heldout").otherwise("tuning")).drop("nth")
 
 
 def resolve_expected(questions: DataFrame, current_chunks: DataFrame) -> DataFrame:

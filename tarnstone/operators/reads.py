@@ -34,6 +34,13 @@ def source_counts(sources: DataFrame, sections: DataFrame, chunks: DataFrame) ->
     return out.fillna(0, ["sections", "chunks"])
 
 
+def kept_counts(sources: DataFrame, counted: DataFrame) -> DataFrame:
+    """The same as :func:`source_counts` from the counts that commits keep: ``counted`` has id, generation, sections, chunks."""
+    at = counted.select(F.col("id").alias("source_id"), F.col("generation").alias("current_generation"), "sections", "chunks")
+    heads = sources.select(F.col("id").alias("source_id"), "current_generation")
+    return heads.join(at, ["source_id", "current_generation"], "left").select("source_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sections", "chunks")))
+
+
 def batch_summary(batches: DataFrame, sources: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """batch_id, total and skipped report entries, and its members by status."""
     members = sources.where("batch_id IS NOT NULL").groupBy("batch_id").pivot("status", list(statuses)).count()

@@ -113,9 +113,18 @@ def ingest(files: DataFrame, store: str, params: ChunkingParams = ChunkingParams
 
     sinks.upsert(spark, f"{store}/sources", "id", point)
     after = materialise(read(spark, f"{store}/sources"), "heads")
-    older = F.col("generation") < F.col("current_generation")
-    for name, by in (("document_sections", ()), ("chunks", ()), ("postings", ("part",))):
-        counts[f"swept_{name}"] = sweep(f"{store}/{name}", older, spark, after, *by)
+    for name in ("document_sections", "chunks", "postings"):
+        counts[f"swept_{name}"] = sweep(f"{store}/{name}", spark, after)
+    of_chunks = fresh.groupBy("source_id").agg(F.count("*").alias("chunks"))
+    made = materialise(ready.join(of_chunks, "source_id", "left").select(F.col("source_id").alias("id"), "generation", F.col("sections").cast("long").alias("sections"), F.coalesce("chunks", F.lit(0)).alias("chunks")), "counts")
+
+    def count(held: DataFrame | None) -> DataFrame:
+        """What this run made replaces what was counted of older generations; nothing else is counted again."""
+        known = made.withColumn("known", F.lit(None).cast("int")) if held is None else made.join(held.select("id", F.col("generation").alias("known")), "id", "left")
+        return known.where("sections > 0 AND (known IS NULL OR known < generation)").drop("known")
+
+    sinks.upsert(spark, f"{store}/source_counts", "id", count, "id string, generation int, sections bigint, chunks bigint")
+
     def stamps(_: DataFrame | None) -> DataFrame:
         held = gold.current(read_or_empty(spark, f"{store}/chunks", typed), read(spark, f"{store}/sources"))
         return held.where("stamp IS NOT NULL").select("stamp").distinct()

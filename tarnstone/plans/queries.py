@@ -22,7 +22,7 @@ from ..functions.embedding import embed_column
 from ..operators import admit, chunking, fts, fusion, generations, gold, jobs, metrics, parsers, reads, vector
 from ..operators.validate import violations
 from ..shared import delete, fresh_path, materialise
-from ..sources import sinks
+from ..sources import buckets, sinks
 from ..streaming import pipeline
 from . import search
 
@@ -331,6 +331,15 @@ def vector_topk_batch(s, d):
     return vector.similarities(e, q, -1.0, 10, digits=7).select("query_id", "chunk_id", "score")
 
 
+@query(f"WITH {VEC.format(floor=0.2)} SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score FROM vec WHERE rank <= 10")
+def vector_pivots(s, d):
+    """The ten nearest of each hundredth vector, from vectors stored by pivot. Scores by rank: equal ones may come in any order of theirs."""
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    best, _ = vector.PivotIndex(e, 64).search(q, 0.2, 10)
+    return best.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {VEC.format(floor=0.2)} SELECT query_id, count(*) AS candidates, min(score) AS least FROM vec GROUP BY 1")
 def vector_floor(s, d):
     return _rounded(s, d, 0.2).groupBy("query_id").agg(F.count("*").alias("candidates"), F.min("score").alias("least"))
@@ -440,6 +449,18 @@ def reader_predicate_counts(s, d):
     return _current(s, d).groupBy("source_id").agg(F.count("*").alias("chunks"))
 
 
+@query(f"WITH {CURRENT}, live AS (SELECT DISTINCT source_id, sha256(content) AS h FROM cur) SELECT d.doc_id AS source_id, (SELECT count(*) FROM cur WHERE cur.source_id = d.doc_id) AS chunks, NOT EXISTS (SELECT 1 FROM live WHERE live.source_id = d.doc_id AND live.h = sha256(d.text)) AS superseded FROM documents d")
+def reader_predicate_in_place(s, d):
+    """Chunks, heads and receipts bucketed by source: current chunks and superseded receipts without an exchange."""
+    heads = _sources(s, d).select(F.col("id").alias("source_id"), "current_generation")
+    receipts = t(s, d, "documents").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))
+    with buckets.published(s, "source_id", _all_chunks(s, d), heads, receipts) as (chunks, heads, receipts):
+        live = gold.current_in_place(chunks, heads).select("source_id", F.sha2("content", 256).alias("content_sha256"))
+        counts = live.groupBy("source_id").agg(F.count("*").alias("chunks"))
+        flags = gold.superseded_in_place(receipts, live.distinct())
+        return materialise(flags.join(counts, "source_id", "left").select("source_id", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), "superseded"), "in-place")
+
+
 @query(f"WITH {SOURCES}, {CHUNKS} SELECT generation, count(*) AS swept FROM ch JOIN src ON ch.source_id = src.id WHERE ch.generation < src.current_generation GROUP BY 1")
 def generation_sweep(s, d):
     return generations.swept(_all_chunks(s, d), _sources(s, d))[1].groupBy("generation").agg(F.count("*").alias("swept"))
@@ -452,7 +473,7 @@ def generation_commit(s, d):
     path = fresh_path(s, "commit")
     for part in ("generation = 1", "generation = 2", "generation = 1"):
         sinks.insert_ignore(rows.where(part), path)
-    sinks.sweep(path, F.col("generation") < F.col("current_generation"), s, _sources(s, d))
+    sinks.sweep(path, s, _sources(s, d))
     return sinks.read(s, path).select("source_id", "generation", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -490,7 +511,8 @@ def hash_liveness(s, d):
 
 @query("SELECT doc_id AS item_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) % 4 = 0 THEN 'heldout' ELSE 'tuning' END AS split FROM documents")
 def gold_split_every_4th(s, d):
-    return t(s, d, "documents").select(F.col("doc_id").alias("item_id"), gold.default_split(F.col("doc_id"), F.col("doc_id"), F.col("lang")).alias("split"))
+    items = t(s, d, "documents").select(F.col("doc_id").alias("item_id"), "lang")
+    return gold.default_split(items, "item_id", "item_id", "lang").select("item_id", "split")
 
 
 def _batch():

@@ -1,5 +1,7 @@
 """Sinks: tables as states listed by numbered pointers, changed by compare-and-set.
 
+Rows are removed by marks beside the folders, applied when they are read and worked in when they are merged.
+
 A table that changes is a folder of Parquet folders beside numbered pointer files. A pointer lists the folders that make
 the table up, in order, and notes about it; the one with the highest number counts. What is written aside becomes visible when the next
 pointer is created, which one writer alone can do: by a hard link on a local disk, elsewhere by a rename that refuses an
@@ -36,6 +38,8 @@ MOST_FOLDERS = 24
 TRIES = 50
 #: A note's line in a pointer.
 NOTE = "#"
+#: The note that lists folders of marks: generations of a source below its mark aren't read any more.
+REMOVED, REMOVALS = "removed", "source_id string, below int"
 
 
 class Conflict(EngineError):
@@ -133,8 +137,9 @@ def commit(spark: SparkSession, path: str, seen: int, listed: list[str], notes:
         raise Conflict("unavailable", f"{path} was changed meanwhile", "store")
     old, kept = numbers[: -KEPT + 1], numbers[-KEPT + 1 :]
     if old:
-        held = {x for n in kept if (s := _listed(spark, path, n)) for x in s.folders} | set(listed)
-        gone = {x for n in old if (s := _listed(spark, path, n)) for x in s.folders} - held
+        every = lambda s: {*s.folders, *filter(None, s.notes.get(REMOVED, "").split(","))}
+        held = {x for n in [*kept, number] if (s := _listed(spark, path, n)) for x in every(s)}
+        gone = {x for n in old if (s := _listed(spark, path, n)) for x in every(s)} - held
         delete(spark, *(f"{path}/{x}" for x in gone), *(f"{path}/{POINTERS}/{n:012d}" for n in old))
     return number
 
@@ -148,6 +153,8 @@ def read_state(spark: SparkSession, path: str, at: State, schema=None) -> DataFr
         typed = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         reader = reader.schema(f"{typed}, {IN} string")
     rows = reader.parquet(*(f"{path}/{x}" for x in at.folders))
+    if REMOVED in at.notes:
+        rows = _without_removed(rows, spark.read.schema(REMOVALS).parquet(*(f"{path}/{x}" for x in at.notes[REMOVED].split(","))))
     if not at.notes.get("key") or len(at.folders) == 1:
         return rows.drop(IN)
     nth = F.create_map(*(F.lit(x) for i, name in enumerate(at.folders) for x in (name.partition("=")[2], i)))
@@ -156,6 +163,12 @@ def read_state(spark: SparkSession, path: str, at: State, schema=None) -> DataFr
     return last.select("row.*")
 
 
+def _without_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of generations that aren't below their source's mark."""
+    marks = removed.groupBy(F.col("source_id").alias("_removed")).agg(F.max("below").alias("_below"))
+    return rows.join(marks, F.col("source_id") == F.col("_removed"), "left").where(F.col("_below").isNull() | (F.col("generation") >= F.col("_below"))).drop("_removed", "_below")
+
+
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table as it is; None if there is none."""
     at = state(spark, path)
@@ -336,21 +349,21 @@ def compact(spark: SparkSession, path: str, *by: str, most: int = MOST_FOLDERS)
         return False
     rows = read_state(spark, path, seen._replace(folders=seen.folders[i:]))
     name = write_aside(rows.repartition(*by) if by else rows.coalesce(max(1, sum(sizes[i:]) >> 27)), path, *by)
+    notes = seen.notes if i else {k: v for k, v in seen.notes.items() if k != REMOVED}  # no folder holds what the marks remove
     try:
-        commit(spark, path, seen.number, [*seen.folders[:i], name])
+        commit(spark, path, seen.number, [*seen.folders[:i], name], notes)
     except Conflict:
         delete(spark, f"{path}/{name}")
         return False
     return True
 
 
-def sweep(path: str, old: Column, spark: SparkSession, sources: DataFrame, *by: str) -> int:
-    """Drop the rows of a table (source_id, generation ...) for which ``old`` holds beside their source's current_generation.
+def sweep(path: str, spark: SparkSession, sources: DataFrame) -> int:
+    """Remove the rows of a table (source_id, generation ...) that are older than their source's current_generation; how many went.
 
-    Only the folders that hold such rows are written anew; how many rows went.
+    No row is written again: a mark for each source is put beside the folders, readers leave out what it covers, and a later merge drops it.
     """
-    at = sources.select(F.col("id").alias("source_id"), "current_generation").where("current_generation > 1")
-    folder = F.regexp_extract(F.input_file_name(), f"/({IN}=[0-9a-f]{{32}})/", 1)
+    at = sources.select(F.col("id").alias("source_id"), F.col("current_generation").cast("int").alias("below")).where("below > 1")
     went = 0
 
     def change(seen: State):
@@ -358,17 +371,16 @@ def sweep(path: str, old: Column, spark: SparkSession, sources: DataFrame, *by:
         went, table = 0, read_state(spark, path, seen)
         if table is None:
             return None
-        found = table.select("source_id", "generation", folder.alias("folder")).join(at, "source_id").where(old).groupBy("folder").agg(F.count("*").alias("n")).collect()  # a row per folder
-        if not found:
+        old = materialise(table.select("source_id", "generation").join(at, "source_id").where("generation < below").groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.max("below").alias("below"), F.count("*").alias("n")), "removed")
+        went = old.agg(F.sum("n")).first()[0] or 0
+        if not went:
             return None
-        hit = {r["folder"] for r in found}
-        rows = read_state(spark, path, seen._replace(folders=[x for x in seen.folders if x in hit]), table.schema)
-        kept = rows.join(at, "source_id", "left").where(~F.coalesce(old, F.lit(False))).select(*table.columns)
-        name = write_aside(kept, path, *by)
-        went = sum(r["n"] for r in found)
-        return [*(x for x in seen.folders if x not in hit), name], [name]
-
-    attempt(spark, path, change)
+        name = write_aside(old.select("source_id", "below").coalesce(1), path)
+        marks.append(name)
+        return seen.folders, [name]
+
+    marks: list[str] = []
+    attempt(spark, path, change, lambda notes: notes | {REMOVED: ",".join([*filter(None, notes.get(REMOVED, "").split(",")), marks[-1]])})
     return went
 
 

@@ -178,3 +178,108 @@ def test_labels_added_at_once(spark, tmp_path):
     for t in threads:
         t.join()
     assert sorted((r.item_id, r.split) for r in lib.gold().collect() if r.split == "heldout") in ([("g01", "heldout")], [("g11", "heldout")]) and lib.gold().count() == 4
+
+
+def test_numbers_within_keys_of_any_size(spark):
+    from tarnstone.operators import gold, numbering
+
+    rows = [(i, "big" if i % 10 else None, (i * 7) % 50) for i in range(400)] + [(1000, "one", 1)]
+    df = spark.createDataFrame(rows, "id int, corpus string, at int").repartition(3)
+    got = numbering.numbered(df, "n", ["corpus"], F.col("at"), F.col("id"))
+    want = {}
+    for i, c, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want.setdefault(c, []).append(i)
+    assert {r.id: r.n for r in got.collect()} == {i: n for ids in want.values() for n, i in enumerate(ids, 1)}
+    split = gold.default_split(df, "at", "id", "corpus")
+    assert {r.id for r in split.where("split = 'heldout'").collect()} == {i for ids in want.values() for i in ids[3::4]}
+    assert numbering.numbered(df.limit(0), "n", ["corpus"], F.col("at")).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(corpus" not in plan  # no task gets a whole corpus
+
+
+def test_a_sweep_writes_no_row_again(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(f"s{i % 5}", g, f"{i}:{g}") for i in range(50) for g in (1, 2)], "source_id string, generation int, id string")
+    for g in (1, 2):
+        sinks.insert_ignore(rows.where(f"generation = {g}"), path)
+    before, early = sinks.folders(spark, path)[1], sinks.read(spark, path)
+    heads = spark.createDataFrame([("s0", 2), ("s1", 2), ("s2", 1), ("s9", 2)], "id string, current_generation int")
+    assert sinks.sweep(path, spark, heads) == 20 and sinks.folders(spark, path)[1] == before
+    left = sinks.read(spark, path)
+    assert left.count() == 80 and left.where("source_id IN ('s0', 's1') AND generation = 1").isEmpty() and early.count() == 100
+    assert sinks.sweep(path, spark, heads) == 0
+    again = heads.where("id = 's0'").withColumn("current_generation", F.lit(3))
+    sinks.insert_ignore(spark.createDataFrame([("s0", 3, "new")], rows.schema), path)
+    assert sinks.sweep(path, spark, again) == 10
+    want = sorted(r.id for r in sinks.read(spark, path).collect())
+    assert sinks.compact(spark, path, most=1) and len(sinks.folders(spark, path)[1]) == 1
+    assert sorted(r.id for r in sinks.read(spark, path).collect()) == want and len(want) == 71
+    assert sinks.REMOVED not in sinks.state(spark, path).notes
+
+
+def test_counts_kept_by_commits(spark, tmp_path):
+    from tarnstone.operators import reads
+
+    inbox, lib = tmp_path / "in", Library(spark, str(tmp_path / "store"))
+    inbox.mkdir()
+    for i in range(3):
+        (inbox / f"{i}.md").write_bytes(b"".join(b"# h%d\ntext %d\n" % (k, i) for k in range(i + 1)))
+    lib.upload(str(inbox))
+    lib.ingest()
+    (inbox / "more.md").write_bytes(b"# only\none")
+    lib.upload(str(inbox))
+    lib.ingest()
+    for _ in range(2):
+        heads = sinks.read(spark, f"{lib.root}/sources")
+        afresh = reads.source_counts(heads, sinks.read(spark, f"{lib.root}/document_sections"), sinks.read(spark, f"{lib.root}/chunks"))
+        flat = lambda df: sorted((r.source_id, r.sections, r.chunks) for r in df.collect())
+        assert flat(lib.counts()) == flat(afresh) and sum(r.sections for r in afresh.collect()) == 7
+        lib.reingest("markdown", "1.0.0")
+
+
+def test_joins_in_place_exchange_nothing(spark):
+    from tarnstone.operators import gold
+    from tarnstone.sources import buckets
+
+    chunks = spark.createDataFrame([(i % 20, 1 + i % 2, f"text {i}") for i in range(200)], "source_id int, generation int, content string")
+    heads = spark.createDataFrame([(i, 2 if i % 2 else 1) for i in range(15)], "source_id int, current_generation int")
+    results = chunks.select("source_id", F.sha2("content", 256).alias("content_sha256")).unionByName(spark.createDataFrame([(1, "0" * 64), (99, "1" * 64)], "source_id int, content_sha256 string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with buckets.published(spark, "source_id", chunks, heads, results, buckets=5) as (c, h, r):
+            at = gold.current_in_place(c, h)
+            flags = gold.superseded_in_place(r, at.select("source_id", F.sha2("content", 256).alias("content_sha256")).distinct())
+            plan = flags._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("Join") == 2
+            want = gold.superseded(results, gold.current(chunks, heads.withColumnRenamed("source_id", "id")))
+            assert sorted(map(tuple, flags.collect())) == sorted((x.source_id, x.content_sha256, x.superseded) for x in want.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_archives_are_read_by_entry(spark, tmp_path):
+    import io
+    import zipfile
+
+    from tarnstone.sources import archives, files
+
+    def made(entries):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in entries:
+                z.writestr(name, body)
+        return out.getvalue()
+
+    inner = made([("x.md", b"x")])
+    (tmp_path / "a.zip").write_bytes(made([(f"d/{i}.md", b"# t\n" + b"x" * 1000) for i in range(40)] + [("big.md", b"y" * 5000), ("in.zip", inner), ("f/", b"")]))
+    (tmp_path / "b.zip").write_bytes(b"PK\x03\x04 and nothing more")
+    (tmp_path / "c.zip").write_bytes(made([(f"{i}.md", b"z") for i in range(60)]))
+    (tmp_path / "d.txt").write_bytes(b"no archive")
+    df = archives.read_archives(spark, str(tmp_path), mostEntries=50, mostBytes=2000, partBytes=8000)
+    got = sorted((r.archive.rpartition("/")[2], r.path or "", r.reason or "", len(r.content or b"")) for r in df.collect())
+    assert got == sorted([("a.zip", f"d/{i}.md", "", 1004) for i in range(40)] + [("a.zip", "big.md", "too_large", 0), ("a.zip", "in.zip", "nested_zip", 0), ("b.zip", "", "corrupt", 0), ("c.zip", "", "too_many_entries", 0)])
+    assert df.rdd.getNumPartitions() > 6 and df.where("archive LIKE '%a.zip'").select(F.spark_partition_id()).distinct().count() > 5
+    whole = spark.createDataFrame([("a", bytearray((tmp_path / "a.zip").read_bytes()))], "batch_id string, content binary")
+    old = files.expand_batches(whole).select(F.col("filename").alias("path"), "content").where("content IS NOT NULL")
+    assert sorted(map(tuple, df.where("content IS NOT NULL AND byte_size < 2000").select("path", "content").collect())) == sorted(r for r in map(tuple, old.collect()) if len(r[1]) <= 2000)
