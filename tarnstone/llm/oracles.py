@@ -47,7 +47,7 @@ def op3_secrets() -> str:
         FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
 
 
-def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
+def op6_url_reputation(limit: float = 0.5, risk: float = 0.05, nodes: int = 100, step: float = 0.06) -> str:
     fits = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for r, _ in RULES}
     rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r, _ in RULES) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES) + " END"
@@ -56,7 +56,7 @@ def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
     def shrunk(groups: str, parents: str, key: str) -> str:
         """Groups around their parents' means, with the prior's strength by moments."""
         return f"""(WITH a AS (SELECT g.*, p.mean AS m FROM {groups} g JOIN {parents} p ON p.k = g.{key}),
-            s AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS pure, sum(m * (1 - m) * (n - 1)) AS slope FROM a),
+            s AS (SELECT sum(n * (bad / n - m) ** 2) AS seen, sum(m * (1 - m)) AS pure, sum(m * (1 - m) * (n - 1)) AS slope FROM a WHERE n > 0),
             r AS (SELECT 1 / CASE WHEN slope > 0 THEN least(0.999, greatest(0.001, (seen - pure) / slope)) ELSE 0.5 END - 1 AS kappa FROM s)
             SELECT a.* EXCLUDE m, (kappa * m + bad) / (kappa + n) AS mean, kappa + n AS weight FROM a, r)"""
 
@@ -64,7 +64,7 @@ def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
         WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
              q AS (SELECT *, {rule} AS rule FROM p), v AS (SELECT *, {verdict} AS ruled FROM q),
-             b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', '') AS bare, count(*)::DOUBLE AS n, sum((ruled IS NOT DISTINCT FROM 'block')::INTEGER)::DOUBLE AS bad FROM v GROUP BY 1),
+             b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', '') AS bare, count(ruled)::DOUBLE AS n, count(*) FILTER (ruled = 'block')::DOUBLE AS bad FROM v GROUP BY 1),
              c AS (SELECT *, CASE WHEN regexp_matches(bare, '^[\\d.]+$|^\\[') OR bare = '' THEN bare WHEN regexp_matches(bare, '(^|\\.)({second})\\.[a-z][a-z]$') THEN regexp_extract(bare, '(?:^|\\.)(({second})\\.[a-z][a-z])$', 1) ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM b),
              hosts AS (SELECT *, CASE WHEN bare = suffix THEN suffix ELSE regexp_extract(left(bare, length(bare) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix END AS domain FROM c),
              domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
@@ -72,8 +72,13 @@ def op6_url_reputation(limit: float = 0.5, z: float = 1.645) -> str:
              top AS (SELECT '' AS k, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM suffixes),
              s1 AS (SELECT suffix AS k, mean FROM {shrunk("suffixes", "top", "root")}),
              s2 AS (SELECT domain AS k, mean FROM {shrunk("domains", "s1", "suffix")}),
-             s3 AS (SELECT host, mean, mean - {z} * sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM {shrunk("hosts", "s2", "domain")})
-        SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN bound > {limit} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS block_rate, round(bound, 6) AS bound FROM v JOIN s3 ON s3.host = v.host"""
+             s3 AS (SELECT host, mean, weight * mean AS a, weight * (1 - mean) AS b FROM {shrunk("hosts", "s2", "domain")}),
+             z AS (SELECT *, ln(a / b) AS c, sqrt(1 / a + 1 / b) AS w FROM s3),
+             g AS (SELECT z.*, k, {step} * k AS t, c + w * sinh({step} * k) AS u FROM z, range(-{nodes}, {nodes} + 1) r(k)),
+             f AS (SELECT host, mean, c, w, t, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - (a * c - (a + b) * (greatest(c, 0) + ln(1 + exp(-abs(c)))))) * cosh(t) AS d FROM g),
+             e AS (SELECT *, sum(d) OVER (PARTITION BY host ORDER BY t) - d / 2 AS upto, sum(d) OVER (PARTITION BY host) AS total FROM f),
+             x AS (SELECT host, mean, 1 / (1 + exp(-(c + w * sinh(t - {step} * (upto - {risk} * total) / d)))) AS bound FROM e WHERE upto >= {risk} * total QUALIFY row_number() OVER (PARTITION BY host ORDER BY t) = 1)
+        SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN bound > {limit} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS block_rate, round(bound, 6) AS bound FROM v JOIN x ON x.host = v.host"""
 
 
 #: CRC-32 of a string's UTF-8 bytes: the table of its polynomial, then byte by byte.

@@ -9,7 +9,8 @@ going down the sum's slices from the most significant. Those boundary rows get t
 
 Queries come in blocks of a bounded number. Each block is broadcast once against all index blocks (a task keeps k rows
 per query), the partial lists meet by query, and the block's result is written before the next one is read, so that
-no more than one block is on the driver or on an executor. Every row is indexed; results are exact, so recall is 1.
+no more than one block is on the driver or on an executor. The index is written once, a file's row groups to a block, and each block of
+queries is a folder of its own: going through them reads the index and shuffles nothing of it. Every row is indexed; results are exact, so recall is 1.
 
 Rows with values beyond 31 bits are kept in blocks of their own, without slices, and scored by integers of any size.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, materialise
+from .common import fresh_path, materialise, spread
 
 SCALE = 1024
 #: Values of this size or more are wide: they have no slices.
@@ -225,7 +226,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
                 exact = quantise(rows).astype("<i4")
             yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "bits": pa.array([planes.shape[1]], pa.int32()), "ids": [part.tobytes()], "exact": [exact.tobytes()], "slices": [planes.tobytes()], "real": [real.tobytes()]})
 
-    return materialise(_usable(vectors).mapInArrow(run, "dims int, bits int, ids binary, exact binary, slices binary, real binary"), "bit-slices")
+    return materialise(spread(_usable(vectors)).mapInArrow(run, "dims int, bits int, ids binary, exact binary, slices binary, real binary"), "bit-slices")
 
 
 def search_block(ids: np.ndarray, exact: np.ndarray, planes: np.ndarray, real: np.ndarray, queries: list, k: int):
@@ -244,46 +245,51 @@ def search_block(ids: np.ndarray, exact: np.ndarray, planes: np.ndarray, real: n
         yield ids[rows[order]], score[order]
 
 
+def block_best(index: DataFrame, shared, k: int) -> DataFrame:
+    """q, query_id, vec_id and score of the k best rows that each task of the index has for each of a block of queries, a broadcast list (q, id, components)."""
+
+    def run(batches):
+        asked: dict[int, list] = {}
+        for q, i, x in shared.value:
+            asked.setdefault(len(x), []).append((q, i, quantise_wide(x) if is_wide(x[None, :])[0] else quantise(x)))
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, dims = np.frombuffer(r["ids"], np.int64), r["dims"]
+                if dims and not r["bits"]:
+                    exact = quantise_wide(np.frombuffer(r["exact"], "<f8").reshape(len(ids), dims))
+                else:
+                    exact = np.frombuffer(r["exact"], "<i4").reshape(len(ids), dims)
+                real = np.frombuffer(r["real"], np.uint64)
+                planes = np.frombuffer(r["slices"], np.uint64).reshape(dims, r["bits"], len(real))
+                mine = asked.get(dims, [])
+                for (q, i, _), (v, s) in zip(mine, search_block(ids, exact, planes, real, [x[1:] for x in mine], k), strict=True):
+                    if q in best:
+                        v, s = np.concatenate([best[q][1], v]), np.concatenate([best[q][2], s])
+                        order = np.lexsort((v, ~s))[:k]
+                        v, s = v[order], s[order]
+                    best[q] = (i, v, s)
+        for q, (i, v, s) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(v), q), np.full(len(v), i), v, s)], names=["q", "query_id", "vec_id", "score"])
+
+    return index.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
     index = build_index(vectors)
-    asked = materialise(_usable(queries).distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    asked = materialise(_usable(queries).distinct().withColumn("q", F.monotonically_increasing_id()), "numbered-queries")
+    fields = "vec_id long, embedding array<double>, q long"
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     blocks = max(1, -(-size["n"] * max(1, size["dims"] or 1) * 8 // QUERY_BYTES))
-    # tasks of a few index blocks each, by number: they are few rows but much work
-    tiles = index.repartition(max(1, min(index.count(), 100_000)))
-    path = fresh_path(spark, "topk")
+    path, laid = fresh_path(spark, "topk"), fresh_path(spark, "queries")
+    asked.withColumn("of", F.pmod(F.xxhash64("q"), F.lit(blocks))).repartition("of").write.partitionBy("of").parquet(laid)
+    by_block = spark.read.schema(f"{fields}, of long").parquet(laid)
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()  # a block of queries
+        rows = by_block.where(F.col("of") == b).collect()  # a block of queries
         shared = spark.sparkContext.broadcast([(r["q"], r["vec_id"], np.array(r["embedding"], float)) for r in rows])
-
-        def run(batches, shared=shared):
-            asked: dict[int, list] = {}
-            for q, i, x in shared.value:
-                asked.setdefault(len(x), []).append((q, i, quantise_wide(x) if is_wide(x[None, :])[0] else quantise(x)))
-            best: dict[int, tuple] = {}
-            for batch in batches:
-                for r in batch.to_pylist():
-                    ids, dims = np.frombuffer(r["ids"], np.int64), r["dims"]
-                    if dims and not r["bits"]:
-                        exact = quantise_wide(np.frombuffer(r["exact"], "<f8").reshape(len(ids), dims))
-                    else:
-                        exact = np.frombuffer(r["exact"], "<i4").reshape(len(ids), dims)
-                    real = np.frombuffer(r["real"], np.uint64)
-                    planes = np.frombuffer(r["slices"], np.uint64).reshape(dims, r["bits"], len(real))
-                    mine = asked.get(dims, [])
-                    for (q, i, _), (v, s) in zip(mine, search_block(ids, exact, planes, real, [x[1:] for x in mine], k), strict=True):
-                        if q in best:
-                            v, s = np.concatenate([best[q][1], v]), np.concatenate([best[q][2], s])
-                            order = np.lexsort((v, ~s))[:k]
-                            v, s = v[order], s[order]
-                        best[q] = (i, v, s)
-            for q, (i, v, s) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(v), q), np.full(len(v), i), v, s)], names=["q", "query_id", "vec_id", "score"])
-
-        part = tiles.mapInArrow(run, "q long, query_id long, vec_id long, score long")
-        ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")))
+        ranked = block_best(index, shared, k).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")))
         ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
         shared.destroy()
     return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)

@@ -47,6 +47,18 @@ def test_topk(spark, monkeypatch, dims, n, blocks):
     assert topk.search(none, none).count() == 0
 
 
+def test_blocks_of_queries_shuffle_nothing_of_the_index(spark):
+    """Three blocks of queries against one index: each reads it where it lies, and only lists of k rows meet."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(500)]
+    index = topk.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for _ in range(3):
+        shared = spark.sparkContext.broadcast([(0, 100, np.array([1.0, 2.0]))])
+        best = topk.block_best(index, shared, 10)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "FileScan parquet" in plan
+        assert best.count() <= 10 * index.rdd.getNumPartitions()
+
+
 @pytest.mark.parametrize("large", [70_000.0, 1e6, 3e7, 1e15, 1e300, 1.7e308])
 def test_topk_of_large_components(spark, large):
     r = np.random.default_rng(7)
@@ -84,6 +96,59 @@ def test_hosts_rules_and_reputation(spark):
     assert url_reputation.judge(pages.limit(0)).count() == 0
 
 
+def plain_beta_quantile(a, b, q):
+    """By summing the density over ten million rates."""
+    u = np.linspace(-60, 60, 2_000_001)
+    log = a * u - (a + b) * np.logaddexp(0, u)
+    mass = np.cumsum(np.exp(log - log.max()))
+    return float(1 / (1 + np.exp(-u[np.searchsorted(mass, q * mass[-1])])))
+
+
+def test_beta_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [(0.5, 0.5), (1.0, 1.0), (2.7, 0.3), (90.0, 10.0), (1.0, 1000.0), (5000.0, 3.0), (0.2, 40.0), (1e6, 1e6)]
+    got = spark.createDataFrame(pairs, "a double, b double").select("a", "b", url_reputation.beta_quantile(F.col("a"), F.col("b"), 0.05).alias("q")).collect()
+    for x in got:
+        assert x.q == pytest.approx(plain_beta_quantile(x.a, x.b, 0.05), rel=0.02, abs=2e-4), x
+
+
+def test_outcomes_are_those_of_pages_with_a_rule(spark):
+    """Hosts against a plain version; pages without a rule have no outcome, whatever their number."""
+    hosts = {"a.x.com": [1, 1, 1, None, None], "b.x.com": [None] * 50, "c.y.com": [0, 0, 0, 1], "d.z.org": [None], "e.z.org": [0] * 9}
+    rows = [(h, o) for h, os in hosts.items() for o in os]
+    got = {x.host: x for x in url_reputation.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert {h: (x.n, x.bad) for h, x in got.items()} == {h: (sum(o is not None for o in os), sum(o or 0 for o in os)) for h, os in hosts.items()}
+
+    def strength(groups):  # (n, bad, mean of the parent)
+        held = [g for g in groups if g[0]]
+        v = [m * (1 - m) for _, _, m in held]
+        slope = sum(x * (n - 1) for x, (n, _, _) in zip(v, held, strict=True))
+        r = min(0.999, max(0.001, (sum(n * (bad / n - m) ** 2 for n, bad, m in held) - sum(v)) / slope)) if slope else 0.5
+        return 1 / r - 1
+
+    count = lambda end: (sum(got[h].n for h in hosts if h.endswith(end)), sum(got[h].bad for h in hosts if h.endswith(end)))
+    n, bad = count("")
+    means = {"": (bad + 1) / (n + 2)}
+    for level, parent in ((("com", "org"), lambda k: ""), (("x.com", "y.com", "z.org"), lambda k: k[2:]), (tuple(hosts), lambda k: k[2:])):
+        kappa = strength([(*count(k), means[parent(k)]) for k in level])
+        means |= {k: (kappa * means[parent(k)] + count(k)[1]) / (kappa + count(k)[0]) for k in level}
+    assert {h: round(x.mean, 9) for h, x in got.items()} == {h: round(means[h], 9) for h in hosts}
+    assert got["b.x.com"].mean > got["d.z.org"].mean  # without outcomes of their own they follow their domains
+
+
+def test_pages_of_every_kind(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["http://a.com/en/1", "http://a.com/en/1", None, "http://a.com/" + "x" * 300_000, "http://" + "h" * 100_000 + ".net/de/" + "y" * 100_000]
+    pages = spark.createDataFrame([(None if i < 2 else i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "best", "n", "bad", "mean")})
+    got = url_reputation.judge(pages).collect()
+    assert len(got) == 5 and [x.rule for x in got if x.page_id is None] == ["com/en/"] * 2
+    assert {x.page_id: len(x.path) for x in got if x.page_id} == {2: 0, 3: 300_001, 4: 100_004} and {x.verdict for x in got if x.page_id == 4} == {"block"}
+    none = url_reputation.judge(pages, rules=())
+    assert {x.verdict for x in none.collect()} == {"allow"}
+
+
 def test_reputation_shrinks_towards_the_parents(spark):
     r = random.Random(1)
     rows = [("bad.one.com", 1)] * 60 + [("bad.one.com", 0)] * 2 + [("new.one.com", 1)] + [(f"h{i}.two.com", int(r.random() < 0.05)) for i in range(200) for _ in range(5)] + [("new.two.com", 1)]
