@@ -331,7 +331,8 @@ def vector_topk_batch(s, d):
     return vector.similarities(e, q, -1.0, 10, digits=7).select("query_id", "chunk_id", "score")
 
 
-@query(f"WITH {VEC.format(floor=0.2)} SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score FROM vec WHERE rank <= 10")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON true WHERE q.vec_id % 100 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, round(score, 6) AS score FROM n WHERE score >= 0.2 QUALIFY rank <= 10""")
 def vector_pivots(s, d):
     """The ten nearest of each hundredth vector, from vectors stored by pivot. Scores by rank: equal ones may come in any order of theirs."""
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
