@@ -171,3 +171,14 @@ def test_paging():
 
 def test_sha_pins():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_chunking_takes_time_in_proportion():
+    """20,000 sections of one document, and one section of 20,000 sentences beyond ASCII, within a second on any machine."""
+    import time
+
+    for made in ([{"index": i, "kind": "prose", "content": f"section {i} " + "x" * 60} for i in range(20_000)], [{"index": i, "kind": "prose", "content": "x"} for i in range(20_000)], [{"index": 0, "kind": "prose", "content": "Ünï 😀. " * 20_000}]):
+        began = time.perf_counter()
+        got = chunk_sections(made, ChunkingParams(4000, 400, 6000))
+        assert time.perf_counter() - began < 1 and got
+        assert [i for c in got for i in c["section_indexes"]] == [s["index"] for s in made] or len(made) == 1
