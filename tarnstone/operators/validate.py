@@ -10,12 +10,17 @@ from ..schemas import SECTION_KINDS
 from .parsers import CONTRACT_VERSION
 
 
+def blank(text: Column) -> Column:
+    """Null, or nothing but white space of any kind."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+
+
 def violations(doc: Column) -> Column:
     """Empty for a valid document; expressions only."""
     sections, artifacts = doc["sections"], doc["artifacts"]
     ids = F.transform(artifacts, lambda a: a["id"])
     version = F.when(doc["contract_version"] != CONTRACT_VERSION, F.lit("contract version differs"))
-    title = F.when(F.length(F.trim(F.coalesce(doc["title"], F.lit("")))) == 0, F.lit("title is empty"))
+    title = F.when(blank(doc["title"]), F.lit("title is empty"))
     repeated = F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.lit("artifact ids repeat"))
     forbidden = F.flatten(F.transform(artifacts, lambda a: F.transform(forbidden_html(a["content"]), lambda w: F.concat(F.lit("artifact "), a["id"], F.lit(": "), w))))
 
@@ -29,7 +34,7 @@ def violations(doc: Column) -> Column:
         return F.array_compact(
             F.array(
                 say(s["index"] != i, "index is out of order"),
-                say(F.length(F.trim(F.coalesce(s["content"], F.lit("")))) == 0, "content is empty"),
+                say(blank(s["content"]), "content is empty"),
                 say(~s["kind"].isin(*SECTION_KINDS), "kind is unknown"),
                 say(shown.isNull(), "anchor resolves to no artifact"),
                 say(shown.isNotNull() & ~F.coalesce(inside, F.lit(False)), "anchor range is invalid"),

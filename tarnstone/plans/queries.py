@@ -145,10 +145,61 @@ def display_artifacts(s, d):
     return found.select("page_id", "section_index", F.col("anchor.char_end").alias("anchor_end"), F.col("display_artifact.content").alias("html"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS failure, 0::INTEGER AS violations FROM pages WHERE regexp_matches(html, '(?s)<article>.*<h1>.*</h1>.*</article>')")
+@query("""
+    SELECT page_id, CASE WHEN page_id % 6 < 5 THEN 'malformed' END AS failure, (page_id % 6 < 5)::INTEGER + (page_id % 6 = 4)::INTEGER AS violations,
+           CASE page_id % 6 WHEN 0 THEN 'title is empty' WHEN 1 THEN 'section 0: index is out of order' WHEN 2 THEN 'section 0: kind is unknown' WHEN 3 THEN 'section 0: anchor range is invalid'
+                            WHEN 4 THEN 'section 0: content is empty; section 0: anchor resolves to no artifact' ELSE '' END AS said
+    FROM pages WHERE regexp_matches(html, '(?s)<article>.*<h1>.*</h1>.*</article>')""")
 def validated_documents(s, d):
-    p = _parsed_pages(s, d)
-    return p.select("page_id", F.col("p.failure.class").alias("failure"), F.size(violations(F.col("p.document"))).alias("violations"))
+    """Every page as its document, five sixths of them with something wrong: all that is wrong is said at once."""
+    doc, n = F.col("p.document"), F.col("page_id") % 6
+    each = lambda f: doc.withField("sections", F.transform(doc["sections"], f))
+    bad = (
+        F.when(n == 0, doc.withField("title", F.lit(" \t")))
+        .when(n == 1, each(lambda x: x.withField("index", x["index"] + 1)))
+        .when(n == 2, each(lambda x: x.withField("kind", F.lit("poem"))))
+        .when(n == 3, each(lambda x: x.withField("anchor", x["anchor"].withField("char_end", x["anchor"]["char_end"] + 1))))
+        .when(n == 4, each(lambda x: x.withField("content", F.lit(" ")).withField("anchor", x["anchor"].withField("artifact_id", F.lit("none")))))
+        .otherwise(doc)
+    )
+    found = _parsed_pages(s, d).where("p.document IS NOT NULL").select("page_id", violations(bad).alias("v"))
+    failure = F.when(F.size("v") > 0, reads.scrub_failure(F.lit("malformed"), F.lit("transform"), F.array_join("v", "; ")))
+    return found.select("page_id", failure["class"].alias("failure"), F.size("v").alias("violations"), F.array_join("v", "; ").alias("said"))
+
+
+#: A conversation as a document: each turn under a heading one level below the last, six levels deep at most, then from the top again.
+TURNS = "t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)"
+
+
+def _turns(s, d) -> DataFrame:
+    """conv_id and its turns in order, as (i, text)."""
+    turns = t(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))  # one conversation's
+    return turns.select("conv_id", F.transform("turns", lambda x, i: F.struct(i.alias("i"), F.coalesce(x["text"], F.lit("")).alias("text"))).alias("turns"))
+
+
+def _found_sections(parsed: DataFrame) -> DataFrame:
+    found = parsers.sections_of(materialise(parsed.select("conv_id", "p.document").where("document IS NOT NULL"), "parsed"), "conv_id")
+    return found.select("conv_id", "section_index", F.array_join("path", " > ").alias("path"), "kind", "heading", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"""WITH {TURNS} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER AS section_index, array_to_string(list_transform(range(i - i % 6, i + 1), lambda k: 'turn ' || k), ' > ') AS path,
+    'prose' AS kind, 'turn ' || i AS heading, sha256(content) AS content_sha256 FROM t WHERE content <> ''""")
+def markdown_sections(s, d):
+    """Headings of six levels in Markdown, one inside the other."""
+    lines = F.transform(F.col("turns"), lambda x: F.concat(F.repeat(F.lit("#"), (x["i"] % 6 + 1).cast("int")), F.lit(" turn "), x["i"].cast("string"), F.lit("\n"), F.regexp_replace(x["text"], r"\s+", " ")))
+    return _found_sections(_turns(s, d).select("conv_id", parsers.parse_column(F.lit("text/markdown"), F.array_join(lines, "\n\n").cast("binary")).alias("p")))
+
+
+@query(f"""WITH {TURNS} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER AS section_index, 'talk ' || conv_id || ' > ' || array_to_string(list_transform(range(i - i % 5, i + 1), lambda k: 'turn ' || k), ' > ') AS path,
+    CASE WHEN i % 5 = 4 THEN 'table' ELSE 'prose' END AS kind, 'turn ' || i AS heading, sha256(content) AS content_sha256 FROM t WHERE content <> ''""")
+def html_heading_sections(s, d):
+    """Headings from h1 to h6 in HTML, the deepest over tables; scripts and navigation in between leave no trace."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = lambda x: F.when(x["i"] % 5 == 4, F.concat(F.lit("<table><tr><td>"), safe(x["text"]), F.lit("</td></tr></table>"))).otherwise(F.concat(F.lit("<p>"), safe(x["text"]), F.lit("</p><script>var a = '<p>';</script><nav>menu</nav>")))
+    level = lambda x: (x["i"] % 5 + 2).cast("string")
+    parts = F.transform(F.col("turns"), lambda x: F.concat(F.lit("<h"), level(x), F.lit(">turn "), x["i"].cast("string"), F.lit("</h"), level(x), F.lit(">"), body(x)))
+    html = F.concat(F.lit("<!doctype html><body><h1>talk "), F.col("conv_id").cast("string"), F.lit("</h1>"), F.array_join(parts, ""), F.lit("</body>"))
+    return _found_sections(_turns(s, d).select("conv_id", parsers.parse_column(F.lit("text/html"), html.cast("binary")).alias("p")))
 
 
 @query(r"""
