@@ -129,14 +129,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2, exact: bool = False) -> DataFrame:
     """Links (u, v) between rows (nid, text) of Jaccard similarity ``least`` or more over ``words``-word shingles.
 
     The links connect what all such pairs of candidates would. Candidates meet at equal fingerprints of any table, and at
     the whole texts' balls. Where many meet, each is first compared with the CENTRES most central of them, which are those
     that meet most others in all tables together (copies of an original resemble it more than each other; ties fall
     differently in each table), and with the one before it in its part. Rows of groups that this leaves in several
-    components are then joined exactly, see :func:`links_across`.
+    components are then joined exactly, see :func:`links_across`; with ``exact`` all rows are, so that no pair is missed that meets in
+    no table, at the cost of a shuffle of all shingles.
     """
 
     def sketch(batches):
@@ -184,6 +185,10 @@ def similar_pairs(rows: DataFrame, words: int = 5, least: float = 0.8, radius: i
     first = compared(materialise(grouped.unionByName(balls).distinct(), "pairs"))
 
     roots = connected_components(first)
+    if exact:
+        at = rows.select("nid").join(roots, F.col("nid") == F.col("node"), "left").select("nid", F.coalesce("root", "nid").alias("root"))
+        pairs, found = links_across(rows.join(materialise(at, "roots"), "nid").select("nid", "root", "text"), words, least)
+        return first.unionByName(compared(pairs)).unionByName(found)
     crowded = met.where(F.col("n") > CENTRES + 1).select("nid", "t", "fp")  # smaller groups have had all their pairs compared
     crowded = materialise(crowded.join(roots, crowded["nid"] == roots["node"], "left").select("nid", "t", "fp", F.coalesce("root", "nid").alias("root")), "crowded")
     apart = crowded.groupBy("t", "fp").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("t", "fp")
@@ -316,13 +321,13 @@ def links_across(rows: DataFrame, words: int, least: float) -> tuple[DataFrame,
     return pairs, materialise(found, "found")
 
 
-def thin(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates, the one of the smallest doc_id; all columns as they are."""
+def thin(docs: DataFrame, words: int = 5, least: float = 0.8, exact: bool = False) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, the one of the smallest doc_id; all columns as they are. ``exact``: see :func:`similar_pairs`."""
     names = docs.columns
     filler = "_" * (1 + max(map(len, names)))  # a struct needs a field, of a name that no column has
     rest = F.struct(*(docs[c] for c in names if c not in ("doc_id", "text")), F.lit(None).cast("int").alias(filler))
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("nid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), rest.alias("rest")), "rows")
-    members = connected_components(materialise(similar_pairs(rows, words, least), "links"))
+    members = connected_components(materialise(similar_pairs(rows, words, least, exact=exact), "links"))
     named = members.join(rows.select("nid", "doc_id"), members["node"] == F.col("nid")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")).alias("member"))
     stays = named.groupBy("root").agg(F.min("member").alias("stays"))
     gone = members.join(stays, "root").where(F.col("node") != F.col("stays.node")).select(F.col("node").alias("nid"))

@@ -192,6 +192,36 @@ def test_near_duplicates_in_crowds_are_thinned(spark, monkeypatch, share, paired
     assert sorted(x.doc_id for x in kept) == brute_thin(rows)
 
 
+def test_exact_links_miss_no_pair(spark):
+    """At a similarity of 0.45 sampled fingerprints miss many pairs; exact links give the classes of brute force."""
+    r = random.Random(12)
+    made = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = made(120)
+        texts.append(base)
+        for _ in range(r.randrange(3)):
+            other = list(base)
+            for k in r.sample(range(120), r.randrange(2, 18)):
+                other[k] = f"x{r.randrange(5000)}"
+            texts.append(other)
+    texts += [[], [], ["one"], ["one", "two"], ["one"]]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) >= 0.45:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    stays = lambda exact: sorted(x.doc_id for x in simhash.thin(docs, 5, 0.45, exact).collect())
+    assert stays(True) == sorted({find(i) for i in range(len(texts))}) and len(stays(False)) > len(stays(True))
+
+
 def test_overlaps():
     r = np.random.default_rng(3)
     for density in (0.01, 0.3):
