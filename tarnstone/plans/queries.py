@@ -294,6 +294,12 @@ def token_postings(s, d):
     return fts.postings(_chunks(s, d), "simple").groupBy("lexeme").agg(F.countDistinct("chunk_id").alias("docs"), F.count("*").alias("occurrences"))
 
 
+@query(f"WITH {TOKENS}, e AS (SELECT doc_id, unnest(w) AS lexeme FROM toks) SELECT lexeme, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM e GROUP BY 1")
+def fts_index(s, d):
+    """The same from the stored index, which is written here unless it is there: searches read it."""
+    return _index(s, d).groupBy("lexeme").agg(F.countDistinct("chunk_id").alias("docs"), F.count("*").alias("occurrences"))
+
+
 @query(f"WITH {TOKENS} SELECT doc_id FROM toks WHERE list_contains(w, 'the') AND list_contains(w, 'with')")
 def fts_and_match(s, d):
     return _match(s, d, "the with")
