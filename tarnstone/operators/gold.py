@@ -62,13 +62,19 @@ def default_split(items: DataFrame, created: str, item: str, *corpus: str) -> Da
     return nth.withColumn("split", F.when(F.col("nth") % 4 == 0, "heldout").otherwise("tuning")).drop("nth")
 
 
+def unresolved(questions: DataFrame, current_chunks: DataFrame) -> DataFrame:
+    """item_id, nth and chunk_id of what ``questions`` (item_id, chunk_ids) name that is no current chunk: each such question is refused."""
+    ids = questions.select("item_id", F.posexplode("chunk_ids").alias("nth", "chunk_id"))
+    return ids.join(current_chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select("item_id", "nth", "chunk_id")
+
+
 def resolve_expected(questions: DataFrame, current_chunks: DataFrame) -> DataFrame:
     """``questions`` (item_id, chunk_ids and more) with ``expected``; refuses ids that are not current."""
-    ids = questions.select("item_id", F.posexplode("chunk_ids").alias("nth", "chunk_id"))
-    found = ids.join(current_chunks.select(F.col("id").alias("chunk_id"), "source_id", F.sha2("content", 256).alias("content_sha256")), "chunk_id", "left")
-    missing = [r["chunk_id"] for r in found.where("source_id IS NULL").select("chunk_id").limit(5).collect()]
+    missing = [r["chunk_id"] for r in unresolved(questions, current_chunks).limit(5).collect()]
     if missing:
         raise EngineError("validation_error", f"not among the current chunks: {missing}", "gold")
+    ids = questions.select("item_id", F.posexplode("chunk_ids").alias("nth", "chunk_id"))
+    found = ids.join(current_chunks.select(F.col("id").alias("chunk_id"), "source_id", F.sha2("content", 256).alias("content_sha256")), "chunk_id")
     entry = F.struct("nth", F.struct("chunk_id", "source_id", "content_sha256").alias("e"))
     listed = found.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("expected"))
     return questions.join(listed, "item_id").drop("chunk_ids")

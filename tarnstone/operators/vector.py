@@ -34,6 +34,16 @@ def check_stamp(chunks: DataFrame, stamp: dict) -> bool:
     return bool(seen)
 
 
+def stamp_refusals(chunks: DataFrame, stamp: dict, *by: str) -> DataFrame:
+    """What :func:`check_stamp` says of many corpora at once: ``by``, embedded (how many rows) and refusal, null where a question of that stamp may be asked."""
+    held = chunks.where("stamp IS NOT NULL")
+    other = F.to_json(F.col("stamp"))
+    asked = F.to_json(F.struct(*(F.lit(stamp[k]).cast(t).alias(k) for k, t in (("provider", "string"), ("model", "string"), ("dimensions", "int")))))
+    differs = F.min(F.when(other != asked, other))  # the first of those that differ
+    said = F.when(differs.isNotNull(), F.concat(F.lit("the corpus is embedded with "), differs, F.lit(", the query with "), asked))
+    return held.groupBy(*by).agg(F.count("*").alias("embedded"), said.alias("refusal"))
+
+
 def similarities(chunks: DataFrame, queries: DataFrame, floor: float, depth: int, digits: int | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's ``depth`` best rows at or above ``floor``; scores are rounded first, if ``digits`` are given.
 

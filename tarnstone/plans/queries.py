@@ -478,6 +478,23 @@ def hybrid_search(s, d):
     return found.select("query_id", "rank", "chunk_id", "content_sha256", F.round("fts_score", 9).alias("fts_score"), F.round("vector_score", 7).alias("vector_score"), F.round("fused_score", 12).alias("fused_score"))
 
 
+@query(r"""WITH q AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS x FROM documents)
+    SELECT doc_id AS query_id, CASE WHEN length(x) NOT BETWEEN 1 AND 1024 THEN 'a query must have 1 to 1024 characters' END AS refusal FROM q""")
+def question_refusals(s, d):
+    """Every document as a question: those that are too long are refused, row by row."""
+    asked = t(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return search.check_queries(s, asked).select("query_id", "refusal")
+
+
+@query("""SELECT label, count(*) AS embedded, CASE WHEN label % 3 = 1 THEN 'the corpus is embedded with {"provider":"p","model":"older","dimensions":' || max(len(embedding)) || '}, the query with {"provider":"p","model":"m","dimensions":64}' END AS refusal
+    FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1""")
+def stamp_refusals(s, d):
+    """Labels as corpora, a third of which have been embedded by another model: what each of them says to a question."""
+    model = F.when((F.col("label") % 3 == 1) & (F.col("vec_id") % 2 == 0), "older").otherwise("m")
+    stamped = t(s, d, "embeddings").where("embedding IS NOT NULL").select("label", F.struct(F.lit("p").alias("provider"), model.alias("model"), F.size("embedding").alias("dimensions")).alias("stamp"))
+    return vector.stamp_refusals(stamped, {"provider": "p", "model": "m", "dimensions": 64}, "label").select("label", "embedded", "refusal")
+
+
 # --- generations, labels, reads -----------------------------------------------------------------
 
 SOURCES = "src AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS current_generation FROM documents)"
@@ -567,6 +584,14 @@ def hash_liveness(s, d):
     return gold.liveness(_labels(s, d), _current(s, d))
 
 
+@query(f"WITH {CURRENT}, n AS (SELECT doc_id // 5 AS item_id, (row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) - 1)::INTEGER AS nth, sha256(text) AS chunk_id FROM documents) SELECT item_id, nth, chunk_id FROM n WHERE NOT EXISTS (SELECT 1 FROM cur WHERE sha256(cur.content) = n.chunk_id)")
+def unresolved_labels(s, d):
+    """Questions that name five passages by id each, some of them rewritten since: what refuses the question, and where it stands."""
+    named = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"])
+    questions = t(s, d, "documents").groupBy(F.floor(F.col("doc_id") / 5).cast("long").alias("item_id")).agg(named.alias("chunk_ids"))  # five at most
+    return gold.unresolved(questions, _current(s, d).select(F.sha2("content", 256).alias("id")))
+
+
 @query("SELECT doc_id AS item_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) % 4 = 0 THEN 'heldout' ELSE 'tuning' END AS split FROM documents")
 def gold_split_every_4th(s, d):
     items = t(s, d, "documents").select(F.col("doc_id").alias("item_id"), "lang")

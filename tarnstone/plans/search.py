@@ -32,7 +32,7 @@ def check_queries(spark: SparkSession, queries: dict | DataFrame) -> DataFrame:
         kind = "bigint" if all(isinstance(q, int) for q in queries) else "string"
         table = spark.createDataFrame([(k, q.strip()) for k, q in queries.items()], f"query_id {kind}, query string")
     else:
-        table = queries.withColumn("query", F.trim("query"))
+        table = queries.withColumn("query", F.regexp_replace("query", r"(?U)^\s+|\s+$", ""))
     checked = table.withColumn("refusal", refusal(F.col("query")))
     if isinstance(queries, dict) and queries and not any(1 <= len(q.strip()) <= MAX_QUERY_CHARS for q in queries.values()):
         raise EngineError("validation_error", f"query {next(iter(queries))} must have 1 to {MAX_QUERY_CHARS} characters")
