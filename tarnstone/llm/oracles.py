@@ -110,17 +110,17 @@ def op11_target_resampling(buckets: int = 10_000, percent: int = 5, least: int =
 
 def op12_suffix_dedup(width: int = 50) -> str:
     return f"""
-        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, hex(coalesce(text, '')) AS x FROM documents),
-             h AS MATERIALIZED (SELECT i, doc_id, unnest(range(0, len(x) // 2 - {width} + 1)) AS pos, unnest(list_transform(range(0, len(x) // 2 - {width} + 1), lambda a: hash(substr(x, 2 * a + 1, {2 * width})))) AS k FROM d),
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+             h AS MATERIALIZED (SELECT i, doc_id, unnest(range(0, octet_length(x) - {width} + 1)) AS pos, unnest(list_transform(range(0, octet_length(x) - {width} + 1), lambda a: hash(x[a + 1:a + {width}]))) AS k FROM d),
              m AS (SELECT k FROM h GROUP BY 1 HAVING count(*) > 1),
-             p AS MATERIALIZED (SELECT i, h.doc_id, pos, substr(x, 2 * pos + 1, {2 * width}) AS s FROM h JOIN m USING (k) JOIN d USING (i)),
+             p AS MATERIALIZED (SELECT i, h.doc_id, pos, x[pos + 1:pos + {width}] AS s FROM h JOIN m USING (k) JOIN d USING (i)),
              f AS (SELECT s, min(doc_id) AS first_id FROM p GROUP BY 1 HAVING count(*) > 1),
              q AS (SELECT i, pos FROM p JOIN f USING (s) WHERE coalesce(doc_id > first_id, first_id IS NOT NULL)),
              e AS (SELECT i, pos, coalesce(pos > lag(pos) OVER (PARTITION BY i ORDER BY pos) + {width}, true)::INTEGER AS fresh FROM q),
              r AS (SELECT i, min(pos) AS lo, max(pos) + {width} AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY i ORDER BY pos) AS k FROM e) GROUP BY i, k),
              g AS (SELECT i, list(lo ORDER BY lo) AS los, list(hi ORDER BY hi) AS his, sum(hi - lo)::BIGINT AS n_removed FROM r GROUP BY 1)
-        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
-               sha256(unhex(CASE WHEN los IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(los) + 1), lambda k: substr(x, 2 * CASE WHEN k = 0 THEN 0 ELSE his[k] END + 1, 2 * (CASE WHEN k = len(los) THEN len(x) // 2 ELSE los[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE his[k] END))), '') END)) AS kept_sha256
+        SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
+               sha256(CASE WHEN los IS NULL THEN x ELSE unhex(array_to_string(list_transform(range(0, len(los) + 1), lambda k: hex(x[CASE WHEN k = 0 THEN 0 ELSE his[k] END + 1:CASE WHEN k = len(los) THEN octet_length(x) ELSE los[k + 1] END])), '')) END) AS kept_sha256
         FROM d LEFT JOIN g USING (i)"""
 
 
