@@ -3,34 +3,34 @@
 Two generative models over hashed n-grams, one of target text (labelled as good) and one of the raw corpus, give
 every text a log importance weight: the sum over its n-grams of log p_target - log p_raw. Texts are drawn
 without replacement in proportion to their weights by the Gumbel top-k trick: weight plus Gumbel noise, of
-which the largest keys stay. The noise is a hash of doc_id and text, so reruns agree.
+which the largest keys stay. The noise is a hash of doc_id and text, so reruns agree. A sum grows with its text, so
+texts are drawn within strata of similar length (numbers of n-grams between powers of two): a long one competes with long ones.
 
 An n-gram is a word, a pair of words, or a triple of word shapes; words are runs of letters and digits or of one
-punctuation character, and a shape tells case, length and whether a word repeats one of the last few. A text's
-weight is its mean over n-grams times ``SHARPNESS``, so that long texts don't outweigh short ones by length alone.
-Long texts are read in stretches that overlap by a few runs, so memory is bounded by ``SLICE``, not by a text.
+punctuation character, and a shape tells case, length and whether a word repeats one of the last few; a run of over ``RUN`` bytes
+counts as several, each but the last of that length. Long texts are read in stretches that end between runs and carry the last few
+runs along, so memory is bounded by ``SLICE``, not by a text, and every text has the same n-grams in one stretch or many.
 
 The raw model counts every text; the target model is fitted on ``SAMPLE`` labelled texts on average, drawn by
-a hash. How many texts stay is a share of all; unless given, it is the share of texts whose weight is above the
-cut that best separates such a sample of labelled texts. The k-th largest key is found exactly by counting keys
+a hash. How many texts of a stratum stay is a share of them; unless given, it is the share of its texts whose weight is above the
+cut that best separates such a sample of labelled texts. The k-th largest key of each stratum is found exactly by counting keys
 digit by digit.
 
 Defined cases: null text is empty; a text without n-grams has weight 0; rows that repeat doc_id and text have the
 same key and fare alike (so ties at the threshold all stay); rows of doc_ids that repeat in the labels count once
 for each label, and of rows with one labelled doc_id and several texts the smallest weight serves to find the cut; without good
-labels the target is the raw model; a run of over ``SLICE`` bytes may count as several; an empty table gives an empty result. Other
+labels the target is the raw model; an empty table gives an empty result. Other
 columns are ignored by :func:`weigh` and kept by :func:`resample`.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -39,9 +39,10 @@ from .common import materialise, slices
 BUCKETS = 1 << 16
 #: Labelled texts that the target model is fitted on.
 SAMPLE = 20_000
-SHARPNESS = 40.0
 #: Bytes handled at a time.
 SLICE = 1_000_000
+#: Bytes of a run at most.
+RUN = 1 << 16
 #: Runs before an n-gram that its hash depends on: two of its own, and four in which a word may repeat.
 CONTEXT = 6
 #: Keys are compared as integers of so many units per nat.
@@ -70,6 +71,17 @@ def _classes() -> np.ndarray:
     return _tables["class"]
 
 
+def _split(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of runs, those of over RUN bytes cut into several."""
+    size = stop - start
+    if size.max(initial=0) <= RUN:
+        return start, stop
+    parts = -(-size // RUN)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(start, parts) + RUN * nth
+    return start, np.minimum(start + RUN, np.repeat(stop, parts))
+
+
 def features(texts: list[bytes], context: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every n-gram of the texts, but for those that end within a text's first ``context`` bytes."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -77,6 +89,7 @@ def features(texts: list[bytes], context: list[int] | None = None) -> tuple[np.n
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     start = edge[kind[edge] != 0]
     stop = np.append(edge, len(data))[np.searchsorted(edge, start, side="right")]
+    start, stop = _split(start, stop)
     p, q = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         run = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)])])
@@ -103,24 +116,22 @@ def features(texts: list[bytes], context: list[int] | None = None) -> tuple[np.n
     return buckets.astype(np.int64), np.concatenate([of[new], of[:-1][same2], of[:-2][same3]])
 
 
-_SPACES = re.compile(rb"[\x09\x0B-\x0D\x20]+")
-
-
 def stretches(text: bytes):
-    """(stretch, bytes of context at its begin) of a text, each of about SLICE bytes, cut before white space where there is any."""
-    at, held = 0, b""
+    """(stretch, bytes of context at its begin) of a text, each of about SLICE bytes, cut between runs."""
+    at, held, most = 0, [], max(SLICE, RUN + 1)
     while at < len(text):
-        end = min(at + SLICE, len(text))
-        if end < len(text):
-            cut = max(text.rfind(c, at + 1, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            while cut > at and text[cut] == text[cut - 1] == 10:  # line feeds in a row are one run
-                cut -= 1
-            end = cut if cut > at else end
-        yield held + text[at:end], len(held)
-        # the last runs are among the last words, of which each has one run at least
-        words = _SPACES.split((held + text[at:end])[-SLICE:])
-        held = b" ".join(words[-CONTEXT - 1 :]) if text[end : end + 1].isspace() else b""
-        at = end
+        data = np.frombuffer(text, np.uint8, min(most, len(text) - at), at)
+        kind = _classes()[data]
+        edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+        end = len(data)
+        if at + end < len(text):  # what follows may belong to the last run; a run that is too long is cut where it counts as several
+            end = int(edge[-1]) + (end - int(edge[-1])) // RUN * RUN
+        before = b"".join(x + b" " for x in held)
+        yield before + text[at : at + end], len(before)
+        start, stop = _split(*(x[kind[edge] != 0] for x in (edge, np.append(edge[1:], len(data)))))
+        inside = start < end
+        held = [*held, *(text[at + i : at + j] for i, j in zip(start[inside][-CONTEXT:].tolist(), stop[inside][-CONTEXT:].tolist()))][-CONTEXT:]
+        at += end
 
 
 def _slices(batch: pa.RecordBatch, column: int):
@@ -182,43 +193,54 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return -math.inf if at == 0 else math.inf if at == len(w) else float((w[at - 1] + w[at]) / 2)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> DataFrame:
-    """doc_id, text_hash, log_weight and key (weight plus Gumbel noise, in UNITS) of every row of ``docs`` (doc_id, text)."""
+def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """doc_id, text_hash, stratum, log_weight and key (weight plus Gumbel noise, in UNITS) of every row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def run(batches):
         for batch in batches:
-            sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for lo, hi, buckets, of in _slices(batch, 2):  # a long text comes in several parts
                 counts[lo:hi] += np.bincount(of, minlength=hi - lo)
                 sums[lo:hi] += np.bincount(of, weights=shared.value[buckets], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums / np.maximum(counts, 1))], names=["doc_id", "text_hash", "mean"])
+            strata = np.frexp(counts)[1].astype(np.int32)  # how many binary digits
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(strata), pa.array(sums)], names=["doc_id", "text_hash", "stratum", "total"])
 
-    scored = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, mean double")
+    scored = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, stratum int, total double")
     uniform = (F.pmod(F.xxhash64(F.lit(42), "doc_id", "text_hash"), F.lit(1 << 40)) + 0.5) / (1 << 40)
     noise = -F.log(-F.log(uniform))
-    weight = F.round(sharpness * F.col("mean"), 9)
-    return scored.select("doc_id", "text_hash", weight.alias("log_weight"), F.floor((weight + noise) * UNITS).alias("key"))
+    weight = F.round("total", 9)
+    return scored.select("doc_id", "text_hash", "stratum", weight.alias("log_weight"), F.floor((weight + noise) * UNITS).alias("key"))
+
+
+def _by_stratum(values: dict[int, int]) -> Column:
+    """The stratum's value, null where there is none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for s, v in values.items() for x in (s, v))), F.col("stratum")) if values else F.lit(None)
+
+
+def kth_by_stratum(keys: DataFrame, ks: dict[int, int]) -> dict[int, int]:
+    """Of each stratum s with so many rows, the ks[s]-th largest of the long column ``key``, by counting 12 bits at a time from the top."""
+    left = {s: k for s, k in ks.items() if k > 0}
+    value = dict.fromkeys(left, 0)  # leading digits
+    digits = keys.select("stratum", (F.col("key") + F.lit(1 << 59)).alias("u"))  # keys are far smaller: a text holds 2 ** 33 n-grams at most
+    for shift in (48, 36, 24, 12, 0):
+        here = digits.where(F.shiftright("u", shift + 12) == _by_stratum(value))
+        found = here.groupBy("stratum", F.shiftright("u", shift).bitwiseAND(F.lit(0xFFF)).alias("d")).agg(F.count("*").alias("n")).collect()  # 4,096 rows a stratum at most
+        settled = set()
+        for r in sorted(found, key=lambda r: -r["d"]):
+            s = r["stratum"]
+            if s not in settled and r["n"] >= left[s]:
+                value[s] = value[s] << 12 | r["d"]
+                settled.add(s)
+            elif s not in settled:
+                left[s] -= r["n"]
+        value = {s: v for s, v in value.items() if s in settled}
+    return {s: v - (1 << 59) for s, v in value.items()}
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
-    """The k-th largest of the long column ``key``, by counting 16 bits at a time from the top."""
-    if k < 1:
-        return None
-    value, left = 0, k
-    digits = keys.select((F.col("key") + F.lit(1 << 47)).alias("u"))  # keys are far smaller than 2 ** 47
-    for shift in (32, 16, 0):
-        at = F.shiftright("u", shift)
-        here = digits if shift == 32 else digits.where(F.shiftright("u", shift + 16) == F.lit(value))
-        counts = sorted(here.groupBy(at.bitwiseAND(F.lit(0xFFFF)).alias("d")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["d"])  # 65,536 rows at most
-        for r in counts:
-            if r["n"] >= left:
-                value = value << 16 | r["d"]
-                break
-            left -= r["n"]
-        else:
-            return None
-    return value - (1 << 47)
+    """The k-th largest of the long column ``key``."""
+    return kth_by_stratum(keys.select(F.lit(0).alias("stratum"), "key"), {0: k}).get(0)
 
 
 def choose(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
@@ -227,11 +249,11 @@ def choose(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
     scored = materialise(weigh(docs, fit(docs, drawn)), "weights")
     if share is None:
         seen = scored.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy("labelled", "quality").agg(F.min("log_weight").alias("w")).select("w", "quality").toPandas()  # the sample
-        k = scored.where(F.col("log_weight") >= best_cut(seen["w"].to_numpy(float), (seen["quality"] == 1).to_numpy(bool))).count()
+        stay = F.count_if(F.col("log_weight") >= best_cut(seen["w"].to_numpy(float), (seen["quality"] == 1).to_numpy(bool)))
     else:
-        k = math.ceil(scored.count() * share)
-    least = kth_largest(scored, k)
-    kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+        stay = F.ceil(F.count("*") * F.lit(float(share)))
+    ks = {r["stratum"]: r["k"] for r in scored.groupBy("stratum").agg(stay.alias("k")).collect()}  # a few dozen rows
+    kept = F.coalesce(F.col("key") >= _by_stratum(kth_by_stratum(scored, ks)), F.lit(False))
     return scored.select("doc_id", "text_hash", "log_weight", kept.alias("kept"))
 
 

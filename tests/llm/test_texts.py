@@ -483,7 +483,9 @@ def test_long_texts_come_in_stretches(monkeypatch):
 
     r = random.Random(12)
     text = "".join(r.choice(["ab", "Cd", "é", " ", " ", "\n", "\n\n", ". ", "!!", "\t", "x1"]) for _ in range(900))
-    for length in (10**6, 61, 200):
+    text += "L" * 300 + "-" * 41 + "l" * 40 + " " * 90 + "é" * 90 + "end"  # runs that count as several
+    monkeypatch.setattr(quality, "RUN", 40)
+    for length in (10**6, 61, 200, 7):
         monkeypatch.setattr(lang_id, "SLICE", length)
         monkeypatch.setattr(quality, "SLICE", length)
         parts = list(lang_id.read(pa.array(["ab cd", text, ""])))
@@ -492,6 +494,7 @@ def test_long_texts_come_in_stretches(monkeypatch):
         ngrams = sorted((lo + k, b) for lo, _, buckets, of in parts for k, b in zip(of.tolist(), buckets.tolist(), strict=True))
         if length == 10**6:
             first = found, ngrams
+            assert len(ngrams) == len(brute_ngrams("ab cd")) + len(brute_ngrams(text))
         assert (found, ngrams) == first and len(found) == len(brute_grams("ab cd")) + len(brute_grams(text))
 
 
@@ -510,7 +513,7 @@ def brute_ngrams(text):
     for i in range(1, len(data) + 1):
         if i == len(data) or kind(data[i]) != kind(data[at]):
             if kind(data[at]):
-                runs.append(data[at:i])
+                runs += [data[j : min(j + quality.RUN, i)] for j in range(at, i, quality.RUN)]
             at = i
     upper = lambda c: 65 <= c <= 90
 
@@ -544,7 +547,7 @@ def plain_quality(rows, label, df):
         if label.get(i) == 1:
             target.update(buckets(t))
     smooth = lambda c, g: math.log((c[g] + 0.5) / (c.total() + 0.5 * quality.BUCKETS))
-    weight = {(i, t): round(quality.SHARPNESS * sum(smooth(target, g) - smooth(raw, g) for g in buckets(t)) / max(1, len(buckets(t))), 9) for i, t, *_ in rows}
+    weight = {(i, t): round(sum(smooth(target, g) - smooth(raw, g) for g in buckets(t)), 9) for i, t, *_ in rows}
     noise = {(x.i, x.t): -math.log(-math.log((x.h % (1 << 40) + 0.5) / (1 << 40))) for x in df.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("h")).collect()}
     labelled = {}
     for i, t, *_ in rows:
@@ -554,10 +557,15 @@ def plain_quality(rows, label, df):
     middles = [-math.inf, *((a + b) / 2 for a, b in zip(cuts, cuts[1:])), math.inf]
     good, bad = ([w for i, w in labelled.items() if label[i] == q] for q in (1, 0))
     cut = min(middles, key=lambda c: sum(w < c for w in good) / len(good) + sum(w >= c for w in bad) / len(bad))
-    k = sum(weight[i, t] >= cut for i, t, *_ in rows)
-    keys = [math.floor((weight[i, t] + noise[i, t]) * quality.UNITS) for i, t, *_ in rows]
-    edge = sorted(keys, reverse=True)[k - 1]
-    return weight, {(i, t) for (i, t, *_), key in zip(rows, keys, strict=True) if key >= edge}
+    strata = {}
+    for i, t, *_ in rows:
+        strata.setdefault(len(brute_ngrams(t)).bit_length(), []).append((math.floor((weight[i, t] + noise[i, t]) * quality.UNITS), weight[i, t] >= cut, (i, t)))
+    stay = set()
+    for members in strata.values():
+        edge = sorted((key for key, *_ in members), reverse=True)
+        k = sum(above for _, above, _ in members)
+        stay |= {row for key, _, row in members if k and key >= edge[k - 1]}
+    return weight, stay
 
 
 def test_quality_against_a_plain_model(spark):
@@ -585,3 +593,15 @@ def test_kth_largest(spark):
     for k in (1, 17, 175, 350):
         assert quality.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
     assert quality.kth_largest(df, 351) is None and quality.kth_largest(df, 0) is None
+
+
+def test_quality_draws_within_strata(spark):
+    """A share of each stratum stays, long texts or short; tables without rows give none."""
+    rows = [(i, "word " * (1 << i % 6), 1) for i in range(300)]
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows[:30]], "doc_id long, quality int")
+    kept = [x.doc_id for x in quality.choose(df, labels, share=0.5).collect() if x.kept]
+    assert [sum(i % 6 == n for i in kept) for n in range(6)] == [25] * 6
+    assert sorted(x.doc_id for x in quality.resample(df, labels, share=0.5).collect()) == sorted(kept)
+    assert quality.resample(df, labels, share=0.0).count() == 0 and quality.resample(df, labels.limit(0)).count() == 300
+    assert quality.choose(df.limit(0), labels).count() == 0
