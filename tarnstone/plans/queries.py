@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..functions.embedding import embed_column
 from ..operators import admit, chunking, fts, fusion, generations, gold, jobs, metrics, parsers, reads, vector
 from ..operators.validate import violations
-from ..shared import delete, fresh_path, materialise
+from ..shared import delete, fresh_path, materialise, spread
 from ..sources import buckets, sinks
 from ..streaming import pipeline
 from . import search
@@ -355,7 +355,7 @@ TXT = ", txt AS (SELECT query_id, chunk_id, s AS score, row_number() OVER (PARTI
 def _rounded(s, d, floor: float) -> DataFrame:
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return vector.similarities_sql(e, q, floor, 50, digits=7)
+    return vector.similarities(spread(e), q, floor, 50, digits=7)
 
 
 def _text_signal(s, d, depth: int = 50) -> DataFrame:

@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnstone import errors
 from tarnstone.config import RetrievalConfig
 from tarnstone.functions.embedding import STAMP, deterministic_embedding
-from tarnstone.operators import fts, vector
+from tarnstone.operators import fts, fusion, vector
 from tarnstone.plans import queries, search
 
 CHUNKS = "id string, source_id string, content string, embedding array<float>, stamp struct<provider:string,model:string,dimensions:int>"
@@ -149,3 +150,47 @@ def test_queries_over_an_empty_table_and_over_ties(spark, tmp_path):
     got = rows(queries.vector_topk_batch(spark, d), "query_id", "chunk_id")
     assert got == [(q, i) for q in (0, 100, 200) for i in range(10)]
     assert rows(queries.vector_readback(spark, d), "query_id", "id") == [(0, 0), (100, 0), (200, 0)]
+
+
+@pytest.mark.parametrize("digits", [None, 2, 12])
+def test_best_rows_so_far_against_all_at_once(digits):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng, depth, floor = np.random.default_rng(7), 5, -0.5
+    scores = np.round(rng.uniform(-1, 1, (900, 4)), 3)  # many ties, and every tenth score halfway between two of two digits
+    scores[rng.random(900) < 0.4] = 0.985
+    fine, ids = rng.random(900) < 0.9, [f"c{i}" for i in rng.permutation(900)]
+    best, most = vector._Best(4, floor, depth, digits), 0
+    for at in range(0, 900, 45):
+        best.take(scores[at : at + 45], fine[at : at + 45], pa.array(ids[at : at + 45]))
+        most = max(most, best.held)
+    assert most <= 4 * depth if digits != 2 else best.held < 4 * 900
+    rounded = lambda x: x if digits is None else float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    got = sorted((q, -rounded(x), c) for qs, cs, xs in best.lists() for q, c, x in zip(qs.to_pylist(), cs.to_pylist(), xs.to_pylist(), strict=True))
+    for q in range(4):
+        want = sorted((-rounded(scores[i, q]), ids[i]) for i in range(900) if fine[i] and rounded(scores[i, q]) >= floor)[:depth]
+        assert [x[1:] for x in got if x[0] == q and -x[1] >= floor][:depth] == want
+
+
+def test_equal_vectors_are_cut_within_a_task(spark):
+    """All scores tie: each task sends a query's list, not all rows."""
+    rows = spark.range(0, 4000, 1, 2).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    asked = spark.createDataFrame([(1, [2.0, 4.0]), (2, [-1.0, -2.0])], "query_id long, embedding array<double>")
+    sent = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vector, "ranked", lambda df, depth: sent.append(df) or fusion.ranked(df, depth))
+        found = vector.similarities(rows, asked, 0.2, 10, digits=7).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in found) == [(1, i, i + 1) for i in range(10)]
+    assert sent[0].count() <= 2 * 10
+
+
+#: Queries whose similarities are products of blocks, not expressions row by row.
+BY_BLOCKS = ["vector_floor"]
+
+
+@pytest.mark.parametrize("name", BY_BLOCKS)
+def test_similarities_are_products_of_blocks(spark, name):
+    from tarnstone.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
