@@ -359,18 +359,20 @@ def _rounded(s, d, floor: float) -> DataFrame:
 
 
 def _text_signal(s, d, depth: int = 50) -> DataFrame:
-    """The signal depends on label and id modulo 1,000 only, so ``depth`` rows of each such bucket hold every question's best; a question looks
-    into its buckets from the best down, as many as hold ``depth`` rows for sure."""
+    """The signal depends on label and id modulo 1,000 only, so ``depth`` rows of each such bucket hold every question's best. Questions of one label
+    and offset share their candidates: those of the buckets from the best down, as far as ``depth`` rows need."""
     e = t(s, d, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL")
     own = F.col("vec_id") * 7919 % 1000
     nth = F.row_number().over(Window.partitionBy("label", "residue").orderBy("vec_id"))
     held = materialise(e.select("vec_id", "label", own.alias("residue")).withColumn("nth", nth).where(F.col("nth") <= depth), "buckets")
-    sizes = held.groupBy("label", "residue").agg(F.count("*").alias("n")).agg(F.count("*").alias("buckets"), F.min("n").alias("least")).first()
-    labels = held.select("label").distinct().count()
-    looks = -(-depth // sizes["least"]) if sizes["buckets"] == 1000 * labels and labels else 1000
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.lit(999), F.lit(1000 - looks), F.lit(-1))).alias("score"))
-    at = q.withColumn("residue", F.pmod(F.col("score") - F.col("query_id") * 104729, F.lit(1000)))
-    found = held.join(at, ["label", "residue"]).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score").cast("double").alias("score"))
+    sizes = held.groupBy("label", "residue").agg(F.count("*").alias("n"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.pmod(F.col("vec_id") * 104729, F.lit(1000)).alias("offset"))
+    looks = q.select("label", "offset").distinct().withColumn("score", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn("residue", F.pmod(F.col("score") - F.col("offset"), F.lit(1000)))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("label", "offset").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = looks.join(sizes, ["label", "residue"]).withColumn("above", above).where(F.col("above") < depth).select("label", "offset", "score", "residue")
+    best = Window.partitionBy("label", "offset").orderBy(F.col("score").desc(), "vec_id")
+    shared = held.join(needed, ["label", "residue"]).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= depth)
+    found = q.join(shared, ["label", "offset"]).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score").cast("double").alias("score"))
     return fusion.ranked(found, depth)
 
 

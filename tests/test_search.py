@@ -185,7 +185,7 @@ def test_equal_vectors_are_cut_within_a_task(spark):
 
 
 #: Queries whose similarities are products of blocks, not expressions row by row.
-BY_BLOCKS = ["vector_floor"]
+BY_BLOCKS = ["vector_floor", "fuse_missing_signal"]
 
 
 @pytest.mark.parametrize("name", BY_BLOCKS)
@@ -194,3 +194,16 @@ def test_similarities_are_products_of_blocks(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_text_signal_looks_at_few_rows_where_labels_follow_ids(spark, tmp_path, monkeypatch):
+    """Each label has a tenth of the residues then; questions still meet no more than their best."""
+    spark.range(20_000).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    ranked, seen = fusion.ranked, []
+    monkeypatch.setattr(fusion, "ranked", lambda df, depth: seen.append(df) or ranked(df, depth))
+    got = rows(queries._text_signal(spark, str(tmp_path), 50).where("query_id < 300"), "query_id", "rank", "chunk_id", "score")
+    want = []
+    for q in range(0, 300, 100):
+        best = sorted((-((c * 7919 + q * 104729) % 1000), c) for c in range(q % 10, 20_000, 10))[:50]
+        want += [(q, n, c, float(-x)) for n, (x, c) in enumerate(best, 1)]
+    assert got == want and seen[0].count() == 200 * 50
