@@ -185,7 +185,7 @@ def test_equal_vectors_are_cut_within_a_task(spark):
 
 
 #: Queries whose similarities are products of blocks, not expressions row by row.
-BY_BLOCKS = ["vector_floor", "fuse_missing_signal", "rerank_reorder", "fuse_weighted"]
+BY_BLOCKS = ["vector_floor", "fuse_missing_signal", "rerank_reorder", "fuse_weighted", "fuse_rrf"]
 
 
 @pytest.mark.parametrize("name", BY_BLOCKS)
