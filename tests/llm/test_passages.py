@@ -160,6 +160,23 @@ def test_crowds_are_told():
     assert set(lone[0].as_py()) == {0}
 
 
+def test_groups_of_anchors_are_of_even_size():
+    r = random.Random(5)
+    text = np.frombuffer("".join(r.choices("abcdefghij ", k=300_000)).encode(), np.uint8)
+    found = suffix_dedup.Anchors(text, np.array([len(text)]), 40)
+    sizes = np.bincount(suffix_dedup.group_of(found.keys, 64), minlength=64)
+    assert len(sizes) == 64 and sizes.sum() > 20_000 and sizes.max() < 1.5 * sizes.mean()
+
+
+def test_batches_are_small_while_it_runs_and_as_before_behind_it(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda *a: seen.append(spark.conf.get(key)) or write(*a))
+    before = spark.conf.get(key)
+    assert suffix_dedup.report(spark.createDataFrame([(1, "x" * 120), (2, "x" * 60)], SCHEMA)).count() == 2
+    assert seen == [str(suffix_dedup.BLOCK)] or seen == [f"{suffix_dedup.BLOCK}b"]
+    assert spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_two_stage_sorting(seed):
     r = np.random.default_rng(seed)
